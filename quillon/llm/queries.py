@@ -7,7 +7,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe
+from . import bpe, mixing, quality, url_filter
 from .common import table
 
 QUERIES: dict = {}
@@ -33,3 +33,71 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = tokenizer()
     rows = bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), raw), raw)
     return rows.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
+@query
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    q = F.col("quality")
+    rows = quality.judged(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return rows.select("doc_id", *[q[k].alias(k) for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")])
+
+
+_W = "[^ \\t\\n\\x0B\\x0C\\r]+"
+QUALITY_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+w AS (SELECT r, regexp_extract_all(text, '{_W}') AS w FROM d),
+t AS (SELECT r, unnest(range(1, len(w) - 1)) AS i, w FROM w WHERE len(w) >= 3),
+g AS (SELECT r, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM t),
+rep AS (SELECT r, i, count(*) OVER (PARTITION BY r, g) AS n FROM g),
+cov AS (SELECT r, count(DISTINCT p) AS n FROM (SELECT r, unnest([i, i + 1, i + 2]) AS p FROM rep WHERE n > 1) GROUP BY r),
+ln AS (SELECT r, unnest(string_split(text, chr(10))) AS l FROM d),
+lines AS (SELECT r, count(*) AS n_lines, count(*) - count(DISTINCT l) AS dup FROM ln WHERE regexp_matches(l, '{_W}') GROUP BY r),
+m AS (SELECT d.doc_id, len(w.w)::BIGINT AS n_words,
+ coalesce(list_sum(list_transform(w.w, lambda x: length(x))), 0)::BIGINT AS word_chars,
+ (length(d.text) - length(regexp_replace(d.text, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
+ coalesce(lines.dup, 0)::BIGINT AS n_dup_lines, coalesce(cov.n, 0)::BIGINT AS n_repeat_words,
+ coalesce(lines.n_lines, 0) AS n_lines,
+ len(list_filter(w.w, lambda x: lower(x) IN ({', '.join(f"'{x}'" for x in quality.STOP_WORDS)}))) AS n_stop
+ FROM d JOIN w USING (r) LEFT JOIN cov USING (r) LEFT JOIN lines USING (r)),
+b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+ NOT (base_failed OR word_chars::DOUBLE / n_words < 2 OR word_chars::DOUBLE / n_words > 20
+  OR n_symbols::DOUBLE / word_chars > 0.05 OR n_stop::DOUBLE / n_words < 0.02
+  OR n_dup_lines::DOUBLE / n_lines > 0.6) AS kept
+FROM b
+"""
+ORACLE_SQL["op3_quality"] = QUALITY_SQL
+
+
+@query
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.taken(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "epochs")
+
+
+@query
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judged(table(spark, sf_dir, "pages"))
+
+
+def _glob_sql(g: str) -> str:
+    """A glob as a pattern over host + path; stars before the first slash stay in the host."""
+    out, slash = "", False
+    for k, c in enumerate(g):
+        slash |= c == "/"
+        if c == "*":
+            out += ".*" if slash or k == len(g) - 1 or g.startswith("*/") else "[^/]*"
+        else:
+            out += "[.]" if c == "." else c
+    return f"regexp_full_match(host || path, '{out}', 's')"
+
+
+_FITS = " ".join(f"WHEN (host = '{r.host}' OR suffix(host, '.{r.host}')) AND starts_with(path, '{r.path}') THEN '{r.name}'" for r in sorted(url_filter.HOST_RULES, key=lambda r: -len(r.name)))
+_SAYS = " ".join(f"WHEN rule = '{r.name}' THEN '{r.verdict}'" for r in url_filter.HOST_RULES)
+ORACLE_SQL["op6_url_filter"] = f"""
+WITH u AS (SELECT page_id, CASE WHEN position('://' IN url) > 0 THEN substr(url, position('://' IN url) + 3) ELSE '' END AS rest FROM pages),
+h AS (SELECT page_id, regexp_extract(rest, '^[^/?#]*') AS raw, rest FROM u),
+c AS (SELECT page_id, translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(substr(rest, length(raw) + 1), '^[^?#]*') AS path FROM h),
+r AS (SELECT *, CASE {_FITS} END AS rule FROM c)
+SELECT page_id, host, path, rule, CASE {_SAYS} WHEN {' OR '.join(_glob_sql(g.glob) for g in url_filter.GLOB_RULES)} THEN 'block' ELSE 'allow' END AS verdict
+FROM r
+"""
