@@ -7,7 +7,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, mixing, quality, url_filter
+from . import bpe, exact_dedup, mixing, quality, url_filter
 from .common import table
 
 QUERIES: dict = {}
@@ -101,3 +101,17 @@ r AS (SELECT *, CASE {_FITS} END AS rule FROM c)
 SELECT page_id, host, path, rule, CASE {_SAYS} WHEN {' OR '.join(_glob_sql(g.glob) for g in url_filter.GLOB_RULES)} THEN 'block' ELSE 'allow' END AS verdict
 FROM r
 """
+
+
+@query
+def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = exact_dedup.grouped(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
+
+
+ORACLE_SQL["op9_exact_dedup"] = """
+WITH d AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents)
+SELECT doc_id, max(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
+ doc_id = max(doc_id) OVER (PARTITION BY t) AS kept, sha256(t) AS text_sha256
+FROM d
+"""
