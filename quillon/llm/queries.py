@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, mixing, pii, quality, toxicity, url_filter
+from . import bpe, chat, exact_dedup, line_dedup, mixing, pii, quality, toxicity, url_filter
 from .common import table
 
 QUERIES: dict = {}
@@ -121,7 +121,11 @@ FROM d
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = pii.spans(table(spark, sf_dir, "documents"))
     base = F.filter("spans", lambda s: s["base"])
-    counts = [F.size(F.filter("spans", lambda s, k=k: s["base"] & (s["kind"] == k))).cast("long").alias(f"n_{k}") for k in pii.KINDS]
+
+    def counted(kind: str) -> Column:
+        return F.size(F.filter(base, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    counts = [counted(k) for k in pii.KINDS]
     return rows.select("doc_id", *counts, F.sha2(pii.listed(base), 256).alias("base_sha256"), pii.listed(F.col("spans")).alias("spans"))
 
 
@@ -130,3 +134,35 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     rows = toxicity.scored(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
     return rows.select("doc_id", (~toxicity.in_training(F.col("doc_id"))).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), F.size("sentences").alias("n_sentences"))
+
+
+@query
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = line_dedup.cleaned(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "n_lines", "n_chunks", "n_removed", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("text_sha256"))
+
+
+ORACLE_SQL["op4_line_dedup"] = """
+WITH d AS (SELECT row_number() OVER (ORDER BY doc_id) AS r, doc_id, text FROM documents),
+l AS (SELECT r, doc_id, unnest(string_split(text, chr(10))) AS l, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM d WHERE text IS NOT NULL),
+h AS (SELECT *, ('0x' || substr(md5(l), 1, 7))::BIGINT AS h FROM l),
+b AS (SELECT *, (h + 257 * coalesce(lag(h, 1) OVER w, 0) + 66049 * coalesce(lag(h, 2) OVER w, 0)) % 2147483647 % 4 = 0 AS ends FROM h WINDOW w AS (PARTITION BY r ORDER BY i)),
+c AS (SELECT *, coalesce(sum(ends::INT) OVER (PARTITION BY r ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS k FROM b),
+g AS (SELECT r, doc_id, k, count(*) AS n, string_agg(l, chr(10) ORDER BY i) AS t FROM c GROUP BY r, doc_id, k),
+f AS (SELECT *, n >= 2 AND row_number() OVER (PARTITION BY t, n >= 2 ORDER BY doc_id, k) > 1 AS gone FROM g)
+SELECT d.doc_id, coalesce(sum(n), 0)::INT AS n_lines, count(f.k)::INT AS n_chunks, (count(*) FILTER (WHERE gone))::INT AS n_removed,
+ sha256(coalesce(string_agg(t, chr(10) ORDER BY k) FILTER (WHERE NOT gone), '')) AS text_sha256
+FROM d LEFT JOIN f USING (r) GROUP BY d.r, d.doc_id
+"""
+
+
+@query
+def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.formatted(table(spark, sf_dir, "conversations"))
+
+
+ORACLE_SQL["op10_chat"] = """
+SELECT conv_id, turn AS at_turn, 0 AS level, turn, 0 AS idx, 'message' AS kind, NULL AS call_id, NULL::BOOLEAN AS linked, NULL::BOOLEAN AS valid,
+ json_object('content', coalesce(text, ''), 'role', role, 'turn', turn)::VARCHAR AS json
+FROM conversations
+"""
