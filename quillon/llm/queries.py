@@ -7,7 +7,7 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, exact_dedup, line_dedup, mixing, pii, quality, toxicity, url_filter
+from . import bpe, chat, exact_dedup, line_dedup, mixing, ngram_join, pii, quality, toxicity, url_filter
 from .common import table
 
 QUERIES: dict = {}
@@ -166,3 +166,8 @@ SELECT conv_id, turn AS at_turn, 0 AS level, turn, 0 AS idx, 'message' AS kind,
  json_object('content', coalesce(text, ''), 'role', role, 'turn', turn)::VARCHAR AS json
 FROM conversations
 """
+
+
+@query
+def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.joined(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
