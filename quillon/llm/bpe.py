@@ -25,7 +25,9 @@ from pyspark.sql import DataFrame
 #: How byte-level vocabularies cut a text into pieces (fixed value of the public format).
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Encoded pieces, and as many encoded words, that a worker remembers, and the longest of them.
-CACHE_PIECES, CACHE_BYTES = 500_000, 64
+CACHE_PIECES, CACHE_BYTES = 250_000, 64
+#: Pairs of tokens that the compatibility table remembers.
+TABLE_PAIRS = 400_000
 
 
 def byte_alphabet() -> list[str]:
@@ -38,31 +40,57 @@ def byte_alphabet() -> list[str]:
     return [out[b] for b in range(256)]
 
 
-class Codec:
-    """Encoder and decoder of one byte-level vocabulary (the parsed tokenizer file)."""
+def token_bytes(spec: dict) -> list[bytes]:
+    """The bytes of each id; ids that nothing uses have none."""
+    back = {c: b for b, c in enumerate(byte_alphabet())}
+    vocab, special = spec["model"]["vocab"], {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
+    out = [b""] * (max([*vocab.values(), *special.values()]) + 1)
+    for t, i in vocab.items():
+        out[i] = bytes(back[c] for c in t) if all(c in back for c in t) else t.encode()
+    for t, i in special.items():
+        out[i] = t.encode()
+    return out
+
+
+class Decoder:
+    """All tokens' bytes in one blob, and where each begins."""
+
+    def __init__(self, spec: dict):
+        as_bytes = token_bytes(spec)
+        self.blob = np.frombuffer(b"".join(as_bytes), np.uint8)
+        self.offsets = np.concatenate([[0], np.cumsum([len(b) for b in as_bytes])]).astype(np.int64)
+
+    def decode(self, ids: bytes | None) -> str:
+        """Text of packed ids; bytes that are not UTF-8 become U+FFFD. Null counts as empty."""
+        if not ids:
+            return ""
+        out, all_ids, offsets = [], np.frombuffer(ids, "<u4").astype(np.int64), self.offsets
+        for k in range(0, len(all_ids), 1 << 18):
+            i = all_ids[k : k + (1 << 18)]
+            start, size = offsets[i], offsets[i + 1] - offsets[i]
+            ends = np.cumsum(size)
+            out.append(self.blob[np.arange(ends[-1]) + np.repeat(start - ends + size, size)].tobytes())
+        return b"".join(out).decode("utf-8", "replace")
+
+
+class Encoder:
+    """Encoder of one byte-level vocabulary (the parsed tokenizer file)."""
 
     def __init__(self, spec: dict):
         model, pre = spec["model"], spec["pre_tokenizer"]
         odd = [k for k in ("unk_token", "continuing_subword_prefix", "end_of_word_suffix", "dropout") if model.get(k)]
         if model["type"] != "BPE" or pre["type"] != "ByteLevel" or pre["add_prefix_space"] or not pre.get("use_regex", True) or spec["normalizer"] or model.get("ignore_merges") or odd:
             raise ValueError("only plain byte-level BPE vocabularies are supported")
-        back = {c: b for b, c in enumerate(byte_alphabet())}
         vocab: dict[str, int] = model["vocab"]
         special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
         if any(t["lstrip"] or t["rstrip"] or t["single_word"] for t in spec.get("added_tokens", [])):
             raise ValueError("added tokens with strip or word rules are not supported")
-        size = max([*vocab.values(), *special.values()]) + 1
-        as_bytes = [b""] * size
-        for t, i in vocab.items():
-            as_bytes[i] = bytes(back[c] for c in t) if all(c in back for c in t) else t.encode()
-        for t, i in special.items():
-            as_bytes[i] = t.encode()
+        as_bytes = token_bytes(spec)
+        size = len(as_bytes)
         self.special = special
         self.cut = regex.compile("(" + "|".join(regex.escape(t) for t in sorted(special, key=len, reverse=True)) + ")") if special else None
         self.pieces = regex.compile(PIECES)
         self.bytes_of = as_bytes
-        self.blob = np.frombuffer(b"".join(as_bytes), np.uint8)
-        self.offsets = np.concatenate([[0], np.cumsum([len(b) for b in as_bytes])]).astype(np.int64)
         # merges: rank and result by pair; how each token falls apart again
         self.rank: dict[tuple[int, int], int] = {}
         self.joined: dict[tuple[int, int], int] = {}
@@ -142,7 +170,7 @@ class Codec:
             else:
                 before, at_equal = made_at[b], True
                 b = split[b][0]
-        if len(self.fits) >= 4_000_000:
+        if len(self.fits) >= TABLE_PAIRS:
             self.fits.clear()
         self.fits[key] = fine
         return fine
@@ -252,34 +280,23 @@ class Codec:
                 out.extend(self.plain(part))
         return b"".join(out)
 
-    def decode(self, ids: bytes | None) -> str:
-        """Text of packed ids; bytes that are not UTF-8 become U+FFFD. Null counts as empty."""
-        if not ids:
-            return ""
-        out, all_ids, offsets = [], np.frombuffer(ids, "<u4").astype(np.int64), self.offsets
-        for k in range(0, len(all_ids), 1 << 18):
-            i = all_ids[k : k + (1 << 18)]
-            start, size = offsets[i], offsets[i + 1] - offsets[i]
-            ends = np.cumsum(size)
-            out.append(self.blob[np.arange(ends[-1]) + np.repeat(start - ends + size, size)].tobytes())
-        return b"".join(out).decode("utf-8", "replace")
-
 
-_codecs: dict[str, Codec] = {}
+_made: dict[tuple, Encoder | Decoder] = {}
 
 
-def codec(raw: bytes) -> Codec:
-    key = hashlib.sha256(raw).hexdigest()
-    if key not in _codecs:
-        _codecs[key] = Codec(json.loads(raw))
-    return _codecs[key]
+def made(kind: type, raw: bytes) -> Encoder | Decoder:
+    """The coder of a vocabulary file, made once in each worker process."""
+    key = (kind, hashlib.sha256(raw).digest())
+    if key not in _made:
+        _made[key] = kind(json.loads(raw))
+    return _made[key]
 
 
-def _mapped(df: DataFrame, schema: str, raw: bytes, work) -> DataFrame:
+def _mapped(df: DataFrame, schema: str, raw: bytes, kind: type, work) -> DataFrame:
     shared = df.sparkSession.sparkContext.broadcast(raw)  # one vocabulary file, 1.5 MB
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = codec(shared.value)
+        c = made(kind, shared.value)
         for b in batches:
             yield from work(c, b)
 
@@ -307,11 +324,11 @@ def encode(docs: DataFrame, tokenizer: bytes, id_col: str = "doc_id", text_col:
     """
     t = dict(docs.dtypes)[id_col]
 
-    def work(c: Codec, b: pa.RecordBatch):
+    def work(c: Encoder, b: pa.RecordBatch):
         for part in _cuts(b, 1):
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array([c.encode(x) for x in part.column(1).to_pylist()], pa.binary())], ["id", "ids"])
 
-    out = _mapped(docs.select(docs[f"`{id_col}`"].alias("id"), docs[f"`{text_col}`"].alias("text")), f"id {t}, ids binary", tokenizer, work)
+    out = _mapped(docs.select(docs[f"`{id_col}`"].alias("id"), docs[f"`{text_col}`"].alias("text")), f"id {t}, ids binary", tokenizer, Encoder, work)
     return out.withColumnRenamed("id", id_col)
 
 
@@ -319,9 +336,9 @@ def decode(rows: DataFrame, tokenizer: bytes, id_col: str = "doc_id", ids_col: s
     """(id, ids, decoded): the text that packed ids stand for. Null ids decode as empty."""
     t = dict(rows.dtypes)[id_col]
 
-    def work(c: Codec, b: pa.RecordBatch):
+    def work(c: Decoder, b: pa.RecordBatch):
         for part in _cuts(b, 1, 2 << 20):
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([c.decode(x) for x in part.column(1).to_pylist()], pa.string())], ["id", "ids", "decoded"])
 
-    out = _mapped(rows.select(rows[f"`{id_col}`"].alias("id"), rows[f"`{ids_col}`"].alias("ids")), f"id {t}, ids binary, decoded string", tokenizer, work)
+    out = _mapped(rows.select(rows[f"`{id_col}`"].alias("id"), rows[f"`{ids_col}`"].alias("ids")), f"id {t}, ids binary, decoded string", tokenizer, Decoder, work)
     return out.withColumnRenamed("id", id_col).withColumnRenamed("ids", ids_col)
