@@ -81,7 +81,7 @@ class Engine:
             v = [float(x) for x in q.first()["vector"]]
             found = quantize.sq8_rerank(rows, v, k, rows.count()).where(F.col("score") >= r["threshold"])
         elif strategy == "ivf":
-            n = max(1, int(rows.count() ** 0.5))
+            n = max(2, int(rows.count() ** 0.5))
             found = ann.Cells(rows, n).top_k(q, k, max(1, n // 4)).where(F.col("score") >= r["threshold"])
         else:
             raise config.EngineError("search:unknown_strategy", strategy)

@@ -73,11 +73,11 @@ class Store:
         fs, p = self._fs(), self._path(*parts)
         if not fs.exists(p):
             return None
-        with_in = fs.open(p)
+        opened = fs.open(p)
         try:
-            return bytes(b & 0xFF for b in self.spark._jvm.org.apache.commons.io.IOUtils.toByteArray(with_in)).decode()
+            return bytes(self.spark._jvm.org.apache.commons.io.IOUtils.toByteArray(opened)).decode()
         finally:
-            with_in.close()
+            opened.close()
 
     def _write(self, text: str, *parts: str) -> None:
         """By a temporary file and a rename: readers see the old or the new one."""

@@ -49,15 +49,15 @@ def checked_query(vector, dimension: int) -> np.ndarray:
     return v
 
 
-def query_matrix(queries: DataFrame, id_col: str, vector_col: str, limit: int = QUERY_NUMBERS) -> tuple[list, np.ndarray]:
+def query_matrix(queries: DataFrame, id_col: str, vector_col: str, limit: int = QUERY_NUMBERS) -> tuple[pa.Array, np.ndarray]:
     """A stated query set on the driver, sorted by id; refused beyond the limit."""
     rows = queries.select(id_col, vector_col).orderBy(id_col).toArrow()
     if rows.num_rows == 0:
-        return [], np.zeros((0, 0))
+        return pa.array([]), np.zeros((0, 0))
     x = np.array(rows.column(1).to_pylist(), float)
     if x.size > limit:
         raise EngineError("vector:too_many_queries", f"{x.size} numbers; send them in parts of {limit}")
-    return rows.column(0).to_pylist(), x
+    return rows.column(0).combine_chunks(), x
 
 
 def top_k(collection: DataFrame, queries: DataFrame, k: int = 10, threshold: float = 0.0, where: Column | None = None, id_col: str = "id", vector_col: str = "vector", query_id: str = "query", query_vector: str = "vector", metric: str = "cosine") -> DataFrame:
@@ -70,7 +70,7 @@ def top_k(collection: DataFrame, queries: DataFrame, k: int = 10, threshold: flo
     rows = collection if where is None else collection.where(where)
     kinds = dict(collection.dtypes), dict(queries.dtypes)
     schema = f"query {kinds[1][query_id]}, id {kinds[0][id_col]}, score double"
-    if not names:
+    if not len(names):
         return rows.sparkSession.createDataFrame([], schema + ", rank int")
     size = np.sqrt((q * q).sum(1))
     shared = rows.sparkSession.sparkContext.broadcast((names, q, size))  # at most QUERY_NUMBERS
@@ -96,9 +96,9 @@ def top_k(collection: DataFrame, queries: DataFrame, k: int = 10, threshold: flo
                     fit = fit[s[j][fit] >= line]
                 best[j] += zip((-s[j][fit]).tolist(), ids[fit].tolist())
                 best[j] = sorted(best[j])[:k]
-        rows = [(names[j], i, -s) for j, found in enumerate(best) for s, i in found]
+        rows = [(j, i, -s) for j, found in enumerate(best) for s, i in found]
         if rows:
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows]), pa.array([r[1] for r in rows], kind), pa.array([r[2] for r in rows], pa.float64())], ["query", "id", "score"])
+            yield pa.RecordBatch.from_arrays([names.take(pa.array([r[0] for r in rows])), pa.array([r[1] for r in rows], kind), pa.array([r[2] for r in rows], pa.float64())], ["query", "id", "score"])
 
     found = rows.select(F.col(id_col).alias("id"), F.col(vector_col).alias("vector")).where(F.size("vector") == q.shape[1]).mapInArrow(run, schema)
     by_score = Window.partitionBy("query").orderBy(F.desc("score"), "id")

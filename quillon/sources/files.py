@@ -16,9 +16,14 @@ def ignore_patterns(spark: SparkSession, root: str, configured: Sequence[str] =
     """Configured patterns, the ignore file itself and its lines that are no comments; sorted, each once."""
     listed = set(configured) | {IGNORE_FILE}
     p = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/{IGNORE_FILE}")
-    if p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p):
-        lines = spark.read.text(f"{root}/{IGNORE_FILE}").select(F.trim("value").alias("v"))
-        listed |= {r["v"] for r in lines.where("v <> '' AND NOT startswith(v, '#')").distinct().collect()}
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    if fs.exists(p):  # Spark's readers pass over hidden files
+        opened = fs.open(p)
+        try:
+            text = bytes(spark._jvm.org.apache.commons.io.IOUtils.toByteArray(opened)).decode()
+        finally:
+            opened.close()
+        listed |= {x for line in text.splitlines() if (x := line.strip()) and not x.startswith("#")}
     return sorted(x.strip() for x in listed if x.strip())
 
 
