@@ -235,10 +235,11 @@ def trained(rows: int = TRAIN_ROWS, precision: float = PRECISION, seed: int = SE
     """Trees, and for each kind the least score that holds the precision on the held-out third."""
     x, y, kinds = [], [], []
     for text, kind, good in _examples(rows, seed):
-        for m in GENERATORS[kind].finditer(text):
-            x.append(features(text, kind, *m.span()))
-            y.append(float(good))
-            kinds.append(kind)
+        for k in KINDS:  # what another kind's generator finds there is an example against it
+            for m in GENERATORS[k].finditer(text):
+                x.append(features(text, k, *m.span()))
+                y.append(float(good and k == kind))
+                kinds.append(k)
     x, y, kinds = np.array(x, float), np.array(y), np.array(kinds)
     held = np.arange(len(y)) % 3 == 0
     trees = Trees(x[~held], y[~held])

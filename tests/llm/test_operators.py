@@ -1,0 +1,452 @@
+"""Each operator against brute force, over nulls, empty and long texts, repeated rows and clashing columns."""
+
+import hashlib
+import itertools
+import json
+import random
+import re
+import struct
+import zlib
+
+import pytest
+from pyspark.sql import functions as F
+
+from quillon.llm import bpe, chat, exact_dedup, line_dedup, mixing, ngram_join, pii, quality, toxicity, url_filter
+from quillon.llm.queries import tokenizer
+
+SCHEMA = "doc_id long, text string, source string, ids string, _mix_plan int, quality string, c string"
+
+
+def rows(texts, ids=None, sources=None):
+    ids = range(len(texts)) if ids is None else ids
+    sources = itertools.repeat("s") if sources is None else sources
+    return [(i, t, s, "x", 1, "q", "c") for i, t, s in zip(ids, texts, sources)]
+
+
+def docs(spark, *a, **b):
+    return spark.createDataFrame(rows(*a, **b), SCHEMA).repartition(3)
+
+
+ODD = [None, "", " ", "\n\n", "a", "é ß\x85 \x1c", "<|endoftext|> a<|endoftext|>", "a" * 4000, "x y " * 5000, "\0�\U0001f600", "0" * 3000]
+
+
+# BPE
+
+
+def test_bpe_equals_the_library(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    t.no_truncation()
+    t.no_padding()
+    r = random.Random(3)
+    parts = ["the", "ing", " ", "  ", "\n", "tion", "=", "--", "0", "é", "'s", "'S", "!", "한", "​", "<|endoftext|>", "aa", "\t"]
+    texts = ODD + ["".join(r.choice(parts) for _ in range(r.randint(1, 50))) for _ in range(300)]
+    got = {x.doc_id: x for x in bpe.decode(bpe.encode(docs(spark, texts), tokenizer()), tokenizer()).collect()}
+    for k, x in enumerate(texts):
+        want = t.encode(x or "", add_special_tokens=False).ids
+        assert list(struct.unpack(f"<{len(want)}I", got[k].ids)) == want, x
+        assert got[k].decoded == t.decode(want, skip_special_tokens=False) == (x or "")
+    assert bpe.encode(docs(spark, []), tokenizer()).count() == 0
+
+
+def test_bpe_compatibility_is_merging():
+    e = bpe.made(bpe.Encoder, tokenizer())
+    r = random.Random(5)
+    tokens = [i for i in e.id_of.values() if len(e.bytes_of[i]) < 8]
+    for _ in range(3000):
+        a, b = r.choice(tokens), r.choice(tokens)
+        assert e.compatible(a, b) == (e.by_merging(e.bytes_of[a] + e.bytes_of[b]) == [a, b])
+
+
+def test_bpe_bytes_that_are_no_text():
+    d = bpe.made(bpe.Decoder, tokenizer())
+    e = bpe.made(bpe.Encoder, tokenizer())
+    assert d.decode(struct.pack("<I", e.single[0xC3])) == "�" and d.decode(None) == ""
+
+
+# PII
+
+
+def naive_spans(t):
+    digits = lambda x: re.sub("[^0-9]", "", x)
+    out = [("email", *m.span()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
+    out += [("ip", *m.span()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t) if all(int(x) <= 255 for x in m[0].split("."))]
+    out += [("card", *m.span()) for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", t) if 13 <= len(digits(m[0])) <= 19 and pii.luhn(digits(m[0]))]
+    return out + [("phone", *m.span()) for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", t) if 9 <= len(digits(m[0])) <= 15]
+
+
+def test_pii_base_stays(spark):
+    r = random.Random(7)
+    al = list("0123456789") * 2 + list(" .-@+()aZ_%é")
+    texts = [*ODD, "mail é a.b@c.d.e, 4111 1111 1111 1111 10.0.0.1 +1 (441) 555-3597", *("".join(r.choice(al) for _ in range(60)) for _ in range(800))]
+    got = {x.doc_id: x.spans for x in pii.spans(docs(spark, texts)).collect()}
+    for k, t in enumerate(texts):
+        assert [(s.kind, s.start, s.end) for s in got[k] if s.base] == naive_spans(t or ""), t
+        every = sorted((s.start, s.end) for s in got[k] if not s.base)
+        assert all(a[1] <= b[0] for a, b in zip(every, every[1:]))
+    assert pii.spans(docs(spark, [])).count() == 0
+
+
+def test_pii_trees_add_what_base_misses(spark):
+    found = ["write to jane.doe [at] example [dot] com today", "card: 4111.1111.1111.1111 ok", "server 2001:db8::1:2f up", "call: (415) 555-2671 now"]
+    clean = ["version 1.2.3 of 2024-05-06", "order 1234 567 890", "at 10:20:30 the at. dot", "pages 10-12, 45-60", "no 4111.1111.1111.1112"]
+    got = {x.doc_id: x for x in pii.spans(docs(spark, found + clean)).collect()}
+    assert [[s.kind for s in got[k].spans] for k in range(len(found))] == [["email"], ["card"], ["ip"], ["phone"]]
+    assert all(not got[k].spans for k in range(len(found), len(found + clean)))
+    assert got[0].redacted == "write to <EMAIL> today"
+
+
+def test_pii_held_out_precision():
+    x, y, kinds = [], [], []
+    for text, kind, good in pii._examples(2000, 99):
+        for k in pii.KINDS:
+            for m in pii.GENERATORS[k].finditer(text):
+                x.append(pii.features(text, k, *m.span()))
+                y.append(good and k == kind)
+                kinds.append(k)
+    trees, least = pii.trained()
+    import numpy as np
+
+    chosen = trees.predict(np.array(x, float)) >= [least[k] for k in kinds]
+    y = np.array(y)
+    assert (chosen & y).sum() / chosen.sum() >= 0.97 and (chosen & y).sum() / y.sum() >= 0.9
+
+
+# Quality rules
+
+
+def naive_quality(t):
+    t = t or ""
+    w = [x for x in re.split(r"[\x20\x09-\x0D]+", t) if x]
+    grams = [tuple(w[k : k + 3]) for k in range(len(w) - 2)]
+    many = {g for g in grams if grams.count(g) > 1} if len(grams) < 3000 else {g for g, n in __import__("collections").Counter(grams).items() if n > 1}
+    covered = {k + j for k, g in enumerate(grams) if g in many for j in range(3)}
+    lines = [x for x in t.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    n, rep = len(w), len(covered)
+    return n, sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t)), len(lines) - len(set(lines)), rep, n < 50 or 100 * rep > 50 * n
+
+
+def test_quality(spark):
+    r = random.Random(2)
+    words = ["the", "a", "of", "x#", "ünd", "b\x0bc", "z z"]
+    texts = ODD + ["".join(r.choice(words) + r.choice([" ", "  ", "\n", "\n\n", "\t"]) for _ in range(r.randint(1, 120))) for _ in range(300)]
+    got = {x.doc_id: x.quality_ for x in quality.judged(docs(spark, texts)).collect()}
+    for k, t in enumerate(texts):
+        q = got[k]
+        assert (q.n_words, q.word_chars, q.n_symbols, q.n_dup_lines, q.n_repeat_words, q.base_failed) == naive_quality(t), t
+        assert not (q.base_failed and q.kept)
+    kept = quality.passing(docs(spark, texts))
+    assert kept.columns == [c.split()[0] for c in SCHEMA.split(", ")] and kept.count() == sum(q.kept for q in got.values())
+    assert quality.passing(docs(spark, [])).count() == 0
+
+
+def test_quality_plan_has_no_shuffle_and_no_python(spark):
+    plan = quality.judged(docs(spark, ["a"]).coalesce(1))._jdf.queryExecution().optimizedPlan().toString()
+    assert "Python" not in plan and "Join" not in plan and "Aggregate" not in plan
+
+
+# Line dedup
+
+
+def naive_lines(table):
+    found, seen = [], set()
+    for key, text in table:
+        if text is None:
+            found.append((key, None))
+            continue
+        lines, h = text.split("\n"), []
+        parts, at = [], 0
+        for k, x in enumerate(lines):
+            h.append(int(hashlib.md5(x.encode()).hexdigest()[:7], 16))
+            rolled = (h[k] + 257 * (h[k - 1] if k else 0) + 257 * 257 * (h[k - 2] if k > 1 else 0)) % 2147483647
+            if rolled % 4 == 0 or k == len(lines) - 1:
+                parts.append(lines[at : k + 1])
+                at = k + 1
+        out = []
+        for p in parts:
+            if len(p) >= 2 and "\n".join(p) in seen:
+                continue
+            if len(p) >= 2:
+                seen.add("\n".join(p))
+            out += p
+        found.append((key, "\n".join(out)))
+    return found
+
+
+def test_line_dedup(spark):
+    r = random.Random(4)
+    passage = [f"shared line {k}" for k in range(30)]
+    texts = [None, "", "\n", "a\n\n\n\n\n\n"]
+    for k in range(60):
+        own = [f"own {k} {j}" for j in range(r.randint(0, 8))]
+        at = r.randint(0, len(own))
+        texts.append("\n".join(own[:at] + (passage[r.randint(0, 5) :] if k % 2 else []) + own[at:]))
+    texts += texts[4:8]
+    frame = docs(spark, texts)
+    got = {x.doc_id: x.text for x in line_dedup.cleaned(frame).collect()}
+    assert got == dict(naive_lines(list(enumerate(texts))))
+    assert sum("shared line 20" in (t or "") for t in got.values()) <= 3  # the passage stays once, give or take its ends
+    same = docs(spark, ["p\nq\nr\ns\nt\nu"] * 3, ids=[5, 5, None])
+    assert sum(x.n_removed for x in line_dedup.cleaned(same).collect()) > 0
+    assert line_dedup.cleaned(docs(spark, [])).count() == 0
+
+
+def test_line_chunks_resist_shifts(spark):
+    text = "\n".join(f"line {k}" for k in range(200))
+    a, b = (spark.createDataFrame([(t,)], "t string").select(F.explode(line_dedup.chunks(F.col("t"))).alias("c")).select("c.body") for t in (text, "new\n" + text))
+    assert a.subtract(b).count() <= 2
+
+
+# Mixing
+
+
+def naive_targets(sizes):
+    """Reshare until no source is above its cap."""
+    order = sorted((s for s in sizes if s is not None), key=lambda s: s.encode()) + [None] * (None in sizes)
+    weight = {s: (3, 1, 2)[k % 3] for k, s in enumerate(order)}
+    left, open_, target = 1.5 * sum(sizes.values()), list(order), {}
+    while open_:
+        total = sum(weight[s] for s in open_)
+        over = [s for s in open_ if left * weight[s] / total >= 2 * sizes[s]]
+        if not over:
+            target |= {s: left * weight[s] / total for s in open_}
+            break
+        for s in over:
+            target[s] = 2.0 * sizes[s]
+            left -= target[s]
+            open_.remove(s)
+    return target
+
+
+def test_mixing(spark):
+    r = random.Random(6)
+    sources = [r.choice(["a", "b", "B", "ü", "hot", "hot", "hot", None]) for _ in range(900)] + ["tiny", "none"]
+    texts = [" ".join("w" for _ in range(r.choice([0, 1, 5, 40, 200]))) for _ in range(900)] + ["w " * 3, None]
+    frame = docs(spark, texts, sources=sources)
+    out = {x.doc_id: x for x in mixing.taken(frame).collect()}
+    sizes = {}
+    for k, (s, t) in enumerate(zip(sources, texts)):
+        assert out[k].size == len((t or "").split())
+        sizes[s] = sizes.get(s, 0) + out[k].size
+    want = naive_targets(sizes)
+    for s in sizes:
+        mine = [out[k] for k in range(len(texts)) if sources[k] == s]
+        assert mine[0].source_size == sizes[s] and abs(mine[0].target - want[s]) < 1e-6
+        assert abs(sum(x.taken for x in mine) - want[s]) <= max([x.size for x in mine]) / 2 + 1e-6
+        assert all(x.taken <= 2 * x.size for x in mine)
+    again = {x.doc_id: x.taken for x in mixing.taken(frame.repartition(5)).collect()}
+    assert again == {k: x.taken for k, x in out.items()}
+    mix = mixing.mixed(frame)
+    assert mix.columns == frame.columns
+    counts = {x.doc_id: x["count"] for x in mix.groupBy("doc_id").count().collect()}
+    assert counts == {k: x.epochs for k, x in out.items() if x.epochs}
+
+
+def test_mixing_empty_and_repeated(spark):
+    assert mixing.taken(docs(spark, [])).count() == 0 and mixing.mixed(docs(spark, [])).count() == 0
+    assert sum(x.taken for x in mixing.taken(docs(spark, [None, ""])).collect()) == 0
+    same = mixing.taken(docs(spark, ["a b"] * 10, ids=[1] * 5 + [None] * 5)).collect()
+    assert len(same) == 10 and all(x.taken in (0, 2, 4) for x in same)
+
+
+# URL filter
+
+
+def test_urls(spark):
+    urls = [
+        None, "", "no scheme", "http://", "HTTP://WWW.Example.COM/en/x", "http://example.com/en/x", "http://m.example.com/en/", "http://example.com/fr/", "http://example.com",
+        "http://a.net/es/1?x", "http://net/fr/#q", "http://a.net/en/", "http://xcom/en/", "https://spam-farm.example.org/a", "https://ok.org/ads/1", "https://ads.x.org", "https://ok.org/bads/1", "http://é.net/es/é", "://com/", "http://x.com?/", "http://org/" + "a" * 5000,
+    ]
+    table = spark.createDataFrame([(k, u, "h", "r") for k, u in enumerate(urls)], "page_id long, url string, host string, rule string")
+    got = {x.page_id: x for x in url_filter.judged(table).collect()}
+    for k, u in enumerate(urls):
+        host = path = ""
+        if u and "://" in u:
+            m = re.match(r"([^/?#]*)([^?#]*)", u.split("://", 1)[1])
+            host, path = "".join(c.lower() if c.isascii() else c for c in m[1]), m[2]
+        fit = [r for r in url_filter.HOST_RULES if (host == r.host or host.endswith("." + r.host)) and path.startswith(r.path)]
+        best = max(fit, key=lambda r: len(r.name), default=None)
+        assert (got[k].host, got[k].path, got[k].rule) == (host, path, best.name if best else None), u
+        if best:
+            assert got[k].verdict == best.verdict
+    assert [got[k].verdict for k in (0, 13, 14, 15, 16, 20)] == ["allow", "block", "block", "block", "allow", "allow"]
+    assert url_filter.judged(table.limit(0)).count() == 0
+
+
+def test_automaton_equals_regular_expressions():
+    r = random.Random(8)
+    globs = ["".join(r.choice("ab.*/") for _ in range(r.randint(1, 9))) for _ in range(60)]
+    globs = [re.sub(r"\*+", "*", g) for g in globs] + ["a" * 70 + "*b"]
+    texts = ["".join(r.choice("aab./") for _ in range(r.randint(0, 12))) for _ in range(300)] + ["a" * 70 + "xyb", ""]
+    fits = url_filter.Automaton(globs).fits(texts)
+    for j, g in enumerate(globs):
+        out, slash = "", False
+        for k, c in enumerate(g):
+            slash |= c == "/"
+            out += (".*" if slash or k == len(g) - 1 or k == 0 and g.startswith("*/") else "[^/]*") if c == "*" else re.escape(c)
+        for i, t in enumerate(texts):
+            assert fits[i, j] == bool(re.fullmatch(out, t, re.S)), (g, t)
+
+
+# N-gram join
+
+
+def naive_components(texts, ids):
+    sets = []
+    for t in texts:
+        w = (t or "").encode().lower().split()
+        sets.append({tuple(w)} if 0 < len(w) < 5 else {tuple(w[k : k + 5]) for k in range(len(w) - 4)})
+    group = list(range(len(texts)))
+    for i, j in itertools.combinations(range(len(texts)), 2):
+        if sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j]) and group[i] != group[j]:
+            a, b = group[i], group[j]
+            group = [a if g == b else g for g in group]
+    least = {g: min((ids[k] for k in range(len(ids)) if group[k] == g and ids[k] is not None), default=None) for g in group}
+    return [(len(s), least[g] if s else i, g) for s, g, i in zip(sets, group, ids)]
+
+
+def near_copies(seed):
+    r = random.Random(seed)
+    word = lambda: "w%d" % r.randint(0, 400)
+    passage = [word() for _ in range(40)]
+    texts = [None, "", " \n", "a b", "A  b", "a b c d", "a b c d e"]
+    for _ in range(10):
+        base = [word() for _ in range(r.choice([6, 20, 80, 150]))]
+        for _ in range(r.randint(1, 9)):
+            copy = list(base)
+            for _ in range(r.randint(0, 1 + len(base) // 25)):
+                copy[r.randrange(len(copy))] = word()
+            if r.random() < 0.3:
+                at = r.randrange(len(copy))
+                copy[at:at] = passage
+            texts.append(" ".join(copy).upper() if r.random() < 0.2 else " ".join(copy))
+    # a chain: neighbours are similar, ends are not
+    base = [word() for _ in range(100)]
+    for _ in range(12):
+        base = base[3:] + [word() for _ in range(3)]
+        texts.append(" ".join(base))
+    return texts
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_ngram_join(spark, seed):
+    texts = near_copies(seed)
+    ids = [1000 - k for k in range(len(texts))]
+    ids[20], ids[21], ids[22] = None, 7, 7
+    frame = docs(spark, texts, ids=ids)
+    got = sorted(((x.doc_id, x.n_shingles, x.component_id) for x in ngram_join.joined(frame).collect()), key=str)
+    want = naive_components(texts, ids)
+    assert got == sorted(((i, n, c) for i, (n, c, _) in zip(ids, want)), key=str)
+    kept = ngram_join.representatives(frame)
+    assert kept.columns == frame.columns
+    assert kept.count() == len({g for _, _, g in want})
+
+
+def test_ngram_join_empty(spark):
+    assert ngram_join.joined(docs(spark, [])).count() == 0
+    assert ngram_join.joined(docs(spark, [None, "", "lone text of some words here"])).count() == 3
+    assert ngram_join.representatives(docs(spark, ["a b c", "a b c"], ids=[4, 4])).count() == 1
+
+
+def test_tree_equals_overlap():
+    import numpy as np
+
+    r = random.Random(9)
+    for _ in range(200):
+        sets = [np.array(sorted(r.sample(range(40), r.randint(1, 30)))) for _ in range(12)]
+        probe = np.array(sorted(r.sample(range(40), r.randint(1, 30))))
+        sizes = [len(s) + r.randint(0, 2) for s in sets]
+        n = len(probe) + r.randint(0, 2)
+        want = {k for k, s in enumerate(sets) if len(set(s.tolist()) & set(probe.tolist())) >= ngram_join.least_overlap(n, sizes[k])}
+        assert set(ngram_join.Tree(sets, sizes).similar(probe, n, 40)) == want
+
+
+# Toxicity
+
+
+def toxic_docs(n, seed):
+    r = random.Random(seed)
+    out = []
+    for k in range(n):
+        s = [" ".join(f"w{r.randint(0, 300)}" for _ in range(r.randint(3, 9))) for _ in range(r.randint(1, 12))]
+        bad = r.random() < 0.25
+        if bad:
+            at = r.randrange(len(s))
+            s[at] = s[at] + " " + r.choice(["rotten", "vilest", "vileness", "foulmouth"])
+        out.append((k, ". ".join(s) + ".", int(bad)))
+    return out
+
+
+def test_toxicity(spark):
+    made = toxic_docs(1500, 1)
+    frame = docs(spark, [t for _, t, _ in made] + [None, ""])
+    labels = spark.createDataFrame([(k, y) for k, _, y in made] + [(None, 1), (3, None)], "doc_id long, toxic int")
+    model = toxicity.fit(frame, labels, toxic_docs=300, clean_docs=600)
+    got = {x.doc_id: x for x in toxicity.scored(frame, model).collect()}
+    held = [(k, t, y) for k, t, y in made if zlib.crc32(str(k).encode()) % 5 == 0]
+    assert sum((got[k].score >= 0.5) == bool(y) for k, _, y in held) / len(held) >= 0.95
+    hits = [(t, s) for k, t, y in held if y for s in got[k].sentences]
+    assert sum(any(w in t[s.start : s.end] for w in ("rotten", "vile", "foul")) for t, s in hits) / len(hits) >= 0.95
+    assert got[1500].score == got[1501].score == 0.0 and all(0 <= x.score <= 1 for x in got.values())
+    assert toxicity.fit(frame, labels, toxic_docs=300, clean_docs=600).weights == model.weights
+
+
+def test_toxicity_without_labels(spark):
+    frame = docs(spark, ["a b. c", None])
+    model = toxicity.fit(frame, spark.createDataFrame([], "doc_id long, toxic int"))
+    assert all(x.score < 0.01 for x in toxicity.scored(frame, model).collect())
+    assert toxicity.scored(docs(spark, []), model).count() == 0
+
+
+# Exact dedup
+
+
+def test_exact_dedup(spark):
+    texts = [None, "", "a", "A", "é", "É", "a ", *ODD, "b" * 100000, "B" * 100000]
+    ids = list(range(len(texts)))
+    texts += ["a", "dup", "dup", "n", "n"]
+    ids += [900, 901, 901, None, None]
+    frame = docs(spark, texts, ids=ids)
+    got = exact_dedup.grouped(frame).collect()
+    normal = lambda t: "".join(c.lower() if c.isascii() else c for c in t or "")
+    groups = {}
+    for i, t in zip(ids, texts):
+        groups.setdefault(normal(t), []).append(i)
+    want = sorted(((i, max((x for x in g if x is not None), default=None), len(g), hashlib.sha256(t.encode()).hexdigest()) for t, g in groups.items() for i in g), key=str)
+    assert sorted(((x.doc_id, x.keep_id, x.group_size, x.digest.hex()) for x in got), key=str) == want
+    assert sum(x.kept for x in got) == len(groups) and all(x.doc_id == x.keep_id for x in got if x.kept)
+    kept = exact_dedup.unique(frame)
+    assert kept.columns == frame.columns and kept.count() == len(groups)
+    assert exact_dedup.grouped(docs(spark, [])).count() == 0 and exact_dedup.unique(docs(spark, [])).count() == 0
+
+
+def test_exact_dedup_compares_bytes(spark):
+    frame = docs(spark, ["a", "a", "b"])
+    state = spark.createDataFrame([(hashlib.sha256(b"a").digest(), 2)], "digest binary, size long")
+    assert exact_dedup.clashes(frame, "text", state).count() == 0
+
+
+# Chat
+
+
+def test_chat_links_orders_and_checks(spark):
+    call = lambda *c: json.dumps({"content": "", "tool_calls": [{"id": i, "name": n, "arguments": a} for i, n, a in c]})
+    res = lambda i, c: json.dumps({"tool_call_id": i, "content": c})
+    turns = [
+        (1, 0, "user", "hi é \"q\"\n"), (1, 1, "tool", res("x", {"b": 1, "a": [2]})), (1, 2, "assistant", call(("x", "add", {"b": 2, "a": 1}), ("y", "add", {"a": "1"}))),
+        (1, 3, "tool", res("zz", "lost")), (2, 0, "assistant", call(("x", "nosuch", {}))), (2, 1, "assistant", "{not json"), (2, 2, "assistant", None), (None, 0, "user", "n"), (1, 5, "assistant", call(("w", "add", {"a": 1, "b": 2.5, "c": 0}))),
+    ]
+    table = spark.createDataFrame([(*t, "k", "v") for t in turns], "conv_id long, turn long, role string, text string, call_id string, level string")
+    tools = spark.createDataFrame([("add", ["a", "b"], {"a": "integer", "b": "number"})], chat.TOOLS)
+    got = sorted(chat.formatted(table, tools).collect(), key=lambda x: (str(x.conv_id), x.at_turn, x.level, x.turn, x.idx))
+    one = [(x.kind, x.call_id, x.linked, x.valid) for x in got if x.conv_id == 1]
+    assert one == [("message", None, None, None), ("call", "x", True, True), ("call", "y", False, False), ("result", "x", True, None), ("result", "zz", False, None), ("call", "w", False, False)]
+    line = next(x.json for x in got if x.kind == "call" and x.call_id == "x" and x.conv_id == 1)
+    assert line == '{"arguments":{"a":1,"b":2},"id":"x","name":"add","role":"assistant","turn":2}'
+    assert json.loads(next(x.json for x in got if x.kind == "result" and x.call_id == "x"))["content"] == {"a": [2], "b": 1}
+    assert next(x.json for x in got if x.conv_id == 1) == '{"content":"hi é \\"q\\"\\n","role":"user","turn":0}'
+    assert [(x.kind, x.linked, x.valid) for x in got if x.conv_id == 2] == [("call", False, None), ("message", None, None), ("message", None, None)]
+    assert len(got) == 10
+    assert chat.formatted(table.limit(0)).count() == 0
