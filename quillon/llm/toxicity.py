@@ -14,7 +14,7 @@ shipped has a fixed size.
 from __future__ import annotations
 
 import re
-from collections import Counter
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,6 +25,8 @@ from pyspark.sql import functions as F
 #: Labelled documents that training takes at most, of each label: the first by a hash of the id.
 TOXIC_DOCS, CLEAN_DOCS = 2500, 6000
 MOST_FEATURES, STEPS, RATE, L2 = 6000, 300, 0.3, 3e-4
+#: Features are numbered by this many bits of their hash.
+MASK = (1 << 22) - 1
 #: Words whose summed weight a worker remembers.
 CACHE_WORDS = 300_000
 
@@ -32,14 +34,15 @@ _SENTENCE = re.compile(r"[^.!?\n]+")
 _WORD = re.compile(r"[^\W_]+")
 
 
-def word_features(w: str) -> tuple[str, ...]:
-    return (w + "$", *(w[:k] for k in range(4, min(len(w), 8) + 1)))
+def word_features(w: str) -> list[int]:
+    """Numbers of a lower-cased word's features: hashes, so that no table of words is kept."""
+    return [zlib.crc32(f.encode("utf-8", "surrogatepass")) & MASK for f in (w + "$", *(w[:k] for k in range(4, min(len(w), 8) + 1)))]
 
 
 class Model:
     """Weights of features, and the bias of a sentence."""
 
-    def __init__(self, weights: dict[str, float], bias: float):
+    def __init__(self, weights: dict[int, float], bias: float):
         self.weights, self.bias = weights, bias
         self.cache: dict[str, float] = {}
 
@@ -73,33 +76,31 @@ def train(texts: list[str], toxic: list[int]) -> Model:
     y = np.array(toxic, float)
     if not 0 < y.sum() < len(y):
         return Model({}, -20.0)
-    ids: dict[str, int] = {}
-    of_word: dict[str, tuple[int, ...]] = {}
+    of_word: dict[str, list[int]] = {}
 
-    def coded(w: str) -> tuple[int, ...]:
+    def coded(w: str) -> list[int]:
         w = w.lower()
         if (got := of_word.get(w)) is None:
-            got = of_word[w] = tuple(ids.setdefault(f, len(ids)) for f in word_features(w))
+            if len(of_word) >= CACHE_WORDS // 3:
+                of_word.clear()
+            got = of_word[w] = word_features(w)
         return got
 
-    docs, seen = [], (Counter(), Counter())
+    docs, seen = [], (np.zeros(MASK + 1), np.zeros(MASK + 1))
     for t, label in zip(texts, toxic):
-        bag = [np.unique(np.fromiter((i for w in words for i in coded(w)), np.int64)) for m in _SENTENCE.finditer(t) if (words := set(_WORD.findall(m[0])))]
+        bag = [np.unique(np.fromiter((i for w in words for i in coded(w)), np.int32)) for m in _SENTENCE.finditer(t) if (words := set(_WORD.findall(m[0])))]
         docs.append(bag)
         if bag:
-            seen[label].update(np.unique(np.concatenate(bag)).tolist())
+            seen[label][np.unique(np.concatenate(bag))] += 1
     n1, n0 = y.sum(), len(y) - y.sum()
-    a, b = np.zeros(len(ids)), np.zeros(len(ids))
-    for out, counts in ((a, seen[1]), (b, seen[0])):
-        for i, n in counts.items():
-            out[i] = n
+    b, a = seen
     p, q = (a + 0.5) / (n1 + 1), (b + 0.5) / (n0 + 1)
     both = (a + b) / (n1 + n0)
     far = (p - q) / np.sqrt(both * (1 - both) * (1 / n1 + 1 / n0) + 1e-12)
     far[a + b < 4] = 0
     chosen = np.argsort(-np.abs(far), kind="stable")[:MOST_FEATURES]
     chosen = chosen[np.abs(far[chosen]) > 2]
-    place = np.full(len(ids), -1)
+    place = np.full(MASK + 1, -1, np.int32)
     place[chosen] = np.arange(len(chosen))
     rows, cols, doc_of = [], [], []
     for d, bag in enumerate(docs):
@@ -125,8 +126,7 @@ def train(texts: list[str], toxic: list[int]) -> Model:
         c1, c2 = 1 - 0.9**k, 1 - 0.999**k
         w -= RATE * (mw / c1) / (np.sqrt(vw / c2) + 1e-6)
         bias -= RATE * (mb / c1) / (np.sqrt(vb / c2) + 1e-6)
-    names = {i: f for f, i in ids.items()}
-    return Model({names[i]: float(x) for i, x in zip(chosen.tolist(), w) if abs(x) > 1e-3}, float(bias))
+    return Model({i: float(x) for i, x in zip(chosen.tolist(), w) if abs(x) > 1e-3}, float(bias))
 
 
 def in_training(doc_id: Column) -> Column:
