@@ -7,9 +7,11 @@
    shingles are fewer than the threshold asks of any partner is alone; most are.
 3. The others' shared shingles are put into one global order, rarest first. Two sets
    that are similar enough share a shingle among the first few of each (the prefix).
-   The shards of prefix shingles pair the members of each shingle's list with a few
-   pivots a round, never all with all; pairs that are connected already are left out,
-   and rounds go on until every list is settled, so that no link is lost.
+   A list holds the sets that have a shingle in their prefix. First, each list's likeliest
+   member, its pivot, is compared with the others; then members that this left in
+   different groups are compared with one another. Pairs whose sizes, unshared shingles
+   or sketches rule out a link are left out, so that near copies cost about one
+   comparison each and no link is lost.
 4. The members to be compared with a pivot, in slices of bounded size, are stored in a
    prefix tree over the global order. The pivot's set runs down the tree: sets with a
    common beginning share its partial overlap, and a subtree is cut off when the
@@ -214,7 +216,9 @@ def candidates(shared: DataFrame) -> DataFrame:
     return shared.groupBy("block").applyInArrow(run, "digest binary, n bigint, shared bigint, items binary")
 
 
-POSTING_NAMES = "shard digests sizes ranks roots shingles owners"
+#: Bits of a set's sketch: each shared shingle flips one. Sets differ in at least as many shingles as their sketches do in bits.
+SKETCH_BITS = 256
+POSTING_NAMES = "shard digests sizes shared roots sketches shingles owners places"
 
 
 def postings(sets: DataFrame, shards: int) -> DataFrame:
@@ -222,104 +226,131 @@ def postings(sets: DataFrame, shards: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            heads, sizes, ranks, roots, prefixes = [], [], [], [], []
+            heads, sizes, shared, roots, sketches, prefixes = [], [], [], [], [], []
             for d, n, k, items, root in zip(*(b.column(c).to_pylist() for c in ("digest", "n", "shared", "items", "root"))):
-                prefixes.append(np.frombuffer(items, ITEM, k - least_overlap(n) + 1))  # what is not shared comes first
+                s = np.frombuffer(items, ITEM)["s"].astype(np.uint64)
+                prefixes.append(s[: k - least_overlap(n) + 1])  # what is not shared comes first
+                flips = np.bincount(((s >> np.uint64(8)) % np.uint64(SKETCH_BITS)).astype(np.int64), minlength=SKETCH_BITS) & 1
+                sketches.append(np.packbits(flips.astype(np.uint8)).tobytes())
                 heads.append(d)
                 roots.append(root)
                 sizes.append(n)
-                ranks.append(k / n)
+                shared.append(k)
             if not prefixes:
                 continue
-            s = np.concatenate(prefixes)["s"].astype(np.uint64)
-            owner = np.repeat(np.arange(len(heads)), [len(p) for p in prefixes])
+            s, length = np.concatenate(prefixes), np.array([len(p) for p in prefixes])
+            owner = np.repeat(np.arange(len(heads)), length)
+            place = np.arange(len(s)) - np.repeat(np.cumsum(length) - length, length)
             of = _shard_of(s, shards)
             order = np.argsort(of, kind="stable")
-            s, owner, of = s[order], owner[order], of[order]
+            s, owner, place, of = s[order], owner[order], place[order], of[order]
             head, root = (np.frombuffer(b"".join(x), np.uint8).reshape(-1, 16) for x in (heads, roots))
-            size, rank = np.array(sizes, np.uint32), np.array(ranks, np.float32)
+            sketch = np.frombuffer(b"".join(sketches), np.uint8).reshape(-1, SKETCH_BITS // 8)
+            size, known = np.array(sizes, np.uint32), np.array(shared, np.uint32)
             rows = []
             for k, a, z in _cuts(of, shards):
-                own, place = np.unique(owner[a:z], return_inverse=True)
-                rows.append((k, head[own].tobytes(), size[own].tobytes(), rank[own].tobytes(), root[own].tobytes(), s[a:z].tobytes(), place.astype(np.uint32).tobytes()))
-            yield from _table(rows, POSTING_NAMES, [pa.int32(), *[pa.binary()] * 6]).to_batches()
+                own, at = np.unique(owner[a:z], return_inverse=True)
+                rows.append((k, head[own].tobytes(), size[own].tobytes(), known[own].tobytes(), root[own].tobytes(), sketch[own].tobytes(), s[a:z].tobytes(), at.astype(np.uint32).tobytes(), place[a:z].astype(np.uint32).tobytes()))
+            yield from _table(rows, POSTING_NAMES, [pa.int32(), *[pa.binary()] * 8]).to_batches()
 
     return sets.select("digest", "n", "shared", "items", "root").mapInArrow(run, "shard int, " + ", ".join(f"{x} binary" for x in POSTING_NAMES.split()[1:]))
 
 
-def _lists(t: pa.Table) -> tuple:
-    """Of a shard: members' digests, sizes and roots, and (start, end) of each shingle's list among `at`.
+class Lists:
+    """The lists of a shard: for each shingle the members that have it in their prefix.
 
     Members are numbered, and stand in each list, by how large a part of their shingles
     they share: the first is likeliest to be similar to the others.
     """
-    heads, sizes, ranks, roots, s, owner, n = [], [], [], [], [], [], 0
-    for _, d, z, r, c, x, o in _columns(t, POSTING_NAMES):
-        heads.append(np.frombuffer(d, np.uint8).reshape(-1, 16))
-        roots.append(np.frombuffer(c, np.uint8).reshape(-1, 16))
-        sizes.append(np.frombuffer(z, np.uint32))
-        ranks.append(np.frombuffer(r, np.float32))
-        s.append(np.frombuffer(x, np.uint64))
-        owner.append(np.frombuffer(o, np.uint32) + np.uint32(n))
-        n += len(sizes[-1])
-    heads, roots, sizes, ranks, s, owner = (np.concatenate(x) for x in (heads, roots, sizes, ranks, s, owner))
-    key = np.ascontiguousarray(heads).view(">u8").astype(np.uint64)
-    order = np.lexsort((key[:, 1], key[:, 0], -ranks))
-    place = np.empty(n, np.int64)
-    place[order] = np.arange(n)
-    at = place[owner]
-    by = np.lexsort((at, s))
-    s, at = s[by], at[by]
-    start = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
-    return heads[order], sizes[order].astype(np.int64), roots[order], at, list(zip(start.tolist(), [*start[1:].tolist(), len(s)]))
+
+    def __init__(self, t: pa.Table):
+        heads, sizes, shared, roots, sketches, s, owner, place, n = [], [], [], [], [], [], [], [], 0
+        for _, d, z, k, c, f, x, o, at in _columns(t, POSTING_NAMES):
+            heads.append(np.frombuffer(d, np.uint8).reshape(-1, 16))
+            roots.append(np.frombuffer(c, ">u8").reshape(-1, 2).astype(np.uint64))
+            sketches.append(np.frombuffer(f, np.uint64).reshape(-1, SKETCH_BITS // 64))
+            sizes.append(np.frombuffer(z, np.uint32))
+            shared.append(np.frombuffer(k, np.uint32))
+            s.append(np.frombuffer(x, np.uint64))
+            owner.append(np.frombuffer(o, np.uint32) + np.uint32(n))
+            place.append(np.frombuffer(at, np.uint32))
+            n += len(sizes[-1])
+        heads, roots, sketches, sizes, shared, s, owner, place = (np.concatenate(x) for x in (heads, roots, sketches, sizes, shared, s, owner, place))
+        key = np.ascontiguousarray(heads).view(">u8").astype(np.uint64)
+        order = np.lexsort((key[:, 1], key[:, 0], -(shared / sizes)))
+        number = np.empty(n, np.int64)
+        number[order] = np.arange(n)
+        self.heads, self.sketches = heads[order], sketches[order]
+        self.n, self.shared = sizes[order].astype(np.int64), shared[order].astype(np.int64)
+        by_root = np.lexsort((roots[:, 1], roots[:, 0]))
+        new = (roots[by_root][1:] != roots[by_root][:-1]).any(1)
+        root = np.empty(n, np.int64)
+        root[by_root] = np.concatenate([[0], np.cumsum(new)])
+        self.root = root[order]
+        at = number[owner]
+        by = np.lexsort((at, s))
+        s, self.at = s[by], at[by]
+        self.rest = self.shared[self.at] - place[by]  # shared shingles from this one on
+        start = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
+        self.lists = list(zip(start.tolist(), [*start[1:].tolist(), len(s)]))
+
+    def hopeful(self, i: int, others: np.ndarray) -> np.ndarray:
+        """Which others could be similar to i, by sizes, what isn't shared, and sketches: all that are similar are among them."""
+        n, m = self.n[i], self.n[others]
+        differ = (n - self.shared[i]) + (m - self.shared[others]) + np.bitwise_count(self.sketches[i] ^ self.sketches[others]).sum(1, dtype=np.int64)
+        need = least_overlap(n, m)
+        return (need <= np.minimum(n, m)) & (n + m - 2 * need >= differ)
+
+    def pairs(self, found: list[np.ndarray]) -> pa.Table:
+        pair = np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
+        rows = [(self.heads[k // len(self.heads)].tobytes(), self.heads[k % len(self.heads)].tobytes()) for k in pair.tolist()]
+        return _table(rows, "pivot member", [pa.binary()] * 2)
+
+
+PAIR = "pivot binary, member binary"
 
 
 def first_pairs(blocks: DataFrame) -> DataFrame:
-    """(pivot, member): each list's first member with all others that its size allows."""
+    """Each list's first member with all others that could be similar to it."""
 
     def run(t: pa.Table) -> pa.Table:
-        heads, sizes, _, at, lists = _lists(t)
-        found = []
-        for a, z in lists:
+        x, found = Lists(t), []
+        for a, z in x.lists:
             if z - a > 1:
-                n, m = sizes[at[a]], sizes[at[a + 1 : z]]
-                fit = at[a + 1 : z][OUT_OF * np.minimum(n, m) >= SIMILAR * np.maximum(n, m)]
-                found.append(at[a] * len(heads) + fit)
-        pair = np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
-        rows = [(heads[k // len(heads)].tobytes(), heads[k % len(heads)].tobytes()) for k in pair.tolist()]
-        return _table(rows, "pivot member", [pa.binary()] * 2)
+                i, others = int(x.at[a]), x.at[a + 1 : z]
+                # at the first shingle that two sets share, what follows must hold the overlap
+                fit = x.hopeful(i, others) & (np.minimum(x.rest[a], x.rest[a + 1 : z]) >= least_overlap(x.n[i], x.n[others]))
+                found.append(i * len(x.heads) + others[fit])
+        return x.pairs(found)
 
-    return blocks.groupBy("shard").applyInArrow(run, "pivot binary, member binary").distinct()
+    return blocks.groupBy("shard").applyInArrow(run, PAIR).distinct()
 
 
-def mixed_lists(blocks: DataFrame) -> DataFrame:
-    """(list, digest, n, place, pivots): lists whose members have several roots.
+def cross_pairs(blocks: DataFrame) -> DataFrame:
+    """Of each list, members of different roots that could be similar.
 
-    Members of the list's most frequent root stand last and needn't be pivots: the
-    others, `pivots` in number, meet them all. Lists with the same members are one.
+    Members of the list's most frequent root are not compared with one another, so a
+    list of one root costs nothing. Lists with the same members are one.
     """
 
     def run(t: pa.Table) -> pa.Table:
-        heads, sizes, roots, at, lists = _lists(t)
-        key = np.ascontiguousarray(roots).view(">u8").astype(np.uint64)
-        order = np.lexsort((key[:, 1], key[:, 0]))
-        new = np.concatenate([[True], (key[order][1:] != key[order][:-1]).any(1)])
-        root = np.empty(len(key), np.int64)
-        root[order] = np.cumsum(new) - 1
-        seen, rows = set(), []
-        for a, z in lists:
-            r = root[at[a:z]]
-            if (r != r[0]).any():
-                names, n = np.unique(r, return_counts=True)
-                often = r == names[n.argmax()]
-                members = at[a:z][np.argsort(often, kind="stable")]
-                name = hashlib.blake2b(heads[np.sort(members)].tobytes(), digest_size=16).digest()
-                if name not in seen:
-                    seen.add(name)
-                    rows += [(name, heads[m].tobytes(), int(sizes[m]), k, int(len(r) - often.sum())) for k, m in enumerate(members.tolist())]
-        return _table(rows, "list digest n place pivots", [pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int64()])
-
-    return blocks.groupBy("shard").applyInArrow(run, "list binary, digest binary, n bigint, place bigint, pivots bigint")
+        x, found, seen = Lists(t), [], set()
+        for a, z in x.lists:
+            at = x.at[a:z]
+            root = x.root[at]
+            if z - a > 1 and (root != root[0]).any() and (name := at.tobytes()) not in seen:
+                seen.add(name)
+                names, n = np.unique(root, return_counts=True)
+                often = root == names[n.argmax()]
+                at = at[np.argsort(often, kind="stable")]
+                for k in range(int(len(at) - often.sum())):
+                    others = at[k + 1 :]
+                    others = others[x.root[others] != x.root[at[k]]]
+                    others = others[x.hopeful(int(at[k]), others)]
+                    found.append(np.minimum(at[k], others) * len(x.heads) + np.maximum(at[k], others))
+        return x.pairs(found)
+
+    return blocks.groupBy("shard").applyInArrow(run, PAIR).distinct()
 
 
 class Tree:
@@ -396,22 +427,20 @@ def components(edges: DataFrame, top: str) -> DataFrame:
     """(node, root) of all ends of edges (a, b); root: the least node of the component.
 
     Each round hooks a node, and its parent, to the least grandparent among neighbours and
-    itself, then shortcuts; the number of rounds grows with the logarithm of the diameter.
+    itself; the number of rounds grows with the logarithm of the diameter.
     """
     both = stored(edges.unionAll(edges.select("b", "a")), f"{top}/edges")
     f = stored(both.groupBy(F.col("a").alias("v")).agg(F.least(F.col("v"), F.min("b")).alias("f")), f"{top}/f0")
     for k in itertools.count(1):
         up = f.select(F.col("v").alias("u"), F.col("f").alias("g"))
-        grand = f.join(up, F.col("f") == F.col("u")).select("v", "f", "g")
-        grand = stored(grand, f"{top}/g{k}")
+        grand = stored(f.join(up, F.col("f") == F.col("u")).select("v", "f", "g"), f"{top}/g{k}")
         best = both.join(grand.select(F.col("v").alias("u"), F.col("g")), F.col("b") == F.col("u")).groupBy("a").agg(F.min("g").alias("m"))
-        near = grand.join(best, F.col("v") == F.col("a")).select("v", "f", "g", "m")
-        near = stored(near, f"{top}/n{k}")
-        hook = near.select(F.col("f").alias("v"), F.col("m").alias("new")).unionAll(near.select("v", F.least("m", "g").alias("new")))
-        new = stored(hook.groupBy("v").agg(F.min("new").alias("f")), f"{top}/f{k}")
-        moved = new.join(f.select(F.col("v").alias("u"), F.col("f").alias("was")), F.col("v") == F.col("u")).where("f <> was").head(1)
-        f = new
-        if not moved:
+        near = grand.join(best, F.col("v") == F.col("a"))
+        none = F.lit(None).cast("binary")
+        hooks = F.array(F.struct(F.col("f").alias("v"), F.col("m").alias("new"), none.alias("was")), F.struct(F.col("v").alias("v"), F.least("m", "g").alias("new"), F.col("f").alias("was")))
+        f = near.select(F.explode(hooks).alias("h")).groupBy("h.v").agg(F.min("h.new").alias("f"), F.max("h.was").alias("was"))
+        f = stored(f, f"{top}/f{k}")
+        if not f.where("f <> was").head(1):
             return f.select(F.col("v").alias("node"), F.col("f").alias("root"))
 
 
@@ -448,35 +477,20 @@ def _release(spark: SparkSession) -> None:
 
 
 def _settled(spark: SparkSession, sets: DataFrame, top: str, shards: int) -> DataFrame:
-    """(node, root) of all sets that have a link, after as many rounds of pivots as it takes."""
-    own = sets.withColumn("root", F.col("digest"))
-    pairs = stored(first_pairs(postings(own, shards)), f"{top}/pairs0")
-    if not pairs.head(1):
-        return spark.createDataFrame([], "node binary, root binary")
-    links = stored(linked(pairs, sets), f"{top}/links0")
-    roots = components(links, f"{top}/cc0")
-    tried = pairs.select(F.col("pivot").alias("tp"), F.col("member").alias("tm"))
-    named = sets.join(roots, F.col("digest") == F.col("node"), "left").select("digest", "n", "shared", "items", F.coalesce("root", "digest").alias("root"))
-    lists = stored(mixed_lists(postings(named, shards)).dropDuplicates(["list", "digest"]), f"{top}/lists")
-    done, width, k = 0, 1, 0
-    while lists.where(F.col("pivots") > done).head(1):
-        k += 1
-        # pivots at places done .. done + width - 1 meet all members after them that are not connected with them
-        now = lists.join(roots, F.col("digest") == F.col("node"), "left").where((F.col("pivots") > done) & (F.col("place") >= done))
-        now = stored(now.select("list", "digest", "n", "place", "pivots", F.coalesce("root", "digest").alias("root")), f"{top}/now{k}")
-        lead = now.where((F.col("place") < done + width) & (F.col("place") < F.col("pivots"))).select(F.col("list").alias("l"), F.col("digest").alias("pivot"), F.col("n").alias("pn"), F.col("place").alias("pp"), F.col("root").alias("pr"))
-        met = now.join(lead, (F.col("list") == F.col("l")) & (F.col("place") > F.col("pp")) & (F.col("root") != F.col("pr")) & (OUT_OF * F.least("n", "pn") >= SIMILAR * F.greatest("n", "pn")))
-        met = met.select("pivot", F.col("digest").alias("member")).distinct()
-        met = met.join(tried, (F.col("pivot") == F.col("tp")) & (F.col("member") == F.col("tm")), "left_anti").join(tried, (F.col("pivot") == F.col("tm")) & (F.col("member") == F.col("tp")), "left_anti")
-        pairs = stored(met, f"{top}/pairs{k}")
+    """(node, root) of all sets that have a link."""
+    pairs = stored(first_pairs(postings(sets.withColumn("root", F.col("digest")), shards)), f"{top}/pairs1")
+    if pairs.head(1):
+        links = stored(linked(pairs, sets), f"{top}/links1")
+        # members go by their least pivot, or by that one's: what has one root here is connected
+        up = stored(links.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("f")), f"{top}/up")
+        root = up.join(up.select(F.col("node").alias("u"), F.col("f").alias("g")), F.col("f") == F.col("u"), "left").select("node", F.coalesce("g", "f").alias("root"))
+        named = sets.join(stored(root, f"{top}/roots"), F.col("digest") == F.col("node"), "left").select("digest", "n", "shared", "items", F.coalesce("root", "digest").alias("root"))
+        pairs = stored(cross_pairs(postings(named, shards)), f"{top}/pairs2")
         if pairs.head(1):
-            found = stored(linked(pairs, sets), f"{top}/links{k}")
-            tried = tried.unionAll(pairs.select(F.col("pivot").alias("tp"), F.col("member").alias("tm")))
-            if found.head(1):
-                links = links.unionAll(found)
-                roots = components(links, f"{top}/cc{k}")
-        done, width = done + width, width * 4
-    return roots
+            links = links.unionAll(stored(linked(pairs, sets), f"{top}/links2"))
+        if links.head(1):
+            return components(links, f"{top}/cc")
+    return spark.createDataFrame([], "node binary, root binary")
 
 
 def with_digest(docs: DataFrame, text_col: str, into: str) -> DataFrame:
