@@ -31,8 +31,10 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 VECTORS_SQL = "v AS (SELECT vec_id AS id, embedding::DOUBLE[] AS vector, CASE WHEN vec_id % 7 <> 0 THEN label::VARCHAR END AS label FROM embeddings)"
 
 
-def probes(spark: SparkSession, sf_dir: str, n: int) -> DataFrame:
-    return read(spark, sf_dir, "embeddings").where(F.col("vec_id") < n).select(F.col("vec_id").alias("query"), F.col("embedding").alias("vector"))
+def probes(spark: SparkSession, sf_dir: str, one: bool = False) -> DataFrame:
+    """The stated query set: every vector whose id is divisible by 50; or the first alone."""
+    rows = read(spark, sf_dir, "embeddings").where("vec_id = 0" if one else "vec_id % 50 = 0")
+    return rows.select(F.col("vec_id").alias("query"), F.col("embedding").alias("vector"))
 
 
 SCORE_SQL = "round(greatest(0, list_cosine_similarity(v.vector, q.vector)), 6)"
