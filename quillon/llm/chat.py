@@ -75,7 +75,8 @@ def formatted(turns: DataFrame, tools: DataFrame | None = None, names: tuple[str
 
     firsts = calls.groupBy("conv_id", "call_id").agg(F.min("turn").alias("call_turn")).withColumnsRenamed({"conv_id": "c_conv", "call_id": "c_id"})
     answered = results.groupBy("conv_id", "call_id").agg(F.min("turn").alias("result_turn")).withColumnsRenamed({"conv_id": "r_conv", "call_id": "r_id"})
-    tools = tools if tools is not None else spark.createDataFrame([], TOOLS)
+    if tools is None:
+        tools = spark.range(0).select(*[F.lit(None).cast(k.split(" ", 1)[1]).alias(k.split(" ", 1)[0]) for k in ("name string", "required array<string>", "types map<string,string>")])
     kinds = tools.select(F.col("name").alias("tool"), "required", "types").dropDuplicates(["tool"])
     kinds = F.broadcast(kinds) if kinds.count() <= BROADCAST_TOOLS else kinds
 

@@ -86,21 +86,24 @@ def train(texts: list[str], toxic: list[int]) -> Model:
             got = of_word[w] = word_features(w)
         return got
 
-    docs, seen = [], (np.zeros(MASK + 1), np.zeros(MASK + 1))
+    docs, seen = [], (np.zeros(MASK + 1, np.int32), np.zeros(MASK + 1, np.int32))
     for t, label in zip(texts, toxic):
         bag = [np.unique(np.fromiter((i for w in words for i in coded(w)), np.int32)) for m in _SENTENCE.finditer(t) if (words := set(_WORD.findall(m[0])))]
         docs.append(bag)
         if bag:
             seen[label][np.unique(np.concatenate(bag))] += 1
+    if not any(docs):  # not a word in any text
+        return Model({}, -20.0)
     n1, n0 = y.sum(), len(y) - y.sum()
-    b, a = seen
+    often = np.flatnonzero(seen[0] + seen[1] >= 4)
+    b, a = (x[often].astype(float) for x in seen)
     p, q = (a + 0.5) / (n1 + 1), (b + 0.5) / (n0 + 1)
     both = (a + b) / (n1 + n0)
     far = (p - q) / np.sqrt(both * (1 - both) * (1 / n1 + 1 / n0) + 1e-12)
-    far[a + b < 4] = 0
     chosen = np.argsort(-np.abs(far), kind="stable")[:MOST_FEATURES]
     chosen = chosen[np.abs(far[chosen]) > 2]
     place = np.full(MASK + 1, -1, np.int32)
+    chosen = often[chosen]
     place[chosen] = np.arange(len(chosen))
     rows, cols, doc_of = [], [], []
     for d, bag in enumerate(docs):
