@@ -32,6 +32,8 @@ ROCKSDB = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
     "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "200",
+    # no 4 MB set aside on disk by each of many small stores
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
 }
 
 
