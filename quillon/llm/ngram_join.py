@@ -24,6 +24,7 @@ from __future__ import annotations
 import gc
 import hashlib
 import itertools
+import time
 from collections.abc import Iterator
 
 import numpy as np
@@ -472,15 +473,19 @@ def joined(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 
 def _release(spark: SparkSession) -> None:
     """Let Spark drop the shuffle files of steps whose results are stored."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):  # the cleaner works beside the collector
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)
 
 
 def _settled(spark: SparkSession, sets: DataFrame, top: str, shards: int) -> DataFrame:
     """(node, root) of all sets that have a link."""
     pairs = stored(first_pairs(postings(sets.withColumn("root", F.col("digest")), shards)), f"{top}/pairs1")
+    _release(spark)
     if pairs.head(1):
         links = stored(linked(pairs, sets), f"{top}/links1")
+        _release(spark)
         # members go by their least pivot, or by that one's: what has one root here is connected
         up = stored(links.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("f")), f"{top}/up")
         root = up.join(up.select(F.col("node").alias("u"), F.col("f").alias("g")), F.col("f") == F.col("u"), "left").select("node", F.coalesce("g", "f").alias("root"))
@@ -510,6 +515,7 @@ def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     found = joined(docs, id_col, text_col).where("digest is not null")
     keep = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id").alias("id"), F.col("digest").alias("d"))).alias("k")).select("k.id", "k.d")
     keep = stored(keep, shared_dir(docs.sparkSession))
+    _release(docs.sparkSession)
     mark, k_id, k_d = (unused(x, docs.columns) for x in ("_set_digest", "_keep_id", "_keep_digest"))
     keep = keep.withColumnsRenamed({"id": k_id, "d": k_d})
     rows = with_digest(docs, text_col, mark)
