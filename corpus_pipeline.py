@@ -37,8 +37,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each document of the mix, and digests of them and of the text they decode to."""
-    raw = tokenizer()
-    rows = bpe.decode(bpe.encode(docs, raw), raw)
+    rows = bpe.round_trip(docs, tokenizer())
     return rows.select("doc_id", "ids", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 

@@ -25,9 +25,9 @@ from pyspark.sql import DataFrame
 #: How byte-level vocabularies cut a text into pieces (fixed value of the public format).
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Encoded pieces, and as many encoded words, that a worker remembers, and the longest of them.
-CACHE_PIECES, CACHE_BYTES = 250_000, 64
+CACHE_PIECES, CACHE_BYTES = 150_000, 64
 #: Pairs of tokens that the compatibility table remembers.
-TABLE_PAIRS = 400_000
+TABLE_PAIRS = 250_000
 
 
 def byte_alphabet() -> list[str]:
@@ -292,18 +292,18 @@ def made(kind: type, raw: bytes) -> Encoder | Decoder:
     return _made[key]
 
 
-def _mapped(df: DataFrame, schema: str, raw: bytes, kind: type, work) -> DataFrame:
+def _mapped(df: DataFrame, schema: str, raw: bytes, kinds: tuple[type, ...], work) -> DataFrame:
     shared = df.sparkSession.sparkContext.broadcast(raw)  # one vocabulary file, 1.5 MB
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = made(kind, shared.value)
+        coders = [made(k, shared.value) for k in kinds]
         for b in batches:
-            yield from work(c, b)
+            yield from work(*coders, b)
 
     return df.mapInArrow(run, schema)
 
 
-def _cuts(b: pa.RecordBatch, column: int, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def _cuts(b: pa.RecordBatch, column: int, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of a batch whose values hold about `most` bytes, so that very long texts don't add up."""
     start = size = 0
     for k, v in enumerate(b.column(column)):
@@ -328,7 +328,7 @@ def encode(docs: DataFrame, tokenizer: bytes, id_col: str = "doc_id", text_col:
         for part in _cuts(b, 1):
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array([c.encode(x) for x in part.column(1).to_pylist()], pa.binary())], ["id", "ids"])
 
-    out = _mapped(docs.select(docs[f"`{id_col}`"].alias("id"), docs[f"`{text_col}`"].alias("text")), f"id {t}, ids binary", tokenizer, Encoder, work)
+    out = _mapped(docs.select(docs[f"`{id_col}`"].alias("id"), docs[f"`{text_col}`"].alias("text")), f"id {t}, ids binary", tokenizer, (Encoder,), work)
     return out.withColumnRenamed("id", id_col)
 
 
@@ -340,5 +340,18 @@ def decode(rows: DataFrame, tokenizer: bytes, id_col: str = "doc_id", ids_col: s
         for part in _cuts(b, 1, 2 << 20):
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([c.decode(x) for x in part.column(1).to_pylist()], pa.string())], ["id", "ids", "decoded"])
 
-    out = _mapped(rows.select(rows[f"`{id_col}`"].alias("id"), rows[f"`{ids_col}`"].alias("ids")), f"id {t}, ids binary, decoded string", tokenizer, Decoder, work)
+    out = _mapped(rows.select(rows[f"`{id_col}`"].alias("id"), rows[f"`{ids_col}`"].alias("ids")), f"id {t}, ids binary, decoded string", tokenizer, (Decoder,), work)
     return out.withColumnRenamed("id", id_col).withColumnRenamed("ids", ids_col)
+
+
+def round_trip(docs: DataFrame, tokenizer: bytes, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, ids, decoded): encode and decode in one pass, with the rules of both."""
+    t = dict(docs.dtypes)[id_col]
+
+    def work(e: Encoder, d: Decoder, b: pa.RecordBatch):
+        for part in _cuts(b, 1):
+            ids = [e.encode(x) for x in part.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.binary()), pa.array([d.decode(x) for x in ids], pa.string())], ["id", "ids", "decoded"])
+
+    out = _mapped(docs.select(docs[f"`{id_col}`"].alias("id"), docs[f"`{text_col}`"].alias("text")), f"id {t}, ids binary, decoded string", tokenizer, (Encoder, Decoder), work)
+    return out.withColumnRenamed("id", id_col)

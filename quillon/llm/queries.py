@@ -30,8 +30,7 @@ def tokenizer(path: str | None = None) -> bytes:
 
 @query
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raw = tokenizer()
-    rows = bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), raw), raw)
+    rows = bpe.round_trip(table(spark, sf_dir, "documents"), tokenizer())
     return rows.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 

@@ -48,7 +48,9 @@ def test_bpe_equals_the_library(spark):
         want = t.encode(x or "", add_special_tokens=False).ids
         assert list(struct.unpack(f"<{len(want)}I", got[k].ids)) == want, x
         assert got[k].decoded == t.decode(want, skip_special_tokens=False) == (x or "")
-    assert bpe.encode(docs(spark, []), tokenizer()).count() == 0
+    assert bpe.encode(docs(spark, []), tokenizer()).count() == bpe.round_trip(docs(spark, []), tokenizer()).count() == 0
+    both = {x.doc_id: x for x in bpe.round_trip(docs(spark, texts), tokenizer()).collect()}
+    assert both == got
 
 
 def test_bpe_compatibility_is_merging():
