@@ -155,6 +155,13 @@ FROM d LEFT JOIN f USING (r) GROUP BY d.r, d.doc_id
 """
 
 
+@query
+def op4_line_dedup_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op4_line_dedup and beyond it every repeated run of line_dedup.LEAST_WORDS words or more."""
+    rows = line_dedup.cleaned_runs(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "n_lines", "n_gone", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("text_sha256"))
+
+
 @query
 def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.formatted(table(spark, sf_dir, "conversations"))

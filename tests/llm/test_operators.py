@@ -201,6 +201,53 @@ def test_line_chunks_resist_shifts(spark):
     assert a.subtract(b).count() <= 2
 
 
+def naive_gone(table, least):
+    """Lines of each text that lie in a run of `least` words that stood before; all runs are tried."""
+    gone, seen = {key: set() for key, _ in table}, {}
+    for key, text in table:
+        lines = (text or "").split("\n")
+        for a in range(len(lines)):
+            for z in range(a, len(lines)):
+                run = tuple(lines[a : z + 1])
+                if not run[0].split() or not run[-1].split() or sum(len(x.split()) for x in run) < least:
+                    continue
+                first = seen.setdefault(run, (key, a))
+                if first != (key, a) and (first[0] != key or a >= first[1] + len(run)):
+                    gone[key] |= set(range(a, z + 1))
+    return gone
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 6])
+def test_line_runs(spark, n):
+    r = random.Random(n)
+    line = lambda words, name: " ".join(f"{name}{r.randrange(10**6)}" for _ in range(words))
+    passages = [[line(60 // n + 1, f"p{k}") for _ in range(n)] for k in range(4)]
+    short = [line(20, "s"), line(20, "s")]
+    texts = [None, "", "\n\n"]
+    for k in range(24):
+        own = [line(r.choice([0, 3, 12]), f"o{k}") for _ in range(r.randint(1, 6))]
+        at = r.randint(0, len(own))
+        texts.append("\n".join(own[:at] + (short if k % 5 == 0 else passages[k % 4] + ([""] if k % 3 else []) + passages[(k + 1) % 4]) + own[at:]))
+    texts.append("\n".join(["same words here"] * 60))  # meets itself
+    table = list(enumerate(texts))
+    gone = naive_gone(table, line_dedup.LEAST_WORDS)
+    frame = docs(spark, texts)
+    rows = frame.select(F.col("doc_id").alias("rid"), "doc_id", "text")
+    found = {x.rid: {i for s in x.runs for i in range(s.at, s.at + s.n)} for x in line_dedup.runs(rows, line_dedup.shared_dir(spark)).collect()}
+    assert found == {k: g for k, g in gone.items() if g}
+    got = {x.doc_id: x for x in line_dedup.cleaned_runs(frame).collect()}
+    by_chunk = {x.doc_id: x.text for x in line_dedup.cleaned(frame).collect()}
+    for k, text in table:
+        lines = (text or "").split("\n")
+        left = [x for i, x in enumerate(lines) if i not in gone[k]]
+        if text is None or by_chunk[k] == text:
+            assert got[k].text == (None if text is None else "\n".join(left))
+        assert got[k].n_lines - got[k].n_gone <= len(left)
+    for p in passages:  # each stays once
+        assert sum("\n".join(p) in (x.text or "") for x in got.values()) == 1
+    assert line_dedup.cleaned_runs(docs(spark, [])).count() == 0
+
+
 # Mixing
 
 
