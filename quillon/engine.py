@@ -82,7 +82,7 @@ class Engine:
             found = quantize.sq8_rerank(rows, v, k, rows.count()).where(F.col("score") >= r["threshold"])
         elif strategy == "ivf":
             n = max(2, int(rows.count() ** 0.5))
-            found = ann.Cells(rows, n).top_k(q, k, max(1, n // 4)).where(F.col("score") >= r["threshold"])
+            found = ann.Cells(rows, n).top_k(q, k, max(1, n // 4), ann.RECALL).where(F.col("score") >= r["threshold"])
         else:
             raise config.EngineError("search:unknown_strategy", strategy)
         out = rows.join(F.broadcast(found.select("id", "score")), "id")  # top_k rows

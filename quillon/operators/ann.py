@@ -1,7 +1,12 @@
-"""Approximate search: inverted lists over k-means cells, and random-hyperplane hashing."""
+"""Approximate search: inverted lists over k-means cells, and random-hyperplane hashing.
+
+Both can be asked for a recall: how much is probed is then read from a recall curve that
+is measured against exact search on sampled rows, in one pass over the collection.
+"""
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, Window
@@ -9,8 +14,28 @@ from pyspark.sql import functions as F
 
 from quillon.functions import vectors as V
 
+from . import search
+
 #: Rows that the cells are fitted on at most; every row is assigned.
 FIT_ROWS = 100_000
+#: What approximate search is to find of the true neighbours.
+RECALL = 0.9
+#: Rows that a recall curve is measured on, and what it must exceed a stated recall by: few queries scatter.
+SAMPLE, MARGIN = 200, 0.04
+
+
+def sampled_truth(rows: DataFrame, k: int, seed: int = 7) -> tuple[DataFrame, DataFrame]:
+    """Sampled rows (id, vector) as queries (query, vector), and their exact (query, id)."""
+    sample = rows.where(F.size("vector") > 0).orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(SAMPLE).select(F.col("id").alias("query"), "vector").toArrow()
+    queries = rows.sparkSession.createDataFrame(sample)  # SAMPLE rows
+    return queries, search.top_k(rows, queries, k).select("query", "id")
+
+
+def least_effort(needed: list[float], least: int, most: int, recall: float) -> int | None:
+    """The least effort, from least to most, that finds the recall and MARGIN of pairs which need the given ones."""
+    needed = np.array(needed, float)
+    wanted = min(1.0, recall + MARGIN)
+    return next((e for e in range(least, most + 1) if not len(needed) or (needed <= e).mean() >= wanted), None)
 
 
 class Cells:
@@ -23,38 +48,86 @@ class Cells:
         self.model = KMeans(k=cells, seed=seed, maxIter=15).fit(fit_on)
         self.rows = self.model.transform(unit).select("id", "vector", F.col("prediction").alias("cell"))
 
-    def top_k(self, queries: DataFrame, k: int, probe: int) -> DataFrame:
-        """(query, id, score, rank) of queries (query, vector): the nearest `probe` cells of each are scanned."""
+    def _near(self, queries: DataFrame, probe: int) -> DataFrame:
+        """(query, qv, place, cell): the nearest `probe` cells of each query, from place 0."""
         centres = [[float(x) for x in c] for c in self.model.clusterCenters()]
-        of = F.array(*[F.struct(V.score(F.col("vector"), F.array(*map(F.lit, c))).alias("s"), F.lit(i).alias("cell")) for i, c in enumerate(centres)])
-        near = queries.select("query", F.col("vector").alias("qv"), F.explode(F.slice(F.sort_array(of, asc=False), F.lit(1), F.lit(probe))).alias("n"))
-        near = near.select("query", "qv", F.col("n.cell").alias("cell"))
+        of = F.array(*[F.struct((-V.cosine_distance(F.col("vector"), F.array(*map(F.lit, c)))).alias("s"), F.lit(i).alias("cell")) for i, c in enumerate(centres)])
+        near = queries.select("query", F.col("vector").alias("qv"), F.posexplode(F.slice(F.sort_array(of, asc=False), F.lit(1), F.lit(probe))).alias("place", "n"))
+        return near.select("query", "qv", "place", F.col("n.cell").alias("cell"))
+
+    def probes_for(self, k: int, recall: float, least: int = 1) -> int:
+        """The least number of cells, `least` or more, that reaches the recall on sampled rows."""
+        cells = len(self.model.clusterCenters())
+        queries, truth = sampled_truth(self.rows.select("id", "vector"), k)
+        held = truth.join(self.rows.select("id", "cell"), "id").select("query", "cell")
+        needed = held.join(F.broadcast(self._near(queries, cells).select("query", "cell", "place")), ["query", "cell"])
+        return least_effort([r["place"] + 1 for r in needed.select("place").collect()], min(least, cells), cells, recall) or cells
+
+    def top_k(self, queries: DataFrame, k: int, probe: int, recall: float | None = None) -> DataFrame:
+        """(query, id, score, rank) of queries (query, vector): the nearest `probe` cells of each are scanned, more where a stated recall needs it."""
+        if recall is not None:
+            probe = self.probes_for(k, recall, probe)
+        near = self._near(queries, probe).select("query", "qv", "cell")
         pairs = self.rows.join(F.broadcast(near), "cell")  # a stated query set
         w = Window.partitionBy("query").orderBy(F.desc("score"), "id")
         scored = pairs.select("query", "id", F.round(V.score(F.col("vector"), F.col("qv")), 6).alias("score"))
         return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def plane_buckets(vector, dimension: int, tables: int, bits: int, seed: int = 11):
-    """array<long>: a bucket number in each table, from the sides of seeded hyperplanes."""
+def _planes(dimension: int, n: int, seed: int = 11) -> list[list[float]]:
     import random
 
     r = random.Random(seed)
-    out = []
-    for _ in range(tables):
-        code = F.lit(0).cast("bigint")
-        for b in range(bits):
-            plane = F.array(*[F.lit(r.gauss(0, 1)) for _ in range(dimension)])
-            code = code + F.when(V.dot(vector, plane) > 0, F.lit(1 << b)).otherwise(F.lit(0))
-        out.append(code)
-    return F.array(*out)
-
-
-def lsh_top_k(rows: DataFrame, queries: DataFrame, k: int, dimension: int, tables: int = 12, bits: int = 4, id_col: str = "id", vector_col: str = "vector") -> DataFrame:
-    """(query, id, score, rank): rows that share a bucket with the query in some table, re-ranked exactly."""
-    r = rows.select(F.col(id_col).alias("id"), F.col(vector_col).alias("v"), F.posexplode(plane_buckets(F.col(vector_col), dimension, tables, bits)).alias("t", "b"))
-    q = queries.select("query", F.col("vector").alias("qv"), F.posexplode(plane_buckets(F.col("vector"), dimension, tables, bits)).alias("t", "b"))
-    hits = r.select("id", "t", "b").join(F.broadcast(q.select("query", "t", "b")), ["t", "b"]).select("query", "id").distinct()
-    pairs = hits.join(rows.select(F.col(id_col).alias("id"), F.col(vector_col).alias("v")), "id").join(F.broadcast(queries.select("query", F.col("vector").alias("qv"))), "query")
+    return [[r.gauss(0, 1) for _ in range(dimension)] for _ in range(n)]
+
+
+def plane_sides(vector, dimension: int, tables: int, bits: int, seed: int = 11):
+    """array<double>: the products with tables x bits seeded hyperplanes."""
+    return F.array(*[V.dot(vector, F.array(*map(F.lit, p))) for p in _planes(dimension, tables * bits, seed)])
+
+
+def plane_buckets(sides, tables: int, bits: int):
+    """array<long>: a bucket number in each table, from the sides of the hyperplanes."""
+    return F.array(*[sum((F.when(F.get(sides, F.lit(t * bits + b)) > 0, F.lit(1 << b)).otherwise(F.lit(0)) for b in range(bits)), F.lit(0).cast("bigint")) for t in range(tables)])
+
+
+def flips_for(rows: DataFrame, k: int, dimension: int, tables: int, bits: int, recall: float) -> int | None:
+    """The least number of neighbour buckets that reaches the recall on sampled rows (id, vector); None where all do not."""
+    queries, truth = sampled_truth(rows, k)
+    pairs = truth.join(F.broadcast(queries.withColumnRenamed("vector", "qv")), "query").join(rows, "id").select("qv", "vector").collect()  # SAMPLE x k rows
+    planes = np.array(_planes(dimension, tables * bits)).T
+    needed = []
+    for p in pairs:
+        mine = np.array(p["qv"], float) @ planes
+        differs = ((mine > 0) != (np.array(p["vector"], float) @ planes > 0)).reshape(tables, bits)
+        place = np.argsort(np.argsort(np.abs(mine), kind="stable")).reshape(tables, bits) + 1
+        n = differs.sum(1)
+        needed.append(0 if (n == 0).any() else min(place[differs & (n == 1)[:, None]], default=np.inf))
+    return least_effort(needed, 0, tables * bits, recall)
+
+
+def lsh_top_k(rows: DataFrame, queries: DataFrame, k: int, dimension: int, tables: int = 12, bits: int = 4, id_col: str = "id", vector_col: str = "vector", recall: float | None = None) -> DataFrame:
+    """(query, id, score, rank): rows that share a bucket with the query in some table, re-ranked exactly.
+
+    For a stated recall, buckets beyond the hyperplanes nearest to the query are probed
+    too, as many as the recall curve asks for; where all are not enough, search is exact.
+    """
+    rows = rows.select(F.col(id_col).alias("id"), F.col(vector_col).alias("vector"))
+    flips = 0 if recall is None else flips_for(rows, k, dimension, tables, bits, recall)
+    if flips is None:
+        return search.top_k(rows, queries, k)
+    r = rows.select("id", plane_sides(F.col("vector"), dimension, tables, bits).alias("s"))
+    r = r.select("id", F.posexplode(plane_buckets(F.col("s"), tables, bits)).alias("t", "b"))
+    q = queries.select("query", plane_sides(F.col("vector"), dimension, tables, bits).alias("s")).withColumn("own", plane_buckets(F.col("s"), tables, bits))
+    nearest = F.slice(F.sort_array(F.transform("s", lambda x, i: F.struct(F.abs(x).alias("x"), i.alias("i")))), 1, flips)
+    own = F.transform("own", lambda b, t: F.struct(t.alias("t"), b.alias("b")))
+
+    def beyond(f):
+        t, bit = F.floor(f["i"] / bits).cast("int"), F.call_function("shiftleft", F.lit(1).cast("bigint"), f["i"] % bits)
+        return F.struct(t.alias("t"), F.get("own", t).bitwiseXOR(bit).alias("b"))
+
+    q = q.select("query", F.inline(F.concat(own, F.transform(nearest, beyond))))
+    hits = r.join(F.broadcast(q), ["t", "b"]).select("query", "id").distinct()
+    pairs = hits.join(rows.withColumnRenamed("vector", "v"), "id").join(F.broadcast(queries.select("query", F.col("vector").alias("qv"))), "query")
     w = Window.partitionBy("query").orderBy(F.desc("score"), "id")
     return pairs.select("query", "id", F.round(V.score(F.col("v"), F.col("qv")), 6).alias("score")).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)

@@ -101,12 +101,12 @@ def max_score_merge(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def ivf_topk(spark: SparkSession, d: str) -> DataFrame:
-    return ann.Cells(vectors(spark, d), 16).top_k(probes(spark, d), 10, 8)
+    return ann.Cells(vectors(spark, d), 16).top_k(probes(spark, d), 10, 8, ann.RECALL)
 
 
 @query()
 def lsh_topk(spark: SparkSession, d: str) -> DataFrame:
-    return ann.lsh_top_k(vectors(spark, d), probes(spark, d), 10, DIM)
+    return ann.lsh_top_k(vectors(spark, d), probes(spark, d), 10, DIM, recall=ann.RECALL)
 
 
 # Quantization

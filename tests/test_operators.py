@@ -110,3 +110,15 @@ def test_ivf_recall(spark):
     truth = search.top_k(rows, q, 10)
     assert search.recall(ann.Cells(rows, 6).top_k(q, 10, 3), truth).agg(F.avg("recall")).first()[0] >= 0.9
     assert search.recall(ann.lsh_top_k(rows, q, 10, 8), truth).agg(F.avg("recall")).first()[0] >= 0.9
+
+
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+@pytest.mark.parametrize("name", ["ivf_topk", "lsh_topk"])
+def test_registered_recall(spark, name, sf):
+    from quillon.plans import registry
+
+    d = f"/root/testdata/{sf}"
+    truth = registry.QUERIES["knn_batch_topk"](spark, d)
+    got = search.recall(registry.QUERIES[name](spark, d), truth).agg(F.avg("recall"), F.count("*")).first()
+    assert got[0] >= 0.9 and got[1] == truth.select("query").distinct().count()
+    print(name, sf, got[0])
