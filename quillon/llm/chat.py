@@ -52,8 +52,9 @@ def formatted(turns: DataFrame, tools: DataFrame | None = None, names: tuple[str
     result that stands before its call is moved behind it. A result is linked to the
     first call of its identifier; a result without a call, or a call without a result, is
     kept with linked false. valid: whether a call's arguments fit its tool's schema; null
-    if the tool is unknown or the row is no call. A null text counts as empty; text that
-    is not such JSON is a plain message. Rows with null conversations are kept and never
+    if the tool is unknown or the row is no call. Content beside calls is a message before
+    them. A null text counts as empty; text that is not such JSON, or that has no calls in
+    its list, is a plain message. Rows with null conversations are kept and never
     linked. Repeated rows are kept.
     """
     spark = turns.sparkSession
@@ -62,10 +63,12 @@ def formatted(turns: DataFrame, tools: DataFrame | None = None, names: tuple[str
     like = F.ltrim("text").startswith("{")
     rows = rows.withColumn("made", F.when((F.col("role") == "assistant") & like, F.from_json("text", CALLS, {"mode": "PERMISSIVE"})))
     rows = rows.withColumn("got", F.when((F.col("role") == "tool") & like, F.from_json("text", RESULT, {"mode": "PERMISSIVE"})))
-    is_call, is_result = F.col("made.tool_calls").isNotNull(), F.col("got.tool_call_id").isNotNull()
+    is_call, is_result = F.size("made.tool_calls") > 0, F.col("got.tool_call_id").isNotNull()
+    is_call = F.coalesce(is_call, F.lit(False))
+    beside = is_call & (F.col("made.content") != "")  # text that stands beside calls
     none = F.lit(None)
 
-    plain = rows.where(~(is_call | is_result)).select(
+    plain = rows.where(~(is_call | is_result) | beside).withColumn("text", F.when(is_call, F.col("made.content")).otherwise(F.col("text"))).select(
         "conv_id", F.col("turn").alias("at_turn"), F.lit(0).alias("level"), "turn", F.lit(0).alias("idx"), F.lit("message").alias("kind"), none.cast("string").alias("call_id"), none.cast("boolean").alias("linked"), none.cast("boolean").alias("valid"),
         _canonical({"content": F.col("text"), "role": F.col("role"), "turn": F.col("turn")}).alias("json"),
     )

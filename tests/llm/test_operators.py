@@ -499,3 +499,15 @@ def test_chat_links_orders_and_checks(spark):
     assert [(x.kind, x.linked, x.valid) for x in got if x.conv_id == 2] == [("call", False, None), ("message", None, None), ("message", None, None)]
     assert len(got) == 10
     assert chat.formatted(table.limit(0)).count() == 0
+
+
+def test_chat_content_beside_calls(spark):
+    turn = lambda content, calls: json.dumps({"content": content, "tool_calls": calls})
+    one = [{"id": "x", "name": "add", "arguments": {}}]
+    empty = turn("none", [])
+    turns = [(1, 0, "assistant", turn("let me add", one)), (2, 0, "assistant", empty), (3, 0, "assistant", turn(None, one)), (4, 0, "assistant", turn("", one)), (5, 0, "assistant", json.dumps({"tool_calls": one}))]
+    got = chat.formatted(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")).collect()
+    got = sorted(got, key=lambda x: (x.conv_id, x.at_turn, x.level, x.turn, x.idx))
+    assert [(x.conv_id, x.kind) for x in got] == [(1, "message"), (1, "call"), (2, "message"), (3, "call"), (4, "call"), (5, "call")]
+    assert json.loads(got[0].json) == {"content": "let me add", "role": "assistant", "turn": 0}
+    assert json.loads(got[2].json)["content"] == empty
