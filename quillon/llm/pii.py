@@ -80,7 +80,7 @@ GENERATORS = {
     "email": re.compile(rf"(?<![\w.%+-])[\w.%+-]{{1,64}}+{_AT}[\w-]{{1,63}}+(?:{_DOT}[\w-]{{1,63}}+)+"),
     "ip": re.compile(r"(?<![\w:.])(?:(?:[0-9A-Fa-f]{0,4}:){2,7}[0-9A-Fa-f]{0,4}|[0-9]{1,3}(?:[.\x20]{1,3}[0-9]{1,3}){3})(?![\w:])"),
     "card": re.compile(r"(?<![0-9])[0-9](?:[\x20./_-]{0,2}[0-9]){12,18}(?![0-9])"),
-    "phone": re.compile(r"(?<![\w.])(?:\+|00)?\(?[0-9]{1,5}\)?(?:[\x20./()-]{1,2}[0-9]{2,5}){1,5}(?![\w])"),
+    "phone": re.compile(r"(?<![\w.])(?:(?:\+|00)?\(?[0-9]{1,5}\)?(?:[\x20./()-]{1,2}[0-9]{2,11}){1,5}|(?:\+|0)[0-9]{8,14})(?![\w])"),
 }
 #: Words that speak for or against a kind when they stand shortly before a span (fixed values).
 CUES = {

@@ -100,6 +100,15 @@ def test_pii_trees_add_what_base_misses(spark):
     assert got[0].redacted == "write to <EMAIL> today"
 
 
+def test_pii_phone_generator_takes_whole_numbers():
+    for number in ("0171 1234567", "089 123456", "030/1234567", "01512345678", "0049 123 1234567", "(030) 123-4567", "012/1234-567", "0123 456 7890"):
+        assert [m[0] for m in pii.GENERATORS["phone"].finditer(f"tel: {number} or")] == [number]
+    digits = lambda s: re.sub("[^0-9]", "", s)
+    for text, kind, good in pii._examples(2000, pii.SEED):
+        if kind == "phone" and good:
+            assert digits(text) in [digits(m[0]) for m in pii.GENERATORS["phone"].finditer(text)], text
+
+
 def test_pii_held_out_precision():
     x, y, kinds = [], [], []
     for text, kind, good in pii._examples(2000, 99):
