@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -18,19 +20,39 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Folders taken inside scratch(), by nesting.
+_taken: list[list[str]] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
     """A new folder that the driver and all executors see.
 
-    It lies in ``spark.checkpoint.dir``; only where that is unset (tests, local
-    runs) in a temporary folder of this machine.
+    It lies in ``spark.checkpoint.dir``; only where that is unset, on a local master, in
+    a temporary folder of this machine. It stays as long as results may depend on it:
+    whoever stores them takes them inside scratch().
     """
     top = spark.conf.get("spark.checkpoint.dir", None)
     if not top:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir is unset: executors need a folder that all of them see")
         top = os.path.join(tempfile.gettempdir(), "quillon-shared")
-        spark.conf.set("spark.checkpoint.dir", top)
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(top)
-    return f"{top.rstrip('/')}/quillon-{uuid.uuid4().hex}"
+    path = f"{top.rstrip('/')}/quillon-{uuid.uuid4().hex}"
+    if _taken:
+        _taken[-1].append(path)
+    return path
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Folders that operators take inside are deleted at the end: what they return must be stored elsewhere by then."""
+    _taken.append([])
+    try:
+        yield
+    finally:
+        for path in _taken.pop():
+            delete(spark, path)
 
 
 def delete(spark: SparkSession, path: str) -> None:
@@ -38,10 +60,19 @@ def delete(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+#: Spark drops an execution's shuffle files at its end, not when the driver happens to collect its garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def stored(df: DataFrame, path: str) -> DataFrame:
-    """Write a frame to a shared folder and read it again, which cuts its lineage."""
+    """Write a frame to a shared folder and read it again, which cuts its lineage; its shuffle files go."""
     spark = df.sparkSession
-    df.write.mode("overwrite").parquet(path)
+    before = spark.conf.get(CLEANUP)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.mode("overwrite").parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -7,11 +7,12 @@
    shingles are fewer than the threshold asks of any partner is alone; most are.
 3. The others' shared shingles are put into one global order, rarest first. Two sets
    that are similar enough share a shingle among the first few of each (the prefix).
-   A list holds the sets that have a shingle in their prefix. First, each list's likeliest
-   member, its pivot, is compared with the others; then members that this left in
-   different groups are compared with one another. Pairs whose sizes, unshared shingles
-   or sketches rule out a link are left out, so that near copies cost about one
-   comparison each and no link is lost.
+   A list holds the sets that have a shingle in their prefix, likeliest first. Its first
+   member, the pivot, is compared with the others; what that links becomes components.
+   Then the next members are pivots, in windows that grow, and only for what is still in
+   other components, until no list holds two. So a group of near copies costs about one
+   comparison a member, and no link between components is lost. Pairs whose sizes,
+   unshared shingles, places in the order or sketches rule out a link are left out.
 4. The members to be compared with a pivot, in slices of bounded size, are stored in a
    prefix tree over the global order. The pivot's set runs down the tree: sets with a
    common beginning share its partial overlap, and a subtree is cut off when the
@@ -21,10 +22,8 @@
 
 from __future__ import annotations
 
-import gc
 import hashlib
 import itertools
-import time
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,6 +40,8 @@ WORDS, SIMILAR, OUT_OF = 5, 75, 100
 #: Shingles of a shard on average, and of a packed block at most; members of a slice.
 SHARD_SHINGLES, BLOCK_SHINGLES, SLICE = 2_000_000, 3_000_000, 256
 LEAST_SHARDS = 64
+#: The next window of pivots ends so many times further on; pairs that are looked at together.
+WINDOW_GROWTH, CHUNK_PAIRS = 16, 1 << 19
 
 
 def shingles(text: bytes) -> np.ndarray:
@@ -293,63 +294,69 @@ class Lists:
         s, self.at = s[by], at[by]
         self.rest = self.shared[self.at] - place[by]  # shared shingles from this one on
         start = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
-        self.lists = list(zip(start.tolist(), [*start[1:].tolist(), len(s)]))
-
-    def hopeful(self, i: int, others: np.ndarray) -> np.ndarray:
-        """Which others could be similar to i, by sizes, what isn't shared, and sketches: all that are similar are among them."""
-        n, m = self.n[i], self.n[others]
-        differ = (n - self.shared[i]) + (m - self.shared[others]) + np.bitwise_count(self.sketches[i] ^ self.sketches[others]).sum(1, dtype=np.int64)
+        of_root = self.root[self.at]
+        several = np.minimum.reduceat(of_root, start) != np.maximum.reduceat(of_root, start)
+        self.start, self.end = start[several], np.append(start[1:], len(s))[several]
+
+    def hopeful(self, p: np.ndarray, q: np.ndarray) -> np.ndarray:
+        """Which members at p could be similar to those at q of the same list, this shingle the first they share.
+
+        By roots, sizes, what is left from here on, what isn't shared, and sketches: all
+        that are similar and in different groups are among them.
+        """
+        i, j = self.at[p], self.at[q]
+        keep = np.flatnonzero(self.root[i] != self.root[j])
+        i, j, p, q = i[keep], j[keep], p[keep], q[keep]
+        n, m = self.n[i], self.n[j]
         need = least_overlap(n, m)
-        return (need <= np.minimum(n, m)) & (n + m - 2 * need >= differ)
-
-    def pairs(self, found: list[np.ndarray]) -> pa.Table:
-        pair = np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
-        rows = [(self.heads[k // len(self.heads)].tobytes(), self.heads[k % len(self.heads)].tobytes()) for k in pair.tolist()]
-        return _table(rows, "pivot member", [pa.binary()] * 2)
+        fit = need <= np.minimum(np.minimum(n, m), np.minimum(self.rest[p], self.rest[q]))
+        keep, i, j, need, spare = keep[fit], i[fit], j[fit], need[fit], (n + m)[fit]
+        differ = spare - self.shared[i] - self.shared[j] + np.bitwise_count(self.sketches[i] ^ self.sketches[j]).sum(1, dtype=np.int64)
+        return keep[spare - 2 * need >= differ]
+
+    def pairs(self, first: int, last: int) -> np.ndarray:
+        """Pivots at places first to last (exclusive) of the lists, with hopeful later members: pivot * members + member."""
+        out, start, end = [np.zeros(0, np.int64)], self.start, self.end
+        for k in range(first, last):
+            live = end - start > k + 1
+            start, end = start[live], end[live]
+            if not len(start):
+                break
+            size = end - start - k - 1
+            total = int(size.sum())
+            upto = np.cumsum(size)
+            for a in range(0, total, CHUNK_PAIRS):
+                each = np.arange(a, min(total, a + CHUNK_PAIRS))
+                of = np.searchsorted(upto, each, "right")
+                p, q = start[of] + k, end[of] - upto[of] + each
+                fit = self.hopeful(p, q)
+                out.append(np.unique(self.at[p[fit]] * len(self.heads) + self.at[q[fit]]))
+        return np.unique(np.concatenate(out))
+
+    def open(self, last: int) -> np.ndarray:
+        """Members of lists that hold several roots from place last on: those are to be looked at again."""
+        found = [np.zeros(0, np.int64)]
+        for a, z in zip(self.start, self.end):
+            if z - a > last + 1:
+                root = self.root[self.at[a + last : z]]
+                if (root != root[0]).any():
+                    found.append(self.at[a:z])
+        return np.unique(np.concatenate(found))
 
 
 PAIR = "pivot binary, member binary"
 
 
-def first_pairs(blocks: DataFrame) -> DataFrame:
-    """Each list's first member with all others that could be similar to it."""
+def list_pairs(blocks: DataFrame, first: int, last: int) -> DataFrame:
+    """Pairs of different roots, pivots at places first to last of their lists; members to be looked at again have a null pivot."""
 
     def run(t: pa.Table) -> pa.Table:
-        x, found = Lists(t), []
-        for a, z in x.lists:
-            if z - a > 1:
-                i, others = int(x.at[a]), x.at[a + 1 : z]
-                # at the first shingle that two sets share, what follows must hold the overlap
-                fit = x.hopeful(i, others) & (np.minimum(x.rest[a], x.rest[a + 1 : z]) >= least_overlap(x.n[i], x.n[others]))
-                found.append(i * len(x.heads) + others[fit])
-        return x.pairs(found)
-
-    return blocks.groupBy("shard").applyInArrow(run, PAIR).distinct()
-
-
-def cross_pairs(blocks: DataFrame) -> DataFrame:
-    """Of each list, members of different roots that could be similar.
-
-    Members of the list's most frequent root are not compared with one another, so a
-    list of one root costs nothing. Lists with the same members are one.
-    """
-
-    def run(t: pa.Table) -> pa.Table:
-        x, found, seen = Lists(t), [], set()
-        for a, z in x.lists:
-            at = x.at[a:z]
-            root = x.root[at]
-            if z - a > 1 and (root != root[0]).any() and (name := at.tobytes()) not in seen:
-                seen.add(name)
-                names, n = np.unique(root, return_counts=True)
-                often = root == names[n.argmax()]
-                at = at[np.argsort(often, kind="stable")]
-                for k in range(int(len(at) - often.sum())):
-                    others = at[k + 1 :]
-                    others = others[x.root[others] != x.root[at[k]]]
-                    others = others[x.hopeful(int(at[k]), others)]
-                    found.append(np.minimum(at[k], others) * len(x.heads) + np.maximum(at[k], others))
-        return x.pairs(found)
+        x = Lists(t)
+        # at first each set is a root of its own: every list would be looked at again
+        pair, again = x.pairs(first, last), x.open(last) if first else np.zeros(0, np.int64)
+        heads = [h.tobytes() for h in x.heads]
+        rows = [(heads[k // len(heads)], heads[k % len(heads)]) for k in pair.tolist()]
+        return _table([*rows, *((None, heads[k]) for k in again.tolist())], "pivot member", [pa.binary()] * 2)
 
     return blocks.groupBy("shard").applyInArrow(run, PAIR).distinct()
 
@@ -460,7 +467,6 @@ def joined(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     shards = max(LEAST_SHARDS, -(-total // SHARD_SHINGLES))
     sets = candidates(shared_shingles(packed(docs, text_col, shards)))
     sets = stored(sets.dropDuplicates(["digest"]), f"{top}/sets")
-    _release(spark)
     roots = _settled(spark, sets, top, max(LEAST_SHARDS, partitions, shards // 8))
     classes = rows.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("least"))
     classes = stored(classes, f"{top}/least").join(roots.withColumnRenamed("node", "digest"), "digest", "left").select("digest", "least", F.coalesce("root", "digest").alias("root"))
@@ -471,31 +477,38 @@ def joined(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "digest", "root")
 
 
-def _release(spark: SparkSession) -> None:
-    """Let Spark drop the shuffle files of steps whose results are stored."""
-    for _ in range(2):  # the cleaner works beside the collector
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.5)
-
-
 def _settled(spark: SparkSession, sets: DataFrame, top: str, shards: int) -> DataFrame:
     """(node, root) of all sets that have a link."""
-    pairs = stored(first_pairs(postings(sets.withColumn("root", F.col("digest")), shards)), f"{top}/pairs1")
-    _release(spark)
-    if pairs.head(1):
-        links = stored(linked(pairs, sets), f"{top}/links1")
-        _release(spark)
-        # members go by their least pivot, or by that one's: what has one root here is connected
-        up = stored(links.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("f")), f"{top}/up")
-        root = up.join(up.select(F.col("node").alias("u"), F.col("f").alias("g")), F.col("f") == F.col("u"), "left").select("node", F.coalesce("g", "f").alias("root"))
-        named = sets.join(stored(root, f"{top}/roots"), F.col("digest") == F.col("node"), "left").select("digest", "n", "shared", "items", F.coalesce("root", "digest").alias("root"))
-        pairs = stored(cross_pairs(postings(named, shards)), f"{top}/pairs2")
+    chosen, roots, first, last = sets.withColumn("root", F.col("digest")), None, 0, 1
+    for k in itertools.count(1):
+        found = stored(list_pairs(postings(chosen, shards), first, last), f"{top}/found{k}")
+        pairs, again = found.where("pivot is not null"), found.where("pivot is null")
         if pairs.head(1):
-            links = links.unionAll(stored(linked(pairs, sets), f"{top}/links2"))
-        if links.head(1):
-            return components(links, f"{top}/cc")
-    return spark.createDataFrame([], "node binary, root binary")
+            links = stored(linked(pairs, sets), f"{top}/links{k}")
+            if roots is not None:  # links between components
+                for end in ("a", "b"):
+                    of = roots.select(F.col("node").alias("n"), F.col("root").alias("r"))
+                    links = links.join(of, F.col(end) == F.col("n"), "left").withColumn(end, F.coalesce("r", end)).drop("n", "r")
+                links = stored(links.distinct(), f"{top}/links{k}r")
+            if links.head(1):
+                merged = components(links, f"{top}/cc{k}")
+                if roots is not None:
+                    of = merged.select(F.col("node").alias("n"), F.col("root").alias("r"))
+                    moved = roots.join(of, F.col("root") == F.col("n"), "left").select("node", F.coalesce("r", "root").alias("root"))
+                    merged = moved.unionAll(merged).distinct()
+                roots = stored(merged, f"{top}/roots{k}")
+        if first and not again.head(1):
+            break
+        chosen = sets
+        if first:
+            chosen = chosen.join(again.select(F.col("member").alias("m")), F.col("digest") == F.col("m"), "left_semi")
+        if roots is not None:
+            chosen = chosen.join(roots, F.col("digest") == F.col("node"), "left").drop("node")
+            chosen = chosen.withColumn("root", F.coalesce("root", "digest"))
+        else:
+            chosen = chosen.withColumn("root", F.col("digest"))
+        first, last = last, last * WINDOW_GROWTH
+    return roots if roots is not None else spark.createDataFrame([], "node binary, root binary")
 
 
 def with_digest(docs: DataFrame, text_col: str, into: str) -> DataFrame:
@@ -515,7 +528,6 @@ def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     found = joined(docs, id_col, text_col).where("digest is not null")
     keep = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id").alias("id"), F.col("digest").alias("d"))).alias("k")).select("k.id", "k.d")
     keep = stored(keep, shared_dir(docs.sparkSession))
-    _release(docs.sparkSession)
     mark, k_id, k_d = (unused(x, docs.columns) for x in ("_set_digest", "_keep_id", "_keep_digest"))
     keep = keep.withColumnsRenamed({"id": k_id, "d": k_d})
     rows = with_digest(docs, text_col, mark)
