@@ -1,22 +1,20 @@
 """Exact deduplication as a stateful stream.
 
-Each row's text is lower-cased (A-Z only) and digested once; a narrow feed of
-(id, locator, digest, length) lies in a shared folder and is read as a stream. The
-stream's state, in RocksDB on the executors' disks and without expiry, retains for
-each digest the stable identifier that stays (the largest id), the locator of its
-row and the number of rows seen. Rows of one digest are combined on the map side, so
-a group of any size reaches its state as one row a task. On hits, that is for every
-digest seen more than once, the full bytes of all its texts are compared; should two
-texts ever share a digest, the run stops with an error rather than drop one.
+Each row's text is lower-cased (A-Z only) and digested once, by built-in functions; a
+narrow feed of (id, locator, digest, length) lies in a shared folder and is read as a
+stream. The stream's state, in RocksDB on the executors' disks and without expiry,
+retains for each digest and length the stable identifier that stays (the largest id),
+the locator of its row and the number of rows seen. Rows of one key are combined on
+the map side, so a group of any size reaches its state as one row a task. On hits,
+that is for every key seen more than once, the full bytes of all its texts are
+compared; texts that share a key but differ in some byte are told apart by their bytes.
 """
 
 from __future__ import annotations
 
-import hashlib
-from collections.abc import Iterator
+import functools
+from collections.abc import Callable
 
-import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -37,37 +35,23 @@ ROCKSDB = {
 }
 
 
-def _normal(text: pa.Array) -> pa.Array:
-    return pc.ascii_lower(pc.fill_null(text, ""))
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-def with_digest(docs: DataFrame, text_col: str, digest: str, normal: str | None = None) -> DataFrame:
-    """docs with the SHA-256 of the normalised text, and that text too if a name is given."""
-    place = docs.columns.index(text_col)
-    names = [*docs.columns, digest, *([normal] if normal else [])]
-    schema = T.StructType([*docs.schema.fields, T.StructField(digest, T.BinaryType()), *([T.StructField(normal, T.StringType())] if normal else [])])
+def normal(text: Column) -> Column:
+    """The text with A-Z lower-cased and nothing else; null counts as empty."""
+    text = F.coalesce(text, F.lit(""))
+    return F.when(F.length(text) == F.octet_length(text), F.lower(text)).otherwise(F.translate(text, _UPPER, _LOWER))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            text = _normal(b.column(place))
-            sums = pa.array([hashlib.sha256(x.as_buffer()).digest() for x in text], pa.binary())
-            yield pa.RecordBatch.from_arrays([*b.columns, sums, *([text] if normal else [])], names)
 
-    return docs.mapInArrow(run, schema)
+def sha256(text: Column) -> Column:
+    return F.unhex(F.sha2(text.cast("binary"), 256))
 
 
-def fed(docs: DataFrame, id_col: str, text_col: str, path: str) -> DataFrame:
+def fed(docs: DataFrame, id_col: str, text_col: str, path: str, digest: Callable[[Column], Column] = sha256) -> DataFrame:
     """The feed: (doc_id, digest, n_bytes, locator), written once, so that locators stay."""
-    kind = docs.schema[id_col].dataType
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            text = _normal(b.column(1))
-            sums = pa.array([hashlib.sha256(x.as_buffer()).digest() for x in text], pa.binary())
-            yield pa.RecordBatch.from_arrays([b.column(0), sums, pc.binary_length(text).cast(pa.int64())], ["doc_id", "digest", "n_bytes"])
-
-    schema = T.StructType([T.StructField("doc_id", kind), T.StructField("digest", T.BinaryType()), T.StructField("n_bytes", T.LongType())])
-    rows = docs.select(docs[f"`{id_col}`"].alias("doc_id"), docs[f"`{text_col}`"].alias("text")).mapInArrow(run, schema)
+    text = normal(docs[f"`{text_col}`"])
+    rows = docs.select(docs[f"`{id_col}`"].alias("doc_id"), digest(text).alias("digest"), F.octet_length(text).cast("long").alias("n_bytes"))
     return stored(rows.withColumn("locator", F.monotonically_increasing_id()), path)
 
 
@@ -111,46 +95,85 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 
 
-def clashes(docs: DataFrame, text_col: str, state: DataFrame) -> DataFrame:
-    """Digests whose texts differ in some byte. All bytes of all hits are compared."""
-    hits = state.where("size > 1").select(F.col("digest").alias("hit"))
-    texts = with_digest(docs.select(docs[f"`{text_col}`"].alias("text")), "text", "digest", "normal").select("digest", "normal")
-    texts = texts.join(F.broadcast(hits) if hits.count() <= BROADCAST_HITS else hits, F.col("digest") == F.col("hit"), "left_semi")
-    return texts.groupBy("digest").agg(F.min("normal").alias("a"), F.max("normal").alias("z")).where("a <> z").select("digest")
+def _sided(table: DataFrame) -> DataFrame:
+    """A table with a row for each group, broadcast if there are few of them (they are counted)."""
+    return F.broadcast(table) if table.count() <= BROADCAST_HITS else table
+
+
+def clashes(docs: DataFrame, text_col: str, state: DataFrame, digest: Callable[[Column], Column] = sha256) -> DataFrame:
+    """(digest, n_bytes) of keys whose texts differ in some byte. All bytes of all hits are compared."""
+    hits = state.where("size > 1").select(F.col("digest").alias("d"), F.col("n_bytes").alias("n"))
+    text = normal(docs[f"`{text_col}`"])
+    texts = docs.select(text.alias("text"), digest(text).alias("digest"), F.octet_length(text).cast("long").alias("n_bytes"))
+    texts = texts.join(_sided(hits), (F.col("digest") == F.col("d")) & (F.col("n_bytes") == F.col("n")), "left_semi")
+    return texts.groupBy("digest", "n_bytes").agg(F.min("text").alias("a"), F.max("text").alias("z")).where("a <> z").select("digest", "n_bytes")
 
 
-def grouped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _parted(docs: DataFrame, id_col: str, text_col: str, clash: DataFrame, top: str, digest: Callable[[Column], Column]) -> DataFrame:
+    """Rows whose key clashes, told apart by bytes: (doc_id, digest, n_bytes, locator, text, top, size)."""
+    text = normal(docs[f"`{text_col}`"])
+    rows = docs.select(docs[f"`{id_col}`"].alias("doc_id"), digest(text).alias("digest"), F.octet_length(text).cast("long").alias("n_bytes"), text.alias("text"))
+    on = (F.col("digest") == F.col("d")) & (F.col("n_bytes") == F.col("n"))
+    rows = rows.join(clash.select(F.col("digest").alias("d"), F.col("n_bytes").alias("n")), on, "left_semi")
+    rows = stored(rows.withColumn("locator", F.monotonically_increasing_id()), f"{top}/clashing")
+    each = rows.groupBy(F.col("text").alias("t")).agg(F.max(F.struct("doc_id", "locator")).alias("top"), F.count(F.lit(1)).alias("size"))
+    return rows.join(each, F.col("text") == F.col("t")).drop("t")
+
+
+def grouped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest: Callable[[Column], Column] = sha256) -> DataFrame:
     """(doc_id, keep_id, group_size, kept, digest), one row for each row of docs.
 
     Texts are equal when identical after lower-casing A-Z; null counts as empty. Of
     equal texts, the row with the largest id stays (null ids count as the least); of
-    rows that share that id too, one. An empty table gives no rows.
+    rows that share that id too, one. Texts that share a digest but no bytes are groups
+    of their own. An empty table gives no rows; texts of any length are whole.
     """
     spark, top = docs.sparkSession, shared_dir(docs.sparkSession)
-    feed = fed(docs, id_col, text_col, f"{top}/feed")
+    feed = fed(docs, id_col, text_col, f"{top}/feed", digest)
     state = retained(spark, f"{top}/feed", feed.schema, top)
-    same = clashes(docs, text_col, state)
-    if same.head(1):
-        raise ArithmeticError("two texts share a SHA-256 digest: " + same.head(1)[0]["digest"].hex())
-    state = state.select(F.col("digest").alias("d"), F.col("n_bytes").alias("n"), "top", "size")
-    rows = feed.join(state, (F.col("digest") == F.col("d")) & (F.col("n_bytes") == F.col("n")))
+    clash = stored(clashes(docs, text_col, state, digest), f"{top}/clashes")
+    of_key = (F.col("digest") == F.col("d")) & (F.col("n_bytes") == F.col("n"))
+    rows = feed.join(state.select(F.col("digest").alias("d"), F.col("n_bytes").alias("n"), "top", "size"), of_key)
+    if clash.head(1):
+        rows = rows.drop("d", "n").join(clash.select(F.col("digest").alias("d"), F.col("n_bytes").alias("n")), of_key, "left_anti")
+        rows = rows.unionByName(_parted(docs, id_col, text_col, clash, top, digest).drop("text"))
     return rows.select("doc_id", F.col("top")["doc_id"].alias("keep_id"), F.col("size").alias("group_size"), (F.col("locator") == F.col("top")["locator"]).alias("kept"), "digest")
 
 
-def unique(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows that stay, with the columns they had."""
+def unique(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest: Callable[[Column], Column] = sha256) -> DataFrame:
+    """The rows that stay, with the columns they had; nulls, ties and clashes as in grouped.
+
+    Rows whose text occurs once stay without a join; the others' keys (a row for each
+    group) are broadcast if they are few, so that texts are not shuffled.
+    """
     spark, top = docs.sparkSession, shared_dir(docs.sparkSession)
-    feed = fed(docs, id_col, text_col, f"{top}/feed")
+    feed = fed(docs, id_col, text_col, f"{top}/feed", digest)
     state = retained(spark, f"{top}/feed", feed.schema, top)
-    same = clashes(docs, text_col, state)
-    if same.head(1):
-        raise ArithmeticError("two texts share a SHA-256 digest: " + same.head(1)[0]["digest"].hex())
-    mark, d, keep = unused("_digest", docs.columns), unused("_state_digest", docs.columns), unused("_keep_id", docs.columns)
-    tops = state.select(F.col("digest").alias(d), F.col("top")["doc_id"].alias(keep))
-    is_top: Column = (F.col("digest") == F.col(d)) & F.col("doc_id").eqNullSafe(F.col(keep))
-    tied = feed.join(tops, is_top, "left_semi").groupBy("digest").count().where("count > 1")
-    out = with_digest(docs, text_col, mark)
-    out = out.join(tops, (F.col(mark) == F.col(d)) & out[f"`{id_col}`"].eqNullSafe(F.col(keep)), "left_semi")
-    if tied.head(1):  # rows that repeat id and text: any of them stands for all
-        out = out.dropDuplicates([mark])
-    return out.drop(mark)
+    clash = stored(clashes(docs, text_col, state, digest), f"{top}/clashes")
+    d, n, keep, tied = (unused(x, docs.columns) for x in ("_digest", "_n_bytes", "_keep_id", "_tied"))
+    hits = state.where("size > 1").select(F.col("digest").alias(d), F.col("n_bytes").alias(n), F.col("top"))
+    of_key = (F.col("digest") == F.col(d)) & (F.col("n_bytes") == F.col(n))
+    # rows that repeat both id and text of the one that stays: any of them stands for all
+    again = feed.join(hits, of_key).where(F.col("doc_id").eqNullSafe(F.col("top.doc_id")) & (F.col("locator") != F.col("top.locator"))).select(F.col(d).alias("d"), F.col(n).alias("n")).distinct()
+    hits = hits.join(again, (F.col(d) == F.col("d")) & (F.col(n) == F.col("n")), "left").select(d, n, F.col("top.doc_id").alias(keep), F.col("d").isNotNull().alias(tied))
+    if clash.head(1):
+        hits = hits.join(clash, (F.col(d) == F.col("digest")) & (F.col(n) == F.col("n_bytes")), "left_anti")
+    hits = stored(hits, f"{top}/hits")
+    text = normal(docs[f"`{text_col}`"])
+
+    def has_key(k: str, m: str) -> Column:
+        return (digest(text) == F.col(k)) & (F.octet_length(text).cast("long") == F.col(m))
+
+    rest, parts = docs, []
+    if clash.head(1):
+        bad = clash.toDF(k := unused("_clash_digest", docs.columns), m := unused("_clash_bytes", docs.columns))
+        rest = docs.join(bad, has_key(k, m), "left_anti")
+        tops = _parted(docs, id_col, text_col, clash, top, digest).where(F.col("locator") == F.col("top")["locator"]).select(F.col("text").alias(d), F.col("doc_id").alias(keep))
+        kept = docs.join(bad, has_key(k, m), "left_semi").join(tops, (text == F.col(d)) & docs[f"`{id_col}`"].eqNullSafe(F.col(keep)))
+        parts.append(kept.dropDuplicates([d]))
+    rows = rest.join(_sided(hits), has_key(d, n), "left").where(F.col(d).isNull() | docs[f"`{id_col}`"].eqNullSafe(F.col(keep)))
+    parts.append(rows.where(~F.coalesce(F.col(tied), F.lit(False))))
+    if hits.where(tied).head(1):
+        parts.append(rows.where(tied).dropDuplicates([d, n]))
+    out = [x.select(*[f"`{c}`" for c in docs.columns]) for x in parts]
+    return functools.reduce(DataFrame.unionByName, out)

@@ -480,10 +480,25 @@ def test_exact_dedup(spark):
     assert exact_dedup.grouped(docs(spark, [])).count() == 0 and exact_dedup.unique(docs(spark, [])).count() == 0
 
 
-def test_exact_dedup_compares_bytes(spark):
-    frame = docs(spark, ["a", "a", "b"])
-    state = spark.createDataFrame([(hashlib.sha256(b"a").digest(), 2)], "digest binary, size long")
-    assert exact_dedup.clashes(frame, "text", state).count() == 0
+@pytest.mark.parametrize("digest", [lambda c: F.lit(b"x"), lambda c: F.substring(exact_dedup.sha256(c), 1, 1)])
+def test_exact_dedup_compares_bytes(spark, digest):
+    """With digests that clash, texts are told apart by their bytes."""
+    r = random.Random(1)
+    texts = [None, ""] + ["".join(r.choice("abAB") for _ in range(r.randint(1, 3))) for _ in range(150)]
+    ids = [r.choice([None, *range(100)]) for _ in texts]
+    frame = docs(spark, texts, ids=ids)
+    groups = {}
+    for i, t in zip(ids, texts):
+        groups.setdefault((t or "").lower(), []).append(i)
+    want = sorted(((i, max((x for x in g if x is not None), default=None), len(g)) for g in groups.values() for i in g), key=str)
+    got = exact_dedup.grouped(frame, digest=digest)
+    assert sorted(((x.doc_id, x.keep_id, x.group_size) for x in got.collect()), key=str) == want
+    assert got.where("kept").count() == len(groups)
+    kept = exact_dedup.unique(frame, digest=digest).collect()
+    assert sorted((x.text or "").lower() for x in kept) == sorted(groups)
+    assert all(x.doc_id == max((i for i in groups[(x.text or "").lower()] if i is not None), default=None) for x in kept)
+    state = spark.createDataFrame([(b"x", 1, 5)], "digest binary, n_bytes long, size long")
+    assert exact_dedup.clashes(frame, "text", state, lambda c: F.lit(b"x")).count() == 1
 
 
 # Chat
