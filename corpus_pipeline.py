@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.llm import bpe, exact_dedup, mixing, ngram_join, quality
-from quillon.llm.common import shared_dir, stored, table
+from quillon.llm.common import delete, scratch, shared_dir, stored, table
 from quillon.llm.queries import tokenizer
 
 
@@ -48,8 +48,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each written to the shared folder and read again."""
-    docs, top = table(spark, sf_dir, "documents"), shared_dir(spark)
+    """All stages over documents, each written to the shared folder and read again.
+
+    When a stage is written, its input's copy and the side tables of its operators go.
+    """
+    docs, top, before = table(spark, sf_dir, "documents"), shared_dir(spark), None
     for k, (name, stage) in enumerate(STAGES):
-        docs = stored(stage(spark, docs, sf_dir), f"{top}/{k}-{name}")
+        with scratch(spark):
+            docs = stored(stage(spark, docs, sf_dir), f"{top}/{k}-{name}")
+        if before:
+            delete(spark, before)
+        before = f"{top}/{k}-{name}"
     return docs
