@@ -22,12 +22,15 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from .common import texts_to_python
+
 #: How byte-level vocabularies cut a text into pieces (fixed value of the public format).
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Encoded pieces, and as many encoded words, that a worker remembers, and the longest of them.
-CACHE_PIECES, CACHE_BYTES = 150_000, 64
+#: Encoded pieces, and as many encoded words, of a generation that a worker remembers (there
+#: are two: what the older holds moves on when it is met again), and the longest of them.
+CACHE_PIECES, CACHE_BYTES = 80_000, 48
 #: Pairs of tokens that the compatibility table remembers.
-TABLE_PAIRS = 250_000
+TABLE_PAIRS = 160_000
 
 
 def byte_alphabet() -> list[str]:
@@ -90,7 +93,7 @@ class Encoder:
         self.special = special
         self.cut = regex.compile("(" + "|".join(regex.escape(t) for t in sorted(special, key=len, reverse=True)) + ")") if special else None
         self.pieces = regex.compile(PIECES)
-        self.bytes_of = as_bytes
+        self.bytes_of, self.length = as_bytes, [len(b) for b in as_bytes]
         # merges: rank and result by pair; how each token falls apart again
         self.rank: dict[tuple[int, int], int] = {}
         self.joined: dict[tuple[int, int], int] = {}
@@ -126,9 +129,12 @@ class Encoder:
                 if (j := self.id_of.get(b[:n])) is not None:
                     self.shorter[i] = j
                     break
-        self.fits: dict[tuple[int, int], bool] = {}
+        self.size = size
+        self.fits: dict[int, bool] = {}
         self.cache: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
         self.spaced: dict[str, bytes] = {}  # the same for whole words after a space
+        self.old_spaced: dict[str, bytes] = {}
 
     def by_merging(self, data: bytes) -> list[int]:
         """The merge rules applied one by one: quadratic, for tokens only."""
@@ -148,7 +154,7 @@ class Encoder:
         tokens' last merges, again and again, and look for a pair that would have
         joined earlier than what has been undone.
         """
-        key = (left, right)
+        key = left * self.size + right
         known = self.fits.get(key)
         if known is not None:
             return known
@@ -180,19 +186,22 @@ class Encoder:
         n = len(data)
         if (whole := self.id_of.get(data)) is not None:
             return [whole]
-        longest, where = [0] * n, [0] * n
+        where = [0] * n  # matches come by their ends, so the last of a start is its longest
         for end, (size, i) in self.automaton.iter(data.decode("latin-1")):
-            start = end - size + 1
-            if size > longest[start]:
-                longest[start], where[start] = size, i
-        shorter, bytes_of, compatible = self.shorter, self.bytes_of, self.compatible
+            where[end - size + 1] = i
+        shorter, length, known, many = self.shorter, self.length, self.fits.get, self.size
         out: list[int] = []
         dead = bytearray(n + 1)  # places from which the rest was found to have no encoding
         at, token = 0, where[0]
         while True:
-            size = len(bytes_of[token])
-            end = at + size
-            if not dead[end] and (not out or compatible(out[-1], token)):
+            end = at + length[token]
+            if out and not dead[end]:
+                fine = known(out[-1] * many + token)
+                if fine is None:
+                    fine = self.compatible(out[-1], token)
+            else:
+                fine = not dead[end]
+            if fine:
                 out.append(token)
                 at = end
                 if at == n:
@@ -203,20 +212,22 @@ class Encoder:
             while token < 0:  # nothing starts here after out[-1]: shorten that one
                 dead[at] = 1
                 last = out.pop()
-                at -= len(bytes_of[last])
+                at -= length[last]
                 token = shorter[last]
 
-    def segment(self, text: str) -> bytes:
-        """Ids of a stretch of text that begins and ends where pieces do."""
+    def segment(self, text: str, keep: bool = True) -> bytes:
+        """Ids of a stretch of text that begins and ends where pieces do; keep: remember its pieces."""
         cache, out = self.cache, []
         for p in self.pieces.findall(text):
             ids = cache.get(p)
             if ids is None:
-                data = p.encode()
-                ids = array("I", self.piece(data)).tobytes()
-                if len(data) <= CACHE_BYTES:
+                ids = self.old.get(p)
+                if ids is None:
+                    ids = array("I", self.piece(p.encode())).tobytes()
+                if keep and len(p) <= CACHE_BYTES:
                     if len(cache) >= CACHE_PIECES:
-                        cache.clear()
+                        self.old, cache = cache, {}
+                        self.cache = cache
                     cache[p] = ids
             out.append(ids)
         return b"".join(out)
@@ -259,10 +270,12 @@ class Encoder:
         """Ids of a space and a word after it."""
         ids = self.spaced.get(w)
         if ids is None:
-            ids = self.segment(" " + w)
-            if len(w) <= CACHE_BYTES:
+            ids, short = self.old_spaced.get(w), len(w) <= CACHE_BYTES
+            if ids is None:
+                ids = self.segment(" " + w, not (short and w.isalpha()))  # a word of letters is one piece: remembered here
+            if short:
                 if len(self.spaced) >= CACHE_PIECES:
-                    self.spaced.clear()
+                    self.old_spaced, self.spaced = self.spaced, {}
                 self.spaced[w] = ids
         return ids
 
@@ -293,6 +306,7 @@ def made(kind: type, raw: bytes) -> Encoder | Decoder:
 
 
 def _mapped(df: DataFrame, schema: str, raw: bytes, kinds: tuple[type, ...], work) -> DataFrame:
+    texts_to_python(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(raw)  # one vocabulary file, 1.5 MB
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -303,7 +317,7 @@ def _mapped(df: DataFrame, schema: str, raw: bytes, kinds: tuple[type, ...], wor
     return df.mapInArrow(run, schema)
 
 
-def _cuts(b: pa.RecordBatch, column: int, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def _cuts(b: pa.RecordBatch, column: int, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of a batch whose values hold about `most` bytes, so that very long texts don't add up."""
     start = size = 0
     for k, v in enumerate(b.column(column)):

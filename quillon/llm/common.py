@@ -76,6 +76,22 @@ def stored(df: DataFrame, path: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Most bytes of a batch of whole texts that is sent to Python.
+TEXT_BATCH = 8 << 20
+
+
+def texts_to_python(spark: SparkSession) -> None:
+    """Let the session send whole texts to Python in batches of TEXT_BATCH at most.
+
+    The setting is read when a plan runs, so it stays set; a smaller one is kept. What a
+    batch holds lies in memory at least twice, in the executor and in its worker.
+    """
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = int(spark.conf.get(name).rstrip("bB"))
+    if now < 0 or now > TEXT_BATCH:
+        spark.conf.set(name, f"{TEXT_BATCH}b")
+
+
 def unused(name: str, taken: list[str]) -> str:
     """A column name that no column of the input has, whatever its case."""
     low = {c.lower() for c in taken}
