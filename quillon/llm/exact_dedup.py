@@ -29,7 +29,7 @@ FILES_PER_BATCH = 4096
 ROCKSDB = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
-    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "200",
+    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "64",
     # no 4 MB set aside on disk by each of many small stores
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
 }
@@ -63,7 +63,8 @@ def retained(spark: SparkSession, feed: str, schema: T.StructType, to: str) -> D
     """
     before = {k: spark.conf.get(k, None) for k in ROCKSDB}
     for k, v in ROCKSDB.items():
-        spark.conf.set(k, v)
+        if before[k] is None or k.endswith("providerClass"):  # else as the session has it
+            spark.conf.set(k, v)
     try:
         rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", FILES_PER_BATCH).parquet(feed)
         state = rows.groupBy("digest", "n_bytes").agg(F.max(F.struct("doc_id", "locator")).alias("top"), F.count(F.lit(1)).alias("size"))

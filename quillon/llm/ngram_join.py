@@ -34,11 +34,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import shared_dir, stored, unused
+from .common import shared_dir, stored, texts_to_python, unused
 
 WORDS, SIMILAR, OUT_OF = 5, 75, 100
 #: Shingles of a shard on average, and of a packed block at most; members of a slice.
-SHARD_SHINGLES, BLOCK_SHINGLES, SLICE = 2_000_000, 3_000_000, 256
+SHARD_SHINGLES, BLOCK_SHINGLES, SLICE = 1_000_000, 1_000_000, 256
 LEAST_SHARDS = 64
 #: The next window of pivots ends so many times further on; pairs that are looked at together.
 WINDOW_GROWTH, CHUNK_PAIRS = 16, 1 << 19
@@ -76,6 +76,7 @@ def _texts(b: pa.RecordBatch, column: int) -> Iterator[bytes]:
 def described(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(doc_id, n, digest): the size of each row's set, and the set's digest (null if empty)."""
     kind = dict(docs.dtypes)[id_col]
+    texts_to_python(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -124,6 +125,7 @@ BLOCK, BLOCK_NAMES, BLOCK_KINDS = "shard bigint, block bigint, a binary, b binar
 
 def packed(docs: DataFrame, text_col: str, shards: int) -> DataFrame:
     """All sets' shingles in blocks for the shards; equal sets of one block once."""
+    texts_to_python(docs.sparkSession)
 
     def block(sets: list[np.ndarray], digests: list[bytes], number: int) -> pa.Table:
         s = np.concatenate(sets)
@@ -513,6 +515,7 @@ def _settled(spark: SparkSession, sets: DataFrame, top: str, shards: int) -> Dat
 
 def with_digest(docs: DataFrame, text_col: str, into: str) -> DataFrame:
     """docs with the digest of each row's set, null for rows without a word."""
+    texts_to_python(docs.sparkSession)
     place, names = docs.columns.index(text_col), [*docs.columns, into]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import texts_to_python
+
 KINDS = ("email", "ip", "card", "phone")
 
 # Base rules (fixed patterns of the contract). What cannot begin a match is skipped
@@ -292,6 +294,7 @@ def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model
     spans. Each row stands for itself; other columns are not read. No shuffle; the trees
     (a few kB) are shipped with the function.
     """
+    texts_to_python(docs.sparkSession)
     kind_of = dict(docs.dtypes)[id_col]
     model = model or trained()
 

@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import texts_to_python
+
 #: Labelled documents that training takes at most, of each label: the first by a hash of the id.
 TOXIC_DOCS, CLEAN_DOCS = 2500, 6000
 MOST_FEATURES, STEPS, RATE, L2 = 6000, 300, 0.3, 3e-4
@@ -159,6 +161,7 @@ def scored(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     Null and empty texts score 0 and have no sentences. Each row stands for itself. No
     shuffle; the model is at most MOST_FEATURES weights.
     """
+    texts_to_python(docs.sparkSession)
     kind = dict(docs.dtypes)[id_col]
     shared = docs.sparkSession.sparkContext.broadcast((model.weights, model.bias))
     line = float(np.log(at_least / (1 - at_least)))
