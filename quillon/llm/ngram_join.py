@@ -40,6 +40,8 @@ WORDS, SIMILAR, OUT_OF = 5, 75, 100
 #: Shingles of a shard on average, and of a packed block at most; members of a slice.
 SHARD_SHINGLES, BLOCK_SHINGLES, SLICE = 1_000_000, 1_000_000, 256
 LEAST_SHARDS = 64
+#: The most keys of rows that are broadcast to a scan of the texts; beyond, a shuffled join.
+BROADCAST_KEYS = 200_000
 #: The next window of pivots ends so many times further on; pairs that are looked at together.
 WINDOW_GROWTH, CHUNK_PAIRS = 16, 1 << 19
 
@@ -527,15 +529,26 @@ def with_digest(docs: DataFrame, text_col: str, into: str) -> DataFrame:
 
 
 def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of each component, the one with the least id (null ids last), and all rows without a word."""
+    """One row of each component, the one with the least id (null ids last), and all rows without a word.
+
+    Rows of one id and set count as one. Only the rows that go are joined, by set and id:
+    they are broadcast if they are few (they are counted), so that texts are not shuffled.
+    """
+    top = shared_dir(docs.sparkSession)
     found = joined(docs, id_col, text_col).where("digest is not null")
-    keep = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id").alias("id"), F.col("digest").alias("d"))).alias("k")).select("k.id", "k.d")
-    keep = stored(keep, shared_dir(docs.sparkSession))
-    mark, k_id, k_d = (unused(x, docs.columns) for x in ("_set_digest", "_keep_id", "_keep_digest"))
-    keep = keep.withColumnsRenamed({"id": k_id, "d": k_d})
+    keys = stored(found.groupBy("root", "digest", "doc_id").agg(F.count(F.lit(1)).alias("times")), f"{top}/keys")
+    first = keys.groupBy(F.col("root").alias("r")).agg(F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id").alias("id"), F.col("digest").alias("d"))).alias("k"))
+    ranked = keys.join(first, F.col("root") == F.col("r")).withColumn("stays", (F.col("digest") == F.col("k.d")) & F.col("doc_id").eqNullSafe(F.col("k.id")))
+    mark, k_id, k_d = (unused(x, docs.columns) for x in ("_set_digest", "_key_id", "_key_digest"))
+    ranked = stored(ranked.where(~F.col("stays") | (F.col("times") > 1)).select(F.col("doc_id").alias(k_id), F.col("digest").alias(k_d), "stays"), f"{top}/ranked")
+    gone, tied = ranked.where(~F.col("stays")).drop("stays"), ranked.where("stays").drop("stays")
+
+    def side(t: DataFrame) -> DataFrame:
+        return F.broadcast(t) if t.count() <= BROADCAST_KEYS else t
+
     rows = with_digest(docs, text_col, mark)
-    kept = rows.where(F.col(mark).isNotNull()).join(keep, (F.col(mark) == F.col(k_d)) & rows[f"`{id_col}`"].eqNullSafe(F.col(k_id)), "left_semi")
-    tied = found.join(keep, (F.col("digest") == F.col(k_d)) & F.col("doc_id").eqNullSafe(F.col(k_id)), "left_semi").groupBy("digest").count().where("count > 1")
+    key = (F.col(mark) == F.col(k_d)) & rows[f"`{id_col}`"].eqNullSafe(F.col(k_id))
+    left = rows.join(side(gone), key, "left_anti")
     if tied.head(1):  # rows that repeat id and set: any of them stands for all
-        kept = kept.dropDuplicates([mark])
-    return kept.unionByName(rows.where(F.col(mark).isNull())).drop(mark)
+        left = left.join(side(tied), key, "left_anti").unionByName(rows.join(side(tied), key, "left_semi").dropDuplicates([mark]))
+    return left.drop(mark)
