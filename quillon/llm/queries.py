@@ -118,6 +118,7 @@ FROM d
 
 @query
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base spans' counts and digest, and all spans; n_spans: base and added ones, secrets included."""
     rows = pii.spans(table(spark, sf_dir, "documents"))
     base = F.filter("spans", lambda s: s["base"])
 
@@ -125,7 +126,7 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
         return F.size(F.filter(base, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
 
     counts = [counted(k) for k in pii.KINDS]
-    return rows.select("doc_id", *counts, F.sha2(pii.listed(base), 256).alias("base_sha256"), pii.listed(F.col("spans")).alias("spans"))
+    return rows.select("doc_id", *counts, F.sha2(pii.listed(base), 256).alias("base_sha256"), pii.listed(F.col("spans")).alias("spans"), F.size("spans").cast("long").alias("n_spans"))
 
 
 @query
