@@ -558,13 +558,14 @@ def test_chat_links_orders_and_checks(spark):
     tools = spark.createDataFrame([("add", ["a", "b"], {"a": "integer", "b": "number"})], chat.TOOLS)
     got = sorted(chat.formatted(table, tools).collect(), key=lambda x: (str(x.conv_id), x.at_turn, x.level, x.turn, x.idx))
     one = [(x.kind, x.call_id, x.linked, x.valid) for x in got if x.conv_id == 1]
-    assert one == [("message", None, None, None), ("call", "x", True, True), ("call", "y", False, False), ("result", "x", True, None), ("result", "zz", False, None), ("call", "w", False, False)]
+    message = ("message", None, None, None)
+    assert one == [message, message, ("call", "x", True, True), ("call", "y", False, False), ("result", "x", True, None), ("result", "zz", False, None), message, ("call", "w", False, False)]
     line = next(x.json for x in got if x.kind == "call" and x.call_id == "x" and x.conv_id == 1)
     assert line == '{"arguments":{"a":1,"b":2},"id":"x","name":"add","role":"assistant","turn":2}'
     assert json.loads(next(x.json for x in got if x.kind == "result" and x.call_id == "x"))["content"] == {"a": [2], "b": 1}
     assert next(x.json for x in got if x.conv_id == 1) == '{"content":"hi é \\"q\\"\\n","role":"user","turn":0}'
-    assert [(x.kind, x.linked, x.valid) for x in got if x.conv_id == 2] == [("call", False, None), ("message", None, None), ("message", None, None)]
-    assert len(got) == 10
+    assert [(x.kind, x.linked, x.valid) for x in got if x.conv_id == 2] == [("message", None, None), ("call", False, None), ("message", None, None), ("message", None, None)]
+    assert len(got) == 13
     assert chat.formatted(table.limit(0)).count() == 0
 
 
@@ -572,9 +573,56 @@ def test_chat_content_beside_calls(spark):
     turn = lambda content, calls: json.dumps({"content": content, "tool_calls": calls})
     one = [{"id": "x", "name": "add", "arguments": {}}]
     empty = turn("none", [])
-    turns = [(1, 0, "assistant", turn("let me add", one)), (2, 0, "assistant", empty), (3, 0, "assistant", turn(None, one)), (4, 0, "assistant", turn("", one)), (5, 0, "assistant", json.dumps({"tool_calls": one}))]
+    more = [turn("c", one) + " and more", turn("c", one) + "] x", turn("c", one) + "," + turn("c", one), turn("c", one) + "} {", turn("c", one)[:-1]]
+    turns = [(1, 0, "assistant", turn("let me add", one)), (2, 0, "assistant", empty), (3, 0, "assistant", turn(None, one)), (4, 0, "assistant", turn("", one)), (5, 0, "assistant", json.dumps({"tool_calls": one})), (6, 0, None, "no role"), (7, 0, "assistant", turn("z" * 200000, one))]
+    turns += [(10 + k, 0, "assistant", x) for k, x in enumerate(more)]
     got = chat.formatted(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")).collect()
     got = sorted(got, key=lambda x: (x.conv_id, x.at_turn, x.level, x.turn, x.idx))
-    assert [(x.conv_id, x.kind) for x in got] == [(1, "message"), (1, "call"), (2, "message"), (3, "call"), (4, "call"), (5, "call")]
-    assert json.loads(got[0].json) == {"content": "let me add", "role": "assistant", "turn": 0}
-    assert json.loads(got[2].json)["content"] == empty
+    assert [(x.conv_id, x.kind) for x in got] == [(1, "message"), (1, "call"), (2, "message"), (3, "message"), (3, "call"), (4, "message"), (4, "call"), (5, "message"), (5, "call"), (6, "message"), (7, "message"), (7, "call"), *((10 + k, "message") for k in range(len(more)))]
+    said = {x.conv_id: json.loads(x.json)["content"] for x in got if x.kind == "message"}
+    assert said == {1: "let me add", 2: empty, 3: None, 4: "", 5: None, 6: "no role", 7: "z" * 200000, **{10 + k: x for k, x in enumerate(more)}}  # what is more than such JSON stays as it is
+    assert next(x.json for x in got if x.conv_id == 6) == '{"content":"no role","role":null,"turn":0}'
+
+
+def naive_order(turns):
+    """Places of the calls and results of one conversation: (at_turn, level) by id, following each chain."""
+    calls, answers = {}, {}
+    for turn, role, text in turns:
+        if role == "assistant":
+            for idx, c in enumerate(json.loads(text)["tool_calls"]):
+                calls.setdefault(c["id"], (turn, idx, c.get("after") or []))
+        else:
+            answers.setdefault(json.loads(text)["tool_call_id"], turn)
+
+    def call(i):
+        turn, idx, after = calls[i]
+        return max([(turn, 0), *((a, n + 1) for a, n in (result(x) for x in after if x in calls and calls[x][:2] < (turn, idx)))])
+
+    def result(i):
+        at, n = call(i)
+        return max((answers.get(i, at), 1), (at, n + 1))
+
+    return {("call", i): call(i) for i in calls} | {("result", i): result(i) if i in calls else (t, 1) for i, t in answers.items()}
+
+
+def test_chat_orders_chains_of_calls(spark):
+    r = random.Random(3)
+    turns = []
+    for conv in range(30):
+        ids = [f"c{k}" for k in range(r.randint(1, 7))]
+        places = r.sample(range(30), 2 * len(ids))
+        for k, i in enumerate(ids):
+            after = r.sample(ids, r.randint(0, min(2, len(ids))))
+            turns.append((conv, places[2 * k], "assistant", json.dumps({"tool_calls": [{"id": i, "name": "f", "arguments": {}, "after": after}]})))
+            if r.random() < 0.8:
+                turns.append((conv, places[2 * k + 1], "tool", json.dumps({"tool_call_id": i, "content": k})))
+    for k in range(4):  # a chain whose first answer comes last
+        turns.append((30, k, "assistant", json.dumps({"tool_calls": [{"id": f"c{k}", "name": "f", "arguments": {}, "after": [f"c{k - 1}"]}]})))
+        turns.append((30, 9 - k, "tool", json.dumps({"tool_call_id": f"c{k}", "content": k})))
+    got = chat.formatted(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").repartition(3)).where("kind <> 'message'").collect()
+    deep = 0
+    for conv in range(31):
+        want = naive_order([t[1:] for t in sorted(turns) if t[0] == conv])
+        assert {(x.kind, x.call_id): (x.at_turn, x.level) for x in got if x.conv_id == conv} == want
+        deep = max(deep, *(n for _, n in want.values()))
+    assert deep == 7
