@@ -26,7 +26,7 @@ def norm2(a: Column) -> Column:
 def cosine_distance(a: Column, b: Column) -> Column:
     """Clamped to [0, 1] below, 1 for degenerate vectors."""
     size = F.sqrt(norm2(a) * norm2(b))
-    cos = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot(a, b) / size))
+    cos = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.try_divide(dot(a, b), size)))
     return F.when(size > 0, F.greatest(F.lit(0.0), 1 - cos)).otherwise(F.lit(1.0))
 
 
@@ -36,8 +36,9 @@ def score(a: Column, b: Column) -> Column:
 
 
 def normalized(a: Column) -> Column:
+    """Null for vectors without a direction."""
     size = F.sqrt(norm2(a))
-    return F.transform(a, lambda x: x.cast("double") / size)
+    return F.when(size > 0, F.transform(a, lambda x: x.cast("double") / size))
 
 
 def valid(a: Column, dimension: int) -> Column:

@@ -6,10 +6,13 @@ is measured against exact search on sampled rows, in one pass over the collectio
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.functions import vectors as V
@@ -39,56 +42,95 @@ def least_effort(needed: list[float], least: int, most: int, recall: float) -> i
 
 
 class Cells:
-    """Inverted lists: unit vectors by their nearest of n cells."""
-
-    def __init__(self, rows: DataFrame, cells: int, seed: int = 7, id_col: str = "id", vector_col: str = "vector", fit_rows: int = FIT_ROWS):
-        unit = rows.select(F.col(id_col).alias("id"), F.col(vector_col).alias("vector"), V.normalized(F.col(vector_col)).alias("u"))
-        unit = unit.withColumn("features", array_to_vector("u"))
-        fit_on = unit.orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(fit_rows)
-        self.model = KMeans(k=cells, seed=seed, maxIter=15).fit(fit_on)
-        self.rows = self.model.transform(unit).select("id", "vector", F.col("prediction").alias("cell"))
-
-    def _near(self, queries: DataFrame, probe: int) -> DataFrame:
-        """(query, qv, place, cell): the nearest `probe` cells of each query, from place 0."""
-        centres = [[float(x) for x in c] for c in self.model.clusterCenters()]
-        of = F.array(*[F.struct((-V.cosine_distance(F.col("vector"), F.array(*map(F.lit, c)))).alias("s"), F.lit(i).alias("cell")) for i, c in enumerate(centres)])
-        near = queries.select("query", F.col("vector").alias("qv"), F.posexplode(F.slice(F.sort_array(of, asc=False), F.lit(1), F.lit(probe))).alias("place", "n"))
-        return near.select("query", "qv", "place", F.col("n.cell").alias("cell"))
+    """Inverted lists: vectors by their nearest of n cells.
+
+    save writes the rows in a folder for each cell, and the centres; load reads them, and a
+    search of few queries then reads the folders of the probed cells only.
+    """
+
+    def __init__(self, rows: DataFrame | None, cells: int = 0, seed: int = 7, id_col: str = "id", vector_col: str = "vector", fit_rows: int = FIT_ROWS):
+        if rows is None:
+            return
+        unit = rows.select(F.col(id_col).alias("id"), F.col(vector_col).alias("vector"), V.normalized(F.col(vector_col)).alias("u")).where("u IS NOT NULL")
+        fit_on = unit.select("id", array_to_vector("u").alias("features")).orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(fit_rows)
+        self.centres = np.array(KMeans(k=cells, seed=seed, maxIter=15).fit(fit_on).clusterCenters())
+        self.rows = self._assigned(unit.select("id", "vector"))
+
+    def _assigned(self, rows: DataFrame) -> DataFrame:
+        """(id, vector, cell): each vector with the nearest cell of its direction."""
+        centres = self.centres
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                x = np.array(b.column(1).flatten(), float).reshape(b.num_rows, -1)
+                u = x / np.sqrt((x * x).sum(1, keepdims=True))
+                cell = ((centres * centres).sum(1) - 2 * u @ centres.T).argmin(1) if b.num_rows else np.zeros(0, int)
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(cell, pa.int32())], ["id", "vector", "cell"])
+
+        kinds = dict(rows.dtypes)
+        return rows.mapInArrow(run, f"id {kinds['id']}, vector {kinds['vector']}, cell int")
+
+    def save(self, path: str) -> None:
+        spark = self.rows.sparkSession
+        self.rows.repartition(min(len(self.centres), 512), "cell").write.mode("overwrite").partitionBy("cell").parquet(f"{path}/rows")
+        spark.createDataFrame([(k, [float(x) for x in c]) for k, c in enumerate(self.centres)], "cell int, centre array<double>").coalesce(1).write.mode("overwrite").parquet(f"{path}/centres")
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> Cells:
+        out = cls(None)
+        out.centres = np.array([r["centre"] for r in spark.read.parquet(f"{path}/centres").orderBy("cell").collect()])  # a bounded number of cells
+        out.rows = spark.read.parquet(f"{path}/rows").select("id", "vector", F.col("cell").cast("int").alias("cell"))
+        return out
+
+    def _order(self, q: np.ndarray) -> np.ndarray:
+        """(queries x cells): cells from the nearest on."""
+        c = self.centres
+        with np.errstate(all="ignore"):
+            cos = np.nan_to_num((q @ c.T) / np.sqrt((q * q).sum(1))[:, None] / np.sqrt((c * c).sum(1)))
+        return np.argsort(-cos, axis=1, kind="stable")
 
     def probes_for(self, k: int, recall: float, least: int = 1) -> int:
         """The least number of cells, `least` or more, that reaches the recall on sampled rows."""
-        cells = len(self.model.clusterCenters())
+        cells = len(self.centres)
         queries, truth = sampled_truth(self.rows.select("id", "vector"), k)
-        held = truth.join(self.rows.select("id", "cell"), "id").select("query", "cell")
-        needed = held.join(F.broadcast(self._near(queries, cells).select("query", "cell", "place")), ["query", "cell"])
-        return least_effort([r["place"] + 1 for r in needed.select("place").collect()], min(least, cells), cells, recall) or cells
+        held = truth.join(self.rows.select("id", "cell"), "id").select("query", "cell").collect()  # SAMPLE x k rows
+        names, q = search.query_matrix(queries, "query", "vector")
+        place = {n: np.argsort(o) for n, o in zip(names.to_pylist(), self._order(q))}
+        return least_effort([int(place[r["query"]][r["cell"]]) + 1 for r in held], min(least, cells), cells, recall) or cells
 
-    def top_k(self, queries: DataFrame, k: int, probe: int, recall: float | None = None) -> DataFrame:
-        """(query, id, score, rank) of queries (query, vector): the nearest `probe` cells of each are scanned, more where a stated recall needs it."""
+    def top_k(self, queries: DataFrame, k: int, probe: int, recall: float | None = None, rows: DataFrame | None = None) -> DataFrame:
+        """(query, id, score, rank) of queries (query, vector): the nearest `probe` cells of each are scanned, more where a stated recall needs it.
+
+        rows: a part of the index's rows (id, vector, cell) to search instead of all.
+        """
         if recall is not None:
             probe = self.probes_for(k, recall, probe)
-        near = self._near(queries, probe).select("query", "qv", "cell")
-        pairs = self.rows.join(F.broadcast(near), "cell")  # a stated query set
-        w = Window.partitionBy("query").orderBy(F.desc("score"), "id")
-        scored = pairs.select("query", "id", F.round(V.score(F.col("vector"), F.col("qv")), 6).alias("score"))
-        return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+        kept = self.rows if rows is None else rows
 
+        def one(names: pa.Array, q: np.ndarray, kind: str) -> DataFrame:
+            near = np.zeros((len(q), len(self.centres)), bool)
+            np.put_along_axis(near, self._order(q)[:, :probe], True, axis=1)
+            some = near.any(0)
+            part = kept if some.all() else kept.where(F.col("cell").isin(*map(int, np.flatnonzero(some))))
+            # the cell rides along as the vector's last number
+            part = part.select("id", F.concat("vector", F.array(F.col("cell").cast("double"))).alias("vector"))
 
-def _planes(dimension: int, n: int, seed: int = 11) -> list[list[float]]:
-    import random
+            def scorer(x):
+                counts = near[:, x[:, -1].astype(int)]
+                s, hit = np.full(counts.shape, -np.inf), np.flatnonzero(counts.any(0))
+                s[:, hit] = search.cosines(q, x[hit, :-1])
+                return s, counts
 
-    r = random.Random(seed)
-    return [[r.gauss(0, 1) for _ in range(dimension)] for _ in range(n)]
+            return search.block_top_k(part, names, kind, scorer, q.shape[1] + 1, k)
 
+        return search.in_blocks(kept, queries, "id", "query", "vector", one)
 
-def plane_sides(vector, dimension: int, tables: int, bits: int, seed: int = 11):
-    """array<double>: the products with tables x bits seeded hyperplanes."""
-    return F.array(*[V.dot(vector, F.array(*map(F.lit, p))) for p in _planes(dimension, tables * bits, seed)])
 
+def _planes(dimension: int, n: int, seed: int = 11) -> list[list[float]]:
+    import random
 
-def plane_buckets(sides, tables: int, bits: int):
-    """array<long>: a bucket number in each table, from the sides of the hyperplanes."""
-    return F.array(*[sum((F.when(F.get(sides, F.lit(t * bits + b)) > 0, F.lit(1 << b)).otherwise(F.lit(0)) for b in range(bits)), F.lit(0).cast("bigint")) for t in range(tables)])
+    r = random.Random(seed)
+    return [[r.gauss(0, 1) for _ in range(dimension)] for _ in range(n)]
 
 
 def flips_for(rows: DataFrame, k: int, dimension: int, tables: int, bits: int, recall: float) -> int | None:
@@ -107,27 +149,40 @@ def flips_for(rows: DataFrame, k: int, dimension: int, tables: int, bits: int, r
 
 
 def lsh_top_k(rows: DataFrame, queries: DataFrame, k: int, dimension: int, tables: int = 12, bits: int = 4, id_col: str = "id", vector_col: str = "vector", recall: float | None = None) -> DataFrame:
-    """(query, id, score, rank): rows that share a bucket with the query in some table, re-ranked exactly.
+    """(query, id, score, rank): rows that share a bucket with the query in some table, ranked exactly.
 
     For a stated recall, buckets beyond the hyperplanes nearest to the query are probed
     too, as many as the recall curve asks for; where all are not enough, search is exact.
+    Buckets are computed block by block; what is no candidate is not scored.
     """
     rows = rows.select(F.col(id_col).alias("id"), F.col(vector_col).alias("vector"))
     flips = 0 if recall is None else flips_for(rows, k, dimension, tables, bits, recall)
     if flips is None:
         return search.top_k(rows, queries, k)
-    r = rows.select("id", plane_sides(F.col("vector"), dimension, tables, bits).alias("s"))
-    r = r.select("id", F.posexplode(plane_buckets(F.col("s"), tables, bits)).alias("t", "b"))
-    q = queries.select("query", plane_sides(F.col("vector"), dimension, tables, bits).alias("s")).withColumn("own", plane_buckets(F.col("s"), tables, bits))
-    nearest = F.slice(F.sort_array(F.transform("s", lambda x, i: F.struct(F.abs(x).alias("x"), i.alias("i")))), 1, flips)
-    own = F.transform("own", lambda b, t: F.struct(t.alias("t"), b.alias("b")))
-
-    def beyond(f):
-        t, bit = F.floor(f["i"] / bits).cast("int"), F.call_function("shiftleft", F.lit(1).cast("bigint"), f["i"] % bits)
-        return F.struct(t.alias("t"), F.get("own", t).bitwiseXOR(bit).alias("b"))
-
-    q = q.select("query", F.inline(F.concat(own, F.transform(nearest, beyond))))
-    hits = r.join(F.broadcast(q), ["t", "b"]).select("query", "id").distinct()
-    pairs = hits.join(rows.withColumnRenamed("vector", "v"), "id").join(F.broadcast(queries.select("query", F.col("vector").alias("qv"))), "query")
-    w = Window.partitionBy("query").orderBy(F.desc("score"), "id")
-    return pairs.select("query", "id", F.round(V.score(F.col("v"), F.col("qv")), 6).alias("score")).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    planes = np.array(_planes(dimension, tables * bits)).T
+    weight = 1 << np.arange(bits)
+
+    def buckets(sides: np.ndarray) -> np.ndarray:
+        return ((sides > 0).reshape(len(sides), tables, bits) * weight).sum(2)
+
+    def one(names: pa.Array, q: np.ndarray, kind: str) -> DataFrame:
+        sides = q @ planes
+        own = buckets(sides)
+        probed = np.zeros((len(q), tables, 1 << bits), bool)
+        each = np.arange(len(q))
+        for t in range(tables):
+            probed[each, t, own[:, t]] = True
+        for f in np.argsort(np.abs(sides), axis=1, kind="stable")[:, :flips].T:  # the f-th nearest plane of each query
+            probed[each, f // bits, own[each, f // bits] ^ (1 << (f % bits))] = True
+
+        def scorer(x):
+            b, counts = buckets(x @ planes), np.zeros((len(q), len(x)), bool)
+            for t in range(tables):
+                counts |= probed[:, t, :][:, b[:, t]]
+            s, hit = np.full(counts.shape, -np.inf), np.flatnonzero(counts.any(0))
+            s[:, hit] = search.cosines(q, x[hit])
+            return s, counts
+
+        return search.block_top_k(rows, names, kind, scorer, dimension, k)
+
+    return search.in_blocks(rows, queries, "id", "query", "vector", one)

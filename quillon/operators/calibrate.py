@@ -42,20 +42,33 @@ def curve(distances: DataFrame, thresholds: list[float], k: int, dimension: int)
 
 
 def calibrated(distances: DataFrame, dimension: int, plan: Plan = Plan()) -> dict:
-    """The least threshold, to the plan's precision, that reaches its recall; 1.0 if none does."""
-    pairs = distances.persist()
-    try:
-        lo, hi, steps = 0.0, 1.0, 0
-        while hi - lo > plan.precision and steps < MOST_STEPS:
-            mid, steps = (lo + hi) / 2, steps + 1
-            if curve(pairs, [mid], plan.k, dimension).first()["recall"] >= plan.recall:
-                hi = mid
-            else:
-                lo = mid
-        at = curve(pairs, [hi], plan.k, dimension).first()
-        return {"threshold": hi, "recall": at["recall"], "skipRate": at["skip_rate"], "steps": steps, "feasible": at["recall"] >= plan.recall}
-    finally:
-        pairs.unpersist()
+    """The least threshold, to the plan's precision, that reaches its recall; 1.0 if none does.
+
+    The truth is k rows a query and the skip rate a histogram of at most dimension + 1
+    bins; both are taken once, and the binary search runs over them.
+    """
+    best = Window.partitionBy("query").orderBy(F.desc("score"), "id")
+    truth = distances.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= plan.k)
+    truth = truth.groupBy("query", "hamming").agg(F.count(F.lit(1)).alias("n")).collect()  # plan.queries x plan.k rows at most
+    bins = distances.groupBy("hamming").agg(F.count(F.lit(1)).alias("n")).collect()
+    of_query: dict = {}
+    for r in truth:
+        of_query.setdefault(r["query"], []).append((r["hamming"], r["n"]))
+
+    def recall(t: float) -> float:
+        each = [sum(n for h, n in x if h <= t * dimension) / sum(n for _, n in x) for x in of_query.values()]
+        return round(sum(each) / len(each), 6) if each else 1.0
+
+    lo, hi, steps = 0.0, 1.0, 0
+    while hi - lo > plan.precision and steps < MOST_STEPS:
+        mid, steps = (lo + hi) / 2, steps + 1
+        if recall(mid) >= plan.recall:
+            hi = mid
+        else:
+            lo = mid
+    total = sum(r["n"] for r in bins)
+    skipped = sum(r["n"] for r in bins if r["hamming"] > hi * dimension)
+    return {"threshold": hi, "recall": recall(hi), "skipRate": round(skipped / total, 6) if total else 0.0, "steps": steps, "feasible": recall(hi) >= plan.recall}
 
 
 #: Smoothing of the skip rate, least samples and distance of a drift, samples between two saves.

@@ -1,9 +1,10 @@
-"""Collections: versioned rows in generations, published by one pointer file.
+"""Collections: versioned rows in generations, each published by a file of its own.
 
 A generation is a Parquet folder with the rows and, beside it, the file hashes that
-it was built from; ACTIVE names the generation that readers take. Everything that
-changes a collection writes a new generation and moves the pointer last, so a failed
-run leaves the old state whole.
+it was built from, indexes, and the last log sequence that it holds. ACTIVE.<n> names
+the folder of generation n; it is made only once and never replaced, and readers take
+the greatest. So a failed run leaves the old state whole, a reader finds the old or the
+new one and never none, and of two publishers of one generation the second fails.
 """
 
 from __future__ import annotations
@@ -11,8 +12,10 @@ from __future__ import annotations
 import json
 import re
 import time
+import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.errors import EngineError
@@ -79,24 +82,32 @@ class Store:
         finally:
             opened.close()
 
-    def _write(self, text: str, *parts: str) -> None:
-        """By a temporary file and a rename: readers see the old or the new one."""
+    def _write(self, text: str, *parts: str) -> bool:
+        """Make a file that isn't there yet; False if it is."""
         fs, p = self._fs(), self._path(*parts)
-        temp = self._path(*parts[:-1], f".{parts[-1]}.{time.time_ns()}")
-        out = fs.create(temp, True)
+        fs.mkdirs(p.getParent())
+        if fs.exists(p):
+            return False
+        try:
+            out = fs.create(p, False)
+        except Py4JJavaError as e:
+            if fs.exists(p):  # another one was faster
+                return False
+            raise e
         try:
             out.write(bytearray(text.encode()))
         finally:
             out.close()
-        if not fs.rename(temp, p):
-            fs.delete(p, False)
-            if not fs.rename(temp, p):
-                raise EngineError("collection:publish_failed", str(p), "unexpected")
+        return True
+
+    def _children(self, *parts: str) -> list[str]:
+        fs, p = self._fs(), self._path(*parts)
+        return sorted(s.getPath().getName() for s in fs.listStatus(p)) if fs.exists(p) else []
 
     # catalogue
     def names(self) -> list[str]:
-        fs, p = self._fs(), self._path()
-        return sorted(s.getPath().getName() for s in fs.listStatus(p) if s.isDirectory() and fs.exists(self._path(s.getPath().getName(), "manifest.json"))) if fs.exists(p) else []
+        fs = self._fs()
+        return [x for x in self._children() if fs.exists(self._path(x, "manifest.json"))]
 
     def has(self, name: str) -> bool:
         return self._read(checked_name(name), "manifest.json") is not None
@@ -122,48 +133,82 @@ class Store:
 
     # rows
     def active(self, name: str) -> int | None:
-        text = self._read(checked_name(name), "ACTIVE")
-        return int(text) if text else None
+        """The number of the generation that readers take."""
+        found = self._folder(name)
+        return found[0] if found else None
+
+    def _folder(self, name: str) -> tuple[int, str] | None:
+        made = sorted((int(x[7:]) for x in self._children(checked_name(name)) if re.fullmatch(r"ACTIVE\.[0-9]+", x)), reverse=True)
+        for n in made:
+            if folder := self._read(name, f"ACTIVE.{n}"):  # empty while it is being written
+                return n, folder
+        return None
+
+    def place(self, name: str, *parts: str) -> str | None:
+        """The path of something in the active generation; None if there is none."""
+        found = self._folder(name)
+        if found and self._fs().exists(self._path(name, "generations", found[1], *parts)):
+            return "/".join([self.root, name, "generations", found[1], *parts])
+        return None
 
     def read(self, name: str) -> DataFrame:
         self.manifest(name)
-        g = self.active(name)
-        if g is None:
-            return self.spark.createDataFrame([], SCHEMA)
-        return self.spark.read.schema(SCHEMA).parquet(f"{self.root}/{name}/generations/{g:08d}/rows")
+        at = self.place(name, "rows")
+        return self.spark.read.schema(SCHEMA).parquet(at) if at else self.spark.createDataFrame([], SCHEMA)
 
     def file_hashes(self, name: str) -> DataFrame:
-        g = self.active(name)
-        if g is None or not self._fs().exists(self._path(name, "generations", f"{g:08d}", "files")):
-            return self.spark.createDataFrame([], "path string, hash string")
-        return self.spark.read.schema("path string, hash string").parquet(f"{self.root}/{name}/generations/{g:08d}/files")
-
-    def publish(self, name: str, rows: DataFrame, files: DataFrame | None = None) -> int:
-        """Write a generation, check it and make it the active one."""
-        made = self.manifest(name)
-        g = (self.active(name) or 0) + 1
-        at = f"{self.root}/{name}/generations/{g:08d}"
+        at = self.place(name, "files")
+        return self.spark.read.schema("path string, hash string").parquet(at) if at else self.spark.createDataFrame([], "path string, hash string")
+
+    def sequence(self, name: str) -> int | None:
+        """The last log sequence that the active generation holds."""
+        found = self._folder(name)
+        text = found and self._read(name, "generations", found[1], "sequence")
+        return int(text) if text else None
+
+    def publish(self, name: str, rows: DataFrame, files: DataFrame | None = None, sequence: int | None = None, keep: int = 3) -> int:
+        """Write a generation, check it and make it the active one; older ones than the last `keep` go.
+
+        What is read back must have as many rows as were written, no id twice and only
+        valid vectors.
+        """
+        made, before, last = self.manifest(name), self._folder(name), self.sequence(name)
+        g = (before[0] if before else 0) + 1
+        folder = f"{g:08d}-{uuid.uuid4().hex[:8]}"
+        at = f"{self.root}/{name}/generations/{folder}"
         if "norm" not in rows.columns:
             rows = rows.withColumn("norm", F.sqrt(V.norm2(F.col("vector"))))
         shape = [F.col(f.split()[0]).cast(f.split()[1]) if f.split()[0] in rows.columns else F.lit(None).cast(f.split()[1]).alias(f.split()[0]) for f in SCHEMA.split(", ")]
-        rows.select(*shape).write.mode("overwrite").parquet(f"{at}/rows")
+        written = Observation()
+        rows.select(*shape).observe(written, F.count(F.lit(1)).alias("n")).write.mode("overwrite").parquet(f"{at}/rows")
         new = self.spark.read.schema(SCHEMA).parquet(f"{at}/rows")
         doubled, bad = duplicates(new).head(1), new.where(invalid_rows(new, made["dimension"])).head(1)
-        if doubled or bad:
-            self._fs().delete(self._path(name, "generations", f"{g:08d}"), True)
-            raise EngineError("collection:duplicate_ids" if doubled else "vector:invalid_vector", str((doubled or bad)[0]["id"]))
-        if files is not None:
-            files.select("path", "hash").write.mode("overwrite").parquet(f"{at}/files")
-        self._write(str(g), name, "ACTIVE")
+        fault = ("collection:duplicate_ids", doubled[0]["id"]) if doubled else ("vector:invalid_vector", bad[0]["id"]) if bad else None
+        if fault is None and (found := new.count()) != written.get["n"]:
+            fault = ("collection:row_count_mismatch", f"{found} of {written.get['n']} rows")
+        if fault is None:
+            if files is not None:
+                files.select("path", "hash").write.mode("overwrite").parquet(f"{at}/files")
+            if (upto := sequence if sequence is not None else last) is not None:
+                self._write(str(upto), name, "generations", folder, "sequence")
+            if not self._write(folder, name, f"ACTIVE.{g}"):
+                fault = ("collection:publish_conflict", f"generation {g} of {name} was published by another")
+        if fault:
+            self._fs().delete(self._path(name, "generations", folder), True)
+            raise EngineError(fault[0], str(fault[1]))
+        for old in self._children(name, "generations"):
+            if int(old[:8]) <= g - keep:
+                self._fs().delete(self._path(name, "generations", old), True)
+                self._fs().delete(self._path(name, f"ACTIVE.{int(old[:8])}"), False)
         return g
 
-    def upsert(self, name: str, rows: DataFrame) -> int:
-        """Insert rows; of equal ids the last written stays. Origins go on from the greatest."""
+    def upsert(self, name: str, rows: DataFrame, sequence: int | None = None) -> int:
+        """Insert rows; of equal ids the last written stays. Origins go on from the greatest. sequence: of the log, as far as rows hold it."""
         old = self.read(name)
         top = old.agg(F.coalesce(F.max("origin"), F.lit(-1))).first()[0]
         new = rows if "origin" in rows.columns else rows.withColumn("origin", F.monotonically_increasing_id() + top + 1)
         both = old.drop("norm").unionByName(new.drop("norm"), allowMissingColumns=True)
-        return self.publish(name, last_writes(both, order=("origin",)), self.file_hashes(name))
+        return self.publish(name, last_writes(both, order=("origin",)), self.file_hashes(name), sequence)
 
     def delete(self, name: str, ids: DataFrame) -> int:
         return self.publish(name, without_ids(self.read(name), ids), self.file_hashes(name))

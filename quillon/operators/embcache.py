@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillon.functions import ids
@@ -26,6 +26,22 @@ def filled(texts: DataFrame, cache: DataFrame, embed: Callable[[DataFrame], Data
     return lookup(texts, cache.select("cache_key", "vector").unionByName(new)), new
 
 
+CACHE = "cache_key string, vector array<float>, size_bytes bigint, last_accessed_ms bigint"
+
+
+def through(spark: SparkSession, rows: DataFrame, path: str, embed: Callable[[DataFrame], DataFrame], namespace: str, text_col: str = "content") -> DataFrame:
+    """rows with `vector`: from the cache in a folder, where misses are embedded once each and appended before."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    there = p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+    known = spark.read.schema(CACHE).parquet(path) if there else spark.createDataFrame([], CACHE)
+    texts = rows.withColumn("cache_key", ids.cache_key(F.lit(namespace), F.coalesce(F.col(text_col), F.lit(""))))
+    misses = texts.select("cache_key", text_col).join(known.select("cache_key"), "cache_key", "left_anti").dropDuplicates(["cache_key"])
+    new = embed(misses).select("cache_key", F.col("vector").cast("array<float>").alias("vector"), (4 * F.size("vector")).cast("bigint").alias("size_bytes"), F.unix_millis(F.current_timestamp()).alias("last_accessed_ms"))
+    new.write.mode("append").parquet(path)
+    held = spark.read.schema(CACHE).parquet(path).dropDuplicates(["cache_key"])  # another run may have embedded a text too
+    return lookup(texts, held).drop("cache_key")
+
+
 def kept_by_lru(cache: DataFrame, most_bytes: int, buckets: int = 4096) -> DataFrame:
     """Rows that stay: the most recently used whose sizes sum up to at most `most_bytes`.
 

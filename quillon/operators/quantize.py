@@ -2,19 +2,43 @@
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Iterator
+
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.functions import vectors as V
 
+from . import search
+
 #: Where a dimension's range is no wider than this, its scale is 1.
 EPSILON = 1.1920928955078125e-07
 
 
-def sq8_params(rows: DataFrame, vector_col: str = "vector") -> DataFrame:
-    """(dim, zero, scale): one row for each dimension."""
-    x = rows.select(F.posexplode(vector_col).alias("dim", "x")).groupBy("dim").agg(F.min(F.col("x").cast("double")).alias("lo"), F.max(F.col("x").cast("double")).alias("hi"))
+def sq8_params(rows: DataFrame, vector_col: str = "vector", unit: bool = False) -> DataFrame:
+    """(dim, zero, scale): one row for each dimension; unit: of the normalised vectors.
+
+    Each partition hands on one least and one greatest number for each dimension.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lo = hi = None
+        for b in batches:
+            if b.num_rows:
+                x = np.array(b.column(0).flatten(), float).reshape(b.num_rows, -1)
+                if unit:
+                    x = units(x)[0]
+                if len(x):
+                    lo = x.min(0) if lo is None else np.minimum(lo, x.min(0))
+                    hi = x.max(0) if hi is None else np.maximum(hi, x.max(0))
+        if lo is not None:
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(lo)), pa.int32()), pa.array(lo), pa.array(hi)], ["dim", "lo", "hi"])
+
+    some = rows.select(F.col(vector_col).alias("v")).where(F.size("v") > 0)
+    x = some.mapInArrow(run, "dim int, lo double, hi double").groupBy("dim").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
     width = F.col("hi") - F.col("lo")
     return x.select("dim", F.col("lo").alias("zero"), F.when(width <= EPSILON, F.lit(1.0)).otherwise(width / 255.0).alias("scale"))
 
@@ -25,42 +49,104 @@ def params_lists(params: DataFrame) -> tuple[list[float], list[float]]:
     return rows.column("zero").to_pylist(), rows.column("scale").to_pylist()
 
 
-def code_score(a: Column, b: Column) -> Column:
-    return F.round(V.score(a, b), 6)
+def units(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The vectors that have a direction, normalised, and which they are."""
+    size = np.sqrt((x * x).sum(1))
+    some = size > 0
+    return x[some] / size[some, None], some
+
+
+def codes(x: np.ndarray, zero: np.ndarray, scale: np.ndarray) -> np.ndarray:
+    """8-bit codes; ties round up."""
+    return np.floor(np.clip((x - zero) / scale, 0, 255) + 0.5)
 
 
 def coarse_width(k: int, n: int) -> int:
     return min(max(32, min(512, 4 * k)), n)
 
 
-def sq8_top_k(rows: DataFrame, query: list[float], k: int, id_col: str = "id", vector_col: str = "vector") -> DataFrame:
-    """(id, score): cosine of the codes of normalised vectors, fitted on the rows at hand."""
-    unit = rows.select(F.col(id_col).alias("id"), V.normalized(F.col(vector_col)).alias("u"))
-    zero, scale = params_lists(sq8_params(unit, "u"))
-    q = np.asarray(query, float) / np.sqrt(np.dot(query, query))
-    code = np.floor(np.clip((q - np.array(zero)) / np.array(scale), 0, 255) + 0.5)
-    found = unit.select("id", code_score(V.sq8_quantize(F.col("u"), zero, scale), F.array(*[F.lit(float(c)) for c in code])).alias("score"))
-    return found.orderBy(F.desc("score"), "id").limit(k)
+def sq8_top_k(rows: DataFrame, queries: DataFrame, k: int, id_col: str = "id", vector_col: str = "vector", params: tuple[list[float], list[float]] | None = None) -> DataFrame:
+    """(query, id, score, rank): cosine of the codes of normalised vectors, for queries (query, vector).
+
+    params: zeros and scales kept from an earlier fit; without them they are fitted on the
+    rows at hand. Rows without a direction (zero vectors) have no code and are left out.
+    """
+    zero, scale = map(np.array, params or params_lists(sq8_params(rows, vector_col, unit=True)))
+
+    def one(names: pa.Array, q: np.ndarray, kind: str) -> DataFrame:
+        u, some = units(q)
+        mine = codes(u, zero, scale)
+
+        def scorer(x):
+            v, there = units(x)
+            s = np.full((len(some), len(x)), -np.inf)
+            s[np.ix_(some, there)] = search.cosines(mine, codes(v, zero, scale))
+            return s, None
+
+        return search.block_top_k(rows, names, kind, scorer, q.shape[1], k, id_col=id_col, vector_col=vector_col)
+
+    return search.in_blocks(rows, queries, id_col, "query", "vector", one)
+
+
+def sq8_rerank(rows: DataFrame, queries: DataFrame, k: int, n: int, id_col: str = "id", vector_col: str = "vector", params: tuple[list[float], list[float]] | None = None) -> DataFrame:
+    """(query, id, score, rank): exact cosine of the coarse search's candidates, at most 512 for each query."""
+    coarse = sq8_top_k(rows, queries, coarse_width(k, n), id_col, vector_col, params).select("query", F.col("id").alias("c"))
+    pairs = rows.select(F.col(id_col).alias("id"), F.col(vector_col).alias("v")).join(coarse, F.col("id") == F.col("c"))
+    pairs = pairs.join(queries.select(F.col("query").alias("q"), F.col("vector").alias("qv")), F.col("query") == F.col("q"))
+    w = Window.partitionBy("query").orderBy(F.desc("score"), "id")
+    scored = pairs.select("query", "id", F.round(V.score(F.col("v"), F.col("qv")), 6).alias("score"))
+    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
+def _bits(x: np.ndarray) -> np.ndarray:
+    return np.packbits(x > 0, axis=1)
 
 
-def sq8_rerank(rows: DataFrame, query: list[float], k: int, n: int, id_col: str = "id", vector_col: str = "vector") -> DataFrame:
-    """(id, score): exact cosine of the coarse search's candidates."""
-    coarse = sq8_top_k(rows, query, coarse_width(k, n), id_col, vector_col).select(F.col("id").alias("c"))
-    q = F.array(*[F.lit(float(x)) for x in query])
-    fine = rows.join(F.broadcast(coarse), F.col(id_col) == F.col("c"), "left_semi")  # 512 ids at most
-    return fine.select(F.col(id_col).alias("id"), F.round(V.score(F.col(vector_col), q), 6).alias("score")).orderBy(F.desc("score"), "id").limit(k)
+def _hamming(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Differing bits of all pairs of packed rows."""
+    out = np.zeros((len(a), len(b)), np.int32)
+    for j in range(a.shape[1]):
+        out += np.bitwise_count(a[:, j, None] ^ b[None, :, j])
+    return out
 
 
 def bq1_distances(rows: DataFrame, queries: DataFrame, id_col: str = "id", vector_col: str = "vector") -> DataFrame:
-    """(query, id, hamming, score) of a stated query set (query, vector) and all rows."""
-    q = queries.select(F.col("query"), F.col("vector").alias("qv"), V.sign_words(F.col("vector")).alias("qb"))
-    r = rows.select(F.col(id_col).alias("id"), F.col(vector_col).alias("v"), V.sign_words(F.col(vector_col)).alias("b"))
-    pairs = r.join(F.broadcast(q))  # queries are a stated, bounded set
-    return pairs.select("query", "id", V.hamming(F.col("b"), F.col("qb")).alias("hamming"), F.round(V.score(F.col("v"), F.col("qv")), 6).alias("score"))
+    """(query, id, hamming, score) of a stated query set (query, vector) and all rows, in blocks."""
+    kind = dict(queries.dtypes)["query"]
+
+    def one(names: pa.Array, q: np.ndarray) -> DataFrame:
+        shared = rows.sparkSession.sparkContext.broadcast((names, q))  # a block of queries
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            names, q = shared.value
+            for b in batches:
+                for at in range(0, b.num_rows, 1024):
+                    part = b.slice(at, 1024)
+                    x = np.array(part.column(1).flatten(), float).reshape(part.num_rows, -1)
+                    h, s = _hamming(_bits(q), _bits(x)), np.round(search.cosines(q, x), search.PLACES)
+                    n = len(names)
+                    yield pa.RecordBatch.from_arrays([names.take(pa.array(np.repeat(np.arange(n), part.num_rows))), part.column(0).take(pa.array(np.tile(np.arange(part.num_rows), n))), pa.array(h.ravel(), pa.int32()), pa.array(s.ravel())], ["query", "id", "hamming", "score"])
+
+        fit = rows.select(F.col(id_col).alias("id"), F.col(vector_col).alias("vector")).where(F.size("vector") == q.shape[1])
+        return fit.mapInArrow(run, f"query {kind}, id {dict(rows.dtypes)[id_col]}, hamming int, score double")
+
+    found = [one(*b) for b in search.query_blocks(queries) if len(b[0])]
+    return functools.reduce(DataFrame.unionAll, found) if found else rows.sparkSession.createDataFrame([], f"query {kind}, id {dict(rows.dtypes)[id_col]}, hamming int, score double")
 
 
 def bq1_top_k(rows: DataFrame, queries: DataFrame, k: int, threshold: float, dimension: int, id_col: str = "id", vector_col: str = "vector") -> DataFrame:
     """(query, id, score, rank) among rows whose sign bits differ in at most threshold * dimension places."""
-    near = bq1_distances(rows, queries, id_col, vector_col).where(F.col("hamming") <= threshold * dimension)
-    w = Window.partitionBy("query").orderBy(F.desc("score"), "id")
-    return near.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query", "id", "score", "rank")
+
+    def one(names: pa.Array, q: np.ndarray, kind: str) -> DataFrame:
+        signs = _bits(q)
+
+        def scorer(x):
+            near = _hamming(signs, _bits(x)) <= threshold * dimension
+            s = np.full(near.shape, -np.inf)
+            some = np.flatnonzero(near.any(0))  # only rows near some query are scored
+            s[:, some] = search.cosines(q, x[some])
+            return s, near
+
+        return search.block_top_k(rows, names, kind, scorer, dimension, k, id_col=id_col, vector_col=vector_col)
+
+    return search.in_blocks(rows, queries, id_col, "query", "vector", one)

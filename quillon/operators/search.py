@@ -8,17 +8,19 @@ and partitions, not with the collection.
 
 from __future__ import annotations
 
+import functools
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.errors import EngineError
 
-#: The most numbers that a query set may hold: 64 MB as doubles.
+#: Numbers of a block of queries: 64 MB as doubles.
 QUERY_NUMBERS = 8_000_000
 #: Decimal places of scores: ties are decided on rounded scores, then by id.
 PLACES = 6
@@ -49,60 +51,113 @@ def checked_query(vector, dimension: int) -> np.ndarray:
     return v
 
 
-def query_matrix(queries: DataFrame, id_col: str, vector_col: str, limit: int = QUERY_NUMBERS) -> tuple[pa.Array, np.ndarray]:
-    """A stated query set on the driver, sorted by id; refused beyond the limit."""
+def query_matrix(queries: DataFrame, id_col: str, vector_col: str) -> tuple[pa.Array, np.ndarray]:
+    """A block of a stated query set on the driver, sorted by id."""
     rows = queries.select(id_col, vector_col).orderBy(id_col).toArrow()
     if rows.num_rows == 0:
         return pa.array([]), np.zeros((0, 0))
-    x = np.array(rows.column(1).to_pylist(), float)
-    if x.size > limit:
-        raise EngineError("vector:too_many_queries", f"{x.size} numbers; send them in parts of {limit}")
-    return rows.column(0).combine_chunks(), x
+    return rows.column(0).combine_chunks(), np.array(rows.column(1).to_pylist(), float)
 
 
-def top_k(collection: DataFrame, queries: DataFrame, k: int = 10, threshold: float = 0.0, where: Column | None = None, id_col: str = "id", vector_col: str = "vector", query_id: str = "query", query_vector: str = "vector", metric: str = "cosine") -> DataFrame:
-    """(query, id, score, rank): the k best of the collection for each query.
+def query_blocks(queries: DataFrame, id_col: str = "query", vector_col: str = "vector", limit: int = QUERY_NUMBERS) -> Iterator[tuple[pa.Array, np.ndarray]]:
+    """A stated query set in blocks of `limit` numbers on average; each block is one pass over the collection."""
+    n = queries.agg(F.coalesce(F.sum(F.size(vector_col)), F.lit(0))).first()[0]
+    blocks = max(1, -(-n // limit))
+    for b in range(blocks):
+        yield query_matrix(queries if blocks == 1 else queries.where(F.pmod(F.xxhash64(F.col(id_col).cast("string")), F.lit(blocks)) == b), id_col, vector_col)
 
-    The filter comes before the ranking, so that k rows come out wherever k rows fit.
-    Scores below the threshold are left out; ties go to the lesser id.
+
+#: Scores of a block of vectors for all queries, and which of them count: (queries x rows) each; None: all.
+Scorer = Callable[[np.ndarray], tuple[np.ndarray, np.ndarray | None]]
+
+
+def cosines(q: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Clamped to [0, 1]; 0 for vectors without direction."""
+    with np.errstate(all="ignore"):
+        s = (q @ x.T) / np.sqrt((q * q).sum(1))[:, None] / np.sqrt((x * x).sum(1))
+    return np.clip(np.nan_to_num(s, nan=0.0, posinf=0.0, neginf=0.0), 0, 1)
+
+
+def block_top_k(rows: DataFrame, names: pa.Array, kind: str, scorer: Scorer, dimension: int, k: int, threshold: float = -np.inf, id_col: str = "id", vector_col: str = "vector") -> DataFrame:
+    """(query, id, score, rank): the k best rows for each named query, by a scorer of blocks.
+
+    Each partition hands on its best k for each query only.
     """
-    names, q = query_matrix(queries, query_id, query_vector)
-    rows = collection if where is None else collection.where(where)
-    kinds = dict(collection.dtypes), dict(queries.dtypes)
-    schema = f"query {kinds[1][query_id]}, id {kinds[0][id_col]}, score double"
-    if not len(names):
-        return rows.sparkSession.createDataFrame([], schema + ", rank int")
-    size = np.sqrt((q * q).sum(1))
-    shared = rows.sparkSession.sparkContext.broadcast((names, q, size))  # at most QUERY_NUMBERS
+    schema = f"query {kind}, id {dict(rows.dtypes)[id_col]}, score double"
+    shared = rows.sparkSession.sparkContext.broadcast((names, cloudpickle.dumps(scorer)))  # bounded by a block of queries
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, q, size = shared.value
+        names, scorer = shared.value[0], cloudpickle.loads(shared.value[1])
         best: list[list] = [[] for _ in names]
         kind = None
         for b in batches:
             kind = b.schema.field(0).type
             ids = np.array(b.column(0).to_pylist(), object)
             x = np.array(b.column(1).flatten(), float).reshape(len(ids), -1)
-            s = q @ x.T
-            if metric == "cosine":
-                with np.errstate(all="ignore"):
-                    s = np.nan_to_num(s / (size[:, None] * np.sqrt((x * x).sum(1))), nan=0.0)
-                s = np.clip(s, 0, 1)
+            s, counts = scorer(x)
             s = np.round(s, PLACES)
+            if counts is not None:
+                s = np.where(counts, s, -np.inf)
             for j in range(len(names)):
-                fit = np.flatnonzero(s[j] >= threshold)
+                fit = np.flatnonzero((s[j] >= threshold) & (s[j] > -np.inf))
                 if len(fit) > k:
                     line = np.partition(s[j][fit], -k)[-k]
                     fit = fit[s[j][fit] >= line]
-                best[j] += zip((-s[j][fit]).tolist(), ids[fit].tolist())
-                best[j] = sorted(best[j])[:k]
+                if len(fit):
+                    best[j] += zip((-s[j][fit]).tolist(), ids[fit].tolist())
+                    best[j] = sorted(best[j])[:k]
         rows = [(j, i, -s) for j, found in enumerate(best) for s, i in found]
         if rows:
             yield pa.RecordBatch.from_arrays([names.take(pa.array([r[0] for r in rows])), pa.array([r[1] for r in rows], kind), pa.array([r[2] for r in rows], pa.float64())], ["query", "id", "score"])
 
-    found = rows.select(F.col(id_col).alias("id"), F.col(vector_col).alias("vector")).where(F.size("vector") == q.shape[1]).mapInArrow(run, schema)
+    fit = rows.select(F.col(id_col).alias("id"), F.col(vector_col).alias("vector")).where((F.size("vector") == dimension) & ~F.exists("vector", lambda x: x.isNull()))
     by_score = Window.partitionBy("query").orderBy(F.desc("score"), "id")
-    return found.withColumn("rank", F.row_number().over(by_score)).where(F.col("rank") <= k)
+    return fit.mapInArrow(run, schema).withColumn("rank", F.row_number().over(by_score)).where(F.col("rank") <= k)
+
+
+def in_blocks(rows: DataFrame, queries: DataFrame, id_col: str, query_id: str, query_vector: str, one: Callable[[pa.Array, np.ndarray, str], DataFrame]) -> DataFrame:
+    """The union of `one` over the blocks of a query set; an empty set gives no rows."""
+    kind = dict(queries.dtypes)[query_id]
+    found = [one(names, q, kind) for names, q in query_blocks(queries, query_id, query_vector) if len(names)]
+    if not found:
+        return rows.sparkSession.createDataFrame([], f"query {kind}, id {dict(rows.dtypes)[id_col]}, score double, rank int")
+    return functools.reduce(DataFrame.unionAll, found)
+
+
+def top_k(collection: DataFrame, queries: DataFrame, k: int = 10, threshold: float = 0.0, where: Column | None = None, id_col: str = "id", vector_col: str = "vector", query_id: str = "query", query_vector: str = "vector", metric: str = "cosine") -> DataFrame:
+    """(query, id, score, rank): the k best of the collection for each query.
+
+    The filter comes before the ranking, so that k rows come out wherever k rows fit.
+    Scores below the threshold are left out; ties go to the lesser id.
+    """
+    rows = collection if where is None else collection.where(where)
+
+    def one(names: pa.Array, q: np.ndarray, kind: str) -> DataFrame:
+        def scorer(x):
+            return (cosines(q, x) if metric == "cosine" else q @ x.T), None
+
+        return block_top_k(rows, names, kind, scorer, q.shape[1], k, threshold, id_col, vector_col)
+
+    return in_blocks(rows, queries, id_col, query_id, query_vector, one)
+
+
+def all_scores(collection: DataFrame, queries: DataFrame, id_col: str = "id", vector_col: str = "vector", query_id: str = "query", query_vector: str = "vector", metric: str = "cosine") -> DataFrame:
+    """(query, id, score) of a stated query set and every row, in blocks: no join, the report is as long as both together make it."""
+    kinds = f"query {dict(queries.dtypes)[query_id]}, id {dict(collection.dtypes)[id_col]}, score double"
+
+    def one(names: pa.Array, q: np.ndarray) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for at in range(0, b.num_rows, 1024):
+                    part = b.slice(at, 1024)
+                    x = np.array(part.column(1).flatten(), float).reshape(part.num_rows, -1)
+                    s = np.round(cosines(q, x) if metric == "cosine" else q @ x.T, PLACES)
+                    yield pa.RecordBatch.from_arrays([names.take(pa.array(np.repeat(np.arange(len(names)), part.num_rows))), part.column(0).take(pa.array(np.tile(np.arange(part.num_rows), len(names)))), pa.array(s.ravel())], ["query", "id", "score"])
+
+        return collection.select(F.col(id_col).alias("id"), F.col(vector_col).alias("vector")).where(F.size("vector") == q.shape[1]).mapInArrow(run, kinds)
+
+    found = [one(*b) for b in query_blocks(queries, query_id, query_vector) if len(b[0])]
+    return functools.reduce(DataFrame.unionAll, found) if found else collection.sparkSession.createDataFrame([], kinds)
 
 
 def ordered(results: DataFrame) -> DataFrame:

@@ -45,21 +45,39 @@ def replay(store: Store, name: str, log: DataFrame, checkpoint: int) -> int:
         return checkpoint
     if b["start"] != checkpoint + 1 or b["end"] - b["start"] + 1 != b["n"]:
         raise EngineError("vector:wal_replay_sequence_gap", f"after {checkpoint}: {b['start']}..{b['end']}, {b['n']} records", "invariant")
-    store.upsert(name, last_writes(compacted(log, checkpoint)).drop("sequence", "pos"))
+    store.upsert(name, last_writes(compacted(log, checkpoint)).drop("sequence", "pos"), b["end"])
     return b["end"]
 
 
 def ingest(spark: SparkSession, log_dir: str, store: Store, name: str, checkpoint_dir: str, files_per_batch: int = 64):
     """Stream an insert log into a collection: one generation for each micro-batch. Returns the query.
 
-    Micro-batches are applied in order and upserts of ids are idempotent, so a batch that
-    is run again after a failure changes nothing.
+    Each micro-batch is replayed from the sequence that the collection's active generation
+    holds: records up to it are passed over, so a batch that is run again after a failure
+    changes nothing, and a missing sequence stops the stream with an error.
     """
     lines = spark.readStream.schema(LOG).option("maxFilesPerTrigger", files_per_batch).json(log_dir)
     rows = _flat(lines.select("sequence", F.posexplode("documents").alias("pos", "d")))
 
     def apply(batch: DataFrame, epoch: int) -> None:
-        if batch.head(1):
-            store.upsert(name, last_writes(batch).drop("sequence", "pos"))
+        replay(store, name, batch, store.sequence(name) or 0)
 
     return rows.writeStream.option("checkpointLocation", checkpoint_dir).foreachBatch(apply).trigger(availableNow=True).start()
+
+
+def append(spark: SparkSession, log_dir: str, documents: DataFrame, sequence: int) -> int:
+    """Write documents (DOCUMENT's fields) as the log's record `sequence`, one JSON line in a file of its own; returns the next sequence.
+
+    The name holds the sequence, so that files are read in order; a record that is there is refused.
+    """
+    path = f"{log_dir.rstrip('/')}/{sequence:020d}.json"
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(p.getParent())
+    line = documents.select(F.struct("id", "vector", "content", "metadata").alias("d")).agg(F.to_json(F.struct(F.lit(sequence).alias("sequence"), F.collect_list("d").alias("documents"))).alias("v"))  # one batch of an insert
+    out = fs.create(p, False)
+    try:
+        out.write(bytearray((line.first()["v"] + "\n").encode()))
+    finally:
+        out.close()
+    return sequence + 1
