@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import time
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -32,7 +33,7 @@ class Engine:
         self.store = collection.Store(spark, root)
         self.dimension = self.settings["embedding"]["dimension"]
         self.embed = embed or hash_embedder(self.dimension)
-        self.cache = cache
+        self.cache, self.stats = cache, {}
 
     def _rows(self, tree: DataFrame) -> DataFrame:
         s = self.settings["splitter"]
@@ -55,14 +56,17 @@ class Engine:
         self.store.create(name, self.dimension, self.settings["vectorDb"]["indexMode"])
 
     def index(self, name: str, root: str, chunk_limit: int | None = None) -> int:
-        """Index a tree as a new generation, with its file hashes."""
+        """Index a tree as a new generation, with its file hashes. stats then has the counts, the time and whether the limit was reached."""
         self.init(name)
-        tree = self._tree(root)
+        began, tree = time.time(), self._tree(root)
         rows = self._rows(tree)
         if chunk_limit is not None:
             rows = rows.orderBy("relativePath", "startLine", "id").limit(chunk_limit)
         g = self.store.publish(name, rows.withColumn("origin", F.monotonically_increasing_id()), sync.hashed(tree))
         self.prepare(name)
+        found = self.status(name)
+        over = chunk_limit is not None and found["chunks"] >= chunk_limit
+        self.stats = {"files": found["files"], "chunks": found["chunks"], "ms": int(1000 * (time.time() - began)), "status": "limitReached" if over else "completed"}
         return g
 
     def reindex(self, name: str, root: str) -> dict[str, int]:

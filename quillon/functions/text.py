@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import random
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -36,3 +38,22 @@ def stage_of(phase: Column) -> Column:
 def embedding_text(text: Column) -> Column:
     """What is embedded for a text: a space for an empty one."""
     return F.when(text == "", F.lit(" ")).otherwise(text)
+
+
+def quoted(value: Column) -> Column:
+    """A value as a double-quoted string literal of a filter: backslashes and quotes are escaped."""
+    plain = F.replace(F.replace(value, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
+    return F.concat(F.lit('"'), plain, F.lit('"'))
+
+
+def merged_metadata(base: Column, more: Column) -> Column:
+    """Two flat JSON objects of texts as one; fields of the second win. What is no such object counts as empty."""
+    none = F.create_map().cast("map<string,string>")
+    a, b = (F.coalesce(F.from_json(x, "map<string,string>"), none) for x in (base, more))
+    return F.to_json(F.map_concat(F.map_filter(a, lambda k, v: ~F.map_contains_key(b, k)), b))
+
+
+def backoff_ms(attempt: int, base_ms: int = 150, most_ms: int = 10_000, jitter: float = 0.2, seed: int | None = None) -> int:
+    """Wait before the attempt after `attempt` (from 0): doubled each time up to a limit, give or take the jitter."""
+    wait = min(most_ms, base_ms * 2**attempt)
+    return max(0, round(wait * (1 + jitter * (2 * random.Random(seed).random() - 1))))

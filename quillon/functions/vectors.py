@@ -72,3 +72,11 @@ def sq8_quantize(a: Column, zero: Sequence[float], scale: Sequence[float]) -> Co
 def sq8_dequantize(code: Column, zero: Sequence[float], scale: Sequence[float]) -> Column:
     z, s = F.array(*map(F.lit, zero)), F.array(*map(F.lit, scale))
     return F.transform(code, lambda x, i: x.cast("double") * F.get(s, i) + F.get(z, i))
+
+
+def mean_pooled(tokens: Column, mask: Column) -> Column:
+    """Mean of the token vectors whose mask isn't 0; null if none is."""
+    chosen = F.transform(F.filter(F.arrays_zip(tokens.alias("t"), mask.alias("m")), lambda x: x["m"] != 0), lambda x: x["t"])
+    n = F.size(chosen)
+    total = F.aggregate(F.slice(chosen, 2, F.greatest(n - 1, F.lit(0))), F.transform(F.get(chosen, F.lit(0)), lambda x: x.cast("double")), lambda a, v: F.zip_with(a, v, lambda x, y: x + y.cast("double")))
+    return F.when(n > 0, F.transform(total, lambda x: x / n))

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from quillon.errors import EngineError
 from quillon.functions import vectors as V
+from quillon.functions.text import backoff_ms
 
 SCHEMA = "id string, origin bigint, vector array<float>, norm double, content string, relativePath string, language string, fileExtension string, startLine int, endLine int, fragmentStartByte int, fragmentEndByte int, nodeKind string"
 _NAME = re.compile(r"[A-Za-z][A-Za-z0-9_]*")
@@ -124,11 +125,11 @@ class Store:
         if not self.has(name):
             self._write(json.dumps({"schemaVersion": 1, "collection": checked_name(name), "mode": mode, "dimension": dimension, "createdAtMs": int(time.time() * 1000)}, sort_keys=True), name, "manifest.json")
 
-    def drop(self, name: str, attempts: int = 5, wait_s: float = 0.15) -> None:
+    def drop(self, name: str, attempts: int = 5, wait_ms: int = 150) -> None:
         for k in range(attempts):
             if not self._fs().exists(self._path(checked_name(name))) or self._fs().delete(self._path(name), True):
                 return
-            time.sleep(wait_s * 2**k)
+            time.sleep(backoff_ms(k, wait_ms) / 1000)
         raise EngineError("collection:drop_failed", name, "unexpected")
 
     # rows

@@ -9,6 +9,7 @@ and partitions, not with the collection.
 from __future__ import annotations
 
 import functools
+import json
 import re
 from collections.abc import Callable, Iterator
 
@@ -25,16 +26,25 @@ QUERY_NUMBERS = 8_000_000
 #: Decimal places of scores: ties are decided on rounded scores, then by id.
 PLACES = 6
 
+_AMONG = re.compile(r"""\s*id\s+in\s+(\[.*\])\s*""", re.S)
 _FILTER = re.compile(r"""\s*([A-Za-z_][A-Za-z0-9_]*)\s+(==|!=)\s*(?:'([^'\n]+)'|"([^"\n]+)")\s*""")
 
 
 def parsed_filter(text: str | None, fields: dict[str, str] | list[str]) -> Column | None:
-    """One comparison, field == 'value' or field != 'value'; blank text means none.
+    """One comparison, field == 'value' or field != 'value', or id in ["a", "b"]; blank text means none.
 
     A missing value differs from every value: != holds for null.
     """
     if text is None or not text.strip():
         return None
+    if m := _AMONG.fullmatch(text):
+        try:
+            listed = json.loads(m[1])
+        except ValueError:
+            listed = None
+        if not listed or not all(isinstance(x, str) for x in listed):
+            raise EngineError("vector:invalid_filter_expr", f"not a list of ids: {text!r}")
+        return F.coalesce(F.col("id").cast("string").isin(*listed), F.lit(False))
     m = _FILTER.fullmatch(text)
     if not m or "\n" in text or m[1] not in fields:
         raise EngineError("vector:invalid_filter_expr", f"not a filter: {text!r}")

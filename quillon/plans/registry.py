@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from quillon.functions import ids, paths, text
 from quillon.functions import vectors as V
 from quillon.operators import ann, calibrate, chunking, collection, embcache, estimate, hybrid, quantize, search, sync
+from quillon.sources import files as sources
 from quillon.streaming import ema, wal
 
 from .tables import FILES_SQL, SCORE_SQL, VECTORS_SQL, files, probes, ranked_sql, read, vectors
@@ -107,6 +109,25 @@ def lsh_topk(spark: SparkSession, d: str) -> DataFrame:
     return ann.lsh_top_k(vectors(spark, d), probes(spark, d), 10, DIM, recall=ann.RECALL)
 
 
+def _reached(spark: SparkSession, d: str, found: DataFrame) -> DataFrame:
+    """(queries, reached): whether the mean recall of the stated queries is what approximate search promises."""
+    truth = search.top_k(vectors(spark, d), probes(spark, d), 10).select("query", "id")
+    return search.recall(found, truth).agg(F.count(F.lit(1)).alias("queries"), (F.avg("recall") >= ann.RECALL).alias("reached"))
+
+
+_REACHED = "SELECT count(*) AS queries, TRUE AS reached FROM embeddings WHERE vec_id % 50 = 0"
+
+
+@query(_REACHED)
+def ivf_recall(spark: SparkSession, d: str) -> DataFrame:
+    return _reached(spark, d, ivf_topk(spark, d))
+
+
+@query(_REACHED)
+def lsh_recall(spark: SparkSession, d: str) -> DataFrame:
+    return _reached(spark, d, lsh_topk(spark, d))
+
+
 # Quantization
 
 _DIMS = f"x AS (SELECT id, unnest(vector) AS x, generate_subscripts(vector, 1) - 1 AS dim FROM v)"
@@ -180,6 +201,15 @@ def calibrate_curve(spark: SparkSession, d: str) -> DataFrame:
     return calibrate.curve(quantize.bq1_distances(vectors(spark, d), probes(spark, d)), THRESHOLDS, 10, DIM)
 
 
+@query(f"""WITH {VECTORS_SQL}, {_HAMMING}, t AS (SELECT h.query, h.id, hamming FROM h JOIN ({_TOP}) USING (query, id)),
+ k AS (SELECT unnest(range(1, 257)) / 256.0 AS threshold), r AS (SELECT threshold, query, sum((hamming <= threshold * {DIM})::INT) / count(*) AS r FROM t, k GROUP BY ALL)
+ SELECT min(threshold)::DOUBLE AS threshold FROM (SELECT threshold FROM r GROUP BY threshold HAVING round(avg(r), 6) >= 0.99)""")
+def calibrated_threshold(spark: SparkSession, d: str) -> DataFrame:
+    """What eight halvings find: the least 256th of the dimension with the recall."""
+    found = calibrate.calibrated(quantize.bq1_distances(vectors(spark, d), probes(spark, d)), DIM)
+    return spark.createDataFrame([(found["threshold"],)], "threshold double")
+
+
 # Sparse scoring and fusion
 
 _TOKENS = "list_filter(string_split_regex(lower({}), '[^a-z0-9]+'), lambda t: t <> '')"
@@ -268,6 +298,22 @@ def safe_path(spark: SparkSession, d: str) -> DataFrame:
     return _paths(spark, d).select("page_id", paths.safe(made).alias("safe"))
 
 
+@query(f"WITH {_PATH} SELECT page_id, ltrim(path, '/') AS path, ltrim(path, '/') = 'de' OR starts_with(ltrim(path, '/'), 'de/') OR ltrim(path, '/') = '.context' AS reserved FROM p")
+def reserved_dir(spark: SparkSession, d: str) -> DataFrame:
+    """The state folder's test, with the pages' folder `de` in its place."""
+    p = _paths(spark, d).select("page_id", F.ltrim("path", F.lit("/")).alias("path"))
+    moved = F.regexp_replace("path", "^de(/|$)", paths.STATE_DIR + "$1")
+    return p.select("page_id", "path", paths.reserved(moved).alias("reserved"))
+
+
+@query(f"WITH {FILES_SQL} SELECT relativePath FROM files WHERE relativePath IN (SELECT source || '/doc_' || lpad(doc_id::VARCHAR, 6, '0') || '.py' FROM documents WHERE doc_id % 5 = 1)")
+def file_list(spark: SparkSession, d: str) -> DataFrame:
+    """Files of a list whose paths have backslashes and doubled slashes."""
+    every = files(spark, d).select(F.col("relativePath").alias("path"), "content")
+    listed = [r[0] for r in every.where("path LIKE '%.py'").select(F.replace("path", F.lit("/"), F.lit("\\\\"))).collect()]
+    return sources.restricted(every, [*listed, "nosuch.py"]).select(F.col("path").alias("relativePath"))
+
+
 # Chunks
 
 SIZE, OVERLAP, BYTES = 5, 2, 500
@@ -422,6 +468,12 @@ def delete_anti(spark: SparkSession, d: str) -> DataFrame:
     return collection.without_ids(rows, rows.where("id % 3 = 0").unionAll(spark.range(-3, 0)))
 
 
+@query(f"WITH {FILES_SQL} SELECT doc_id AS id, relativePath FROM files WHERE doc_id % 5 <> 2")
+def delete_by_path(spark: SparkSession, d: str) -> DataFrame:
+    rows = files(spark, d).select(F.col("doc_id").alias("id"), "relativePath")
+    return collection.without_ids(rows, rows.where("id % 5 = 2").unionAll(spark.createDataFrame([(-1, "nosuch")], rows.schema)), "relativePath")
+
+
 _TWICE = "t AS (SELECT vec_id % 400 AS id, vec_id AS origin FROM embeddings)"
 
 
@@ -512,21 +564,37 @@ def drift_flag(spark: SparkSession, d: str) -> DataFrame:
     return e.select("event_id", calibrate.drifted(F.col("value"), F.col("ema"), F.col("samples")).alias("drift"))
 
 
-@query()
+@query(f"WITH RECURSIVE {_EMA.replace('ts, event_id', 'event_id')} SELECT user_id, samples::INT AS samples, round(ema, 6) AS ema FROM z")
 def stream_ema(spark: SparkSession, d: str) -> DataFrame:
     """The same averages from a stream, in one micro-batch, as rows of its sink."""
     schema = read(spark, d, "events").schema
     src = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet*").parquet(d)
     rows = ema.smoothed(src, "user_id", "value", "event_id")
-    out = tempfile.mkdtemp() if not (top := spark.conf.get("spark.checkpoint.dir", None)) else f"{top}/ema-{id(rows)}"
+    top = spark.conf.get("spark.checkpoint.dir", None)
+    if not top:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir is unset: executors need a folder that all of them see")
+        top = tempfile.mkdtemp()
+    out = f"{top}/ema-{uuid.uuid4().hex}"
     run = rows.writeStream.outputMode("update").foreachBatch(lambda b, k: b.write.mode("overwrite").parquet(f"{out}/rows/epoch={k}")).option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start()
     run.awaitTermination()
-    return spark.read.parquet(f"{out}/rows").drop("epoch")
+    return spark.read.parquet(f"{out}/rows").select("user_id", F.col("samples").cast("int").alias("samples"), F.round("ema", 6).alias("ema"))
+
+
+@query(f"WITH {_LOG} SELECT min(event_id) AS start, max(event_id) AS end, count(*) AS n FROM events WHERE event_id > 100")
+def wal_gaps(spark: SparkSession, d: str) -> DataFrame:
+    return wal.gaps(read(spark, d, "events").select(F.col("event_id").alias("sequence")), 100)
 
 
 # Labels and redaction
 
 
+@query("SELECT conv_id, turn, CASE WHEN turn % 3 = 0 THEN ' ' ELSE text END AS text FROM conversations")
+def embedding_text(spark: SparkSession, d: str) -> DataFrame:
+    made = F.when(F.col("turn") % 3 == 0, F.lit("")).otherwise(F.col("text"))
+    return read(spark, d, "conversations").select("conv_id", "turn", text.embedding_text(made).alias("text"))
+
+
 @query("""WITH k AS (SELECT event_id, ['api_key', 'path', 'authToken', 'level', 'PassWord'][event_id % 5 + 1] AS k FROM events)
  SELECT event_id, k AS key, CASE WHEN regexp_matches(upper(k), 'KEY|TOKEN|SECRET|PASSWORD|CREDENTIAL|AUTH') THEN '[REDACTED]' ELSE event_id::VARCHAR END AS value FROM k""")
 def redact_fields(spark: SparkSession, d: str) -> DataFrame:

@@ -52,3 +52,11 @@ def batch_queries(spark: SparkSession, path: str, top_k: int = 5, threshold: flo
 def results_ndjson(results: DataFrame, path: str) -> None:
     """One JSON object a line; null fields are left out."""
     results.select(F.to_json(F.struct(*results.columns)).alias("value")).write.mode("overwrite").text(path)
+
+
+def reordered(responses: DataFrame, n: int, index: str = "index") -> DataFrame:
+    """A provider's responses in the order of their requests 0..n-1; doubled, missing and unknown ones are refused."""
+    seen = responses.agg(F.count(F.lit(1)).alias("all"), F.countDistinct(index).alias("each"), F.count_if(~F.coalesce(F.col(index).between(0, n - 1), F.lit(False))).alias("odd")).first()
+    if seen["odd"] or seen["all"] != seen["each"] or seen["all"] != n:
+        raise EngineError("embedding:invalid_response", f"{seen['all']} responses with {seen['each']} places, {seen['odd']} of them unknown, for {n} texts")
+    return responses.orderBy(index)

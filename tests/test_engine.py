@@ -141,3 +141,99 @@ def test_config(tmp_path):
         with pytest.raises(EngineError):
             config.search_request(**bad)
     assert F is not None
+
+
+def test_scan_hidden_files_and_repeated_names(spark, tmp_path):
+    """A path that holds the root's own path again, hidden files, quotes, and the cut by level."""
+    from quillon.sources import files
+
+    root = tmp_path / "d'1"
+    inner = root / str(tmp_path).lstrip("/") / "d'1"
+    inner.mkdir(parents=True)
+    (inner / "x.rs").write_text("inner")
+    (root / "x.rs").write_text("outer")
+    (root / ".github").mkdir()
+    (root / ".github/ci.yml").write_text("ci")
+    (root / "_private.py").write_text("p")
+    (root / ".context").mkdir()
+    (root / ".context/state").write_text("no")
+    got = {r.path: r.content for r in files.scan(spark, str(root)).collect()}
+    deep = str(inner / "x.rs")[len(str(root)) + 1 :]
+    assert got == {"x.rs": "outer", deep: "inner", ".github/ci.yml": "ci", "_private.py": "p"}
+    assert [r.path for r in files.scan(spark, str(root), max_files=2).collect()] == ["_private.py", "x.rs"]
+    assert [r.path for r in files.scan(spark, str(root), extensions=["yml"]).collect()] == [".github/ci.yml"]
+    assert files.scan(spark, str(root), max_bytes=1).count() == 1
+
+
+def _log_rows(spark, *ids):
+    doc = f"struct<d:{records.DOCUMENT}>"
+    meta = ("p", None, None, None, None, None, None)
+    return spark.createDataFrame([((i, [1.0, v], "c", meta),) for i, v in ids], doc).select("d.*")
+
+
+def test_ingest_refuses_gaps_and_old_records(spark, tmp_path):
+    s, log = Store(spark, str(tmp_path / "s")), str(tmp_path / "log")
+    s.create("a", 2)
+    assert wal.append(spark, log, _log_rows(spark, ("x", 1.0)), 1) == 2
+    wal.append(spark, log, _log_rows(spark, ("x", 2.0), ("y", 1.0)), 2)
+    wal.ingest(spark, log, s, "a", str(tmp_path / "c")).awaitTermination()
+    assert s.sequence("a") == 2 and {r.id: r.vector[1] for r in s.read("a").collect()} == {"x": 2.0, "y": 1.0}
+    wal.ingest(spark, log, s, "a", str(tmp_path / "c2")).awaitTermination()  # all records again
+    assert s.sequence("a") == 2 and s.active("a") == 1
+    wal.append(spark, log, _log_rows(spark, ("x", 9.0)), 9)
+    wal.append(spark, log, _log_rows(spark, ("x", 5.0)), 5)
+    with pytest.raises(Exception, match="wal_replay_sequence_gap"):
+        wal.ingest(spark, log, s, "a", str(tmp_path / "c3")).awaitTermination()
+    assert {r.id: r.vector[1] for r in s.read("a").collect()} == {"x": 2.0, "y": 1.0}
+
+
+def test_second_publisher_fails_and_old_generations_go(spark, tmp_path, monkeypatch):
+    s = Store(spark, str(tmp_path / "s"))
+    s.create("a", 2)
+    row = lambda v: spark.createDataFrame([("x", [1.0, v])], "id string, vector array<double>")
+    for k in range(5):
+        s.publish("a", row(float(k)))
+    assert s.active("a") == 5 and s.read("a").first().vector[1] == 4.0
+    assert len(s._children("a", "generations")) == 3
+    other = Store(spark, s.root)
+    monkeypatch.setattr(other, "_folder", lambda name: (4, "seen before"))
+    with pytest.raises(EngineError) as e:
+        other.publish("a", row(8.0))
+    assert e.value.code == "collection:publish_conflict" and s.read("a").first().vector[1] == 4.0
+
+
+def test_engine_strategies_cache_and_queries(spark, tmp_path, tree):
+    embedded = []
+
+    def embed(rows):
+        from quillon.engine import hash_embedder
+
+        embedded.append(1)
+        return hash_embedder(16)(rows)
+
+    for strategy in ("ivf", "sq8", "bq1"):
+        settings = config.load(overrides=json.dumps({"vectorDb": {"strategy": strategy}, "embedding": {"dimension": 16}}), env={})
+        e = Engine(spark, str(tmp_path / strategy), settings, embed, cache=str(tmp_path / "cache"))
+        e.index("code", str(tree))
+        assert e.store.place("code", strategy) and e.stats["status"] == "completed" and e.stats["chunks"] == 2
+        assert e.search("code", "fn main() {}\n", 1).first().relativePath == "src/main.rs"
+        assert e.search("code", "fn main() {}\n", 1, where="relativePath == 'src/lib.rs'").first().relativePath == "src/lib.rs"
+    held = spark.read.parquet(str(tmp_path / "cache"))
+    assert held.count() == held.select("cache_key").distinct().count() == 2
+    v = [float(x) for x in e.store.read("code").where("relativePath = 'src/lib.rs'").first().vector]
+    assert e.search("code", vector=v, top_k=1).first().relativePath == "src/lib.rs"
+    for bad in ([0.0] * 16, [1.0] * 3, [float("nan")] * 16):
+        with pytest.raises(EngineError):
+            e.search("code", vector=bad)
+    ids = [r.id for r in e.store.read("code").collect()]
+    assert e.search("code", "q", where=f"id in {json.dumps(ids[:1])}").count() == 1
+    e.index("code", str(tree), chunk_limit=1)
+    assert e.stats["status"] == "limitReached"
+
+
+def test_reordered(spark):
+    rows = lambda *k: spark.createDataFrame([(i, "v") for i in k], "index int, v string")
+    assert [r[0] for r in records.reordered(rows(2, 0, 1), 3).collect()] == [0, 1, 2]
+    for bad in ((0, 0, 1), (0, 1), (0, 1, 3), (0, 1, None)):
+        with pytest.raises(EngineError):
+            records.reordered(rows(*bad), 3)

@@ -85,3 +85,26 @@ def test_labels(spark):
     assert [one(spark, text.progress_percent(F.col("a"), F.col("b")), a=a, b=b) for a, b in [(0, 0), (5, 10), (20, 10), (1, 3)]] == [0, 50, 100, 33]
     assert one(spark, text.stage_of(F.col("p")), p="Finalizing index") == "publish"
     assert one(spark, text.error_code(F.col("a"), F.col("b")), a="vector", b="invalid-filter") == "ERR_VECTOR_INVALID_FILTER"
+
+
+def test_sql_functions(spark):
+    from quillon.functions import sql
+
+    assert "cosine_score" in sql.register(spark)
+    got = spark.sql("SELECT cosine_score(array(1D, 0D), array(1D, 1D)) AS c, cosine_score(array(0D), array(1D)) AS z, cosine_score(array(-1D), array(1D)) AS o, hamming(array(5L), array(6L)) AS h, sq8_quantize(array(0.5D, 9D), array(0D, 0D), array(0.1D, 0.01D)) AS q, sq8_dequantize(array(5), array(1D), array(2D)) AS d, dot_score(array(2D), array(3D)) AS p").first()
+    assert abs(got.c - 0.5**0.5) < 1e-12 and got.z == 0 and got.o == 0 and got.h == 2 and got.q == [5, 255] and got.d == [11.0] and got.p == 6
+
+
+def test_zero_vectors_pooling_and_text(spark):
+    from quillon.functions import text
+    from quillon.functions import vectors as V
+
+    rows = spark.createDataFrame([([0.0, 0.0],), ([3.0, 4.0],)], "v array<double>")
+    assert [r[0] for r in rows.select(V.normalized(F.col("v"))).collect()] == [None, [0.6, 0.8]]
+    tokens = spark.createDataFrame([([[1.0, 2.0], [3.0, 4.0], [9.0, 9.0]], [1, 1, 0]), ([[1.0, 1.0]], [0])], "t array<array<float>>, m array<int>")
+    assert [r[0] for r in tokens.select(V.mean_pooled(F.col("t"), F.col("m"))).collect()] == [[2.0, 3.0], None]
+    said = spark.createDataFrame([('a"b\\c', '{"x":"1","y":"2"}', '{"y":"3"}'), ("", "no", None)], "v string, a string, b string")
+    got = said.select(text.quoted(F.col("v")).alias("q"), text.merged_metadata(F.col("a"), F.col("b")).alias("m")).collect()
+    assert [r.q for r in got] == ['"a\\"b\\\\c"', '""'] and [r.m for r in got] == ['{"x":"1","y":"3"}', "{}"]
+    waits = [text.backoff_ms(k, 100, 1000, 0.2, 1) for k in range(6)]
+    assert all(0.8 * min(1000, 100 * 2**k) <= w <= 1.2 * min(1000, 100 * 2**k) for k, w in enumerate(waits))
