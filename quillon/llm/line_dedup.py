@@ -22,6 +22,8 @@ BASE, PRIME, DIVISOR = 257, 2147483647, 4
 LEAST_LINES = 2
 #: The most repeated chunks that are broadcast to the scan; beyond, a shuffled join.
 BROADCAST_CHUNKS = 100_000
+#: Occurrences of a chunk that are compared in one task.
+SLICE_ROWS = 10_000
 #: Words of the shortest run that is removed wherever it repeats.
 LEAST_WORDS = 50
 #: A window's line and its number of lines in one long.
@@ -56,6 +58,12 @@ def chunks(text: Column) -> Column:
     return F.when(text.isNotNull(), _bind(F.split(text, "\n", -1), of_lines))
 
 
+def _sided(table: DataFrame, array: str) -> DataFrame:
+    """A table with an array in each row, broadcast if rows and elements together are few (they are counted)."""
+    n = table.agg(F.count(F.lit(1)) + F.coalesce(F.sum(F.size(array)), F.lit(0))).first()[0]
+    return F.broadcast(table) if n <= 4 * BROADCAST_CHUNKS else table
+
+
 def repeats(rows: DataFrame, top: str) -> DataFrame:
     """rows (rid, doc_id, text) -> (rid, gone): positions of the chunks to remove from a row.
 
@@ -64,13 +72,16 @@ def repeats(rows: DataFrame, top: str) -> DataFrame:
     each = rows.select("rid", "doc_id", F.explode(chunks(F.col("text"))).alias("c")).where(F.col("c.n") >= LEAST_LINES)
     each = each.select("rid", "doc_id", F.col("c.pos").alias("pos"), F.col("c.body").alias("body")).withColumn("hash", F.xxhash64("body")).withColumn("size", F.octet_length("body"))
     known = each.groupBy("hash", "size").agg(F.count(F.lit(1)).alias("times"), F.min(F.struct("doc_id", "rid", "pos")).alias("first")).where("times > 1")
-    known = stored(known.select(F.col("hash").alias("h"), F.col("size").alias("s"), F.col("first.rid").alias("first_rid"), F.col("first.pos").alias("first_pos")), f"{top}/known")
+    known = known.select(F.col("hash").alias("h"), F.col("size").alias("s"), F.col("first.rid").alias("first_rid"), F.col("first.pos").alias("first_pos"), F.ceil(F.col("times") / SLICE_ROWS).alias("slices"))
+    known = stored(known, f"{top}/known")
     same = (F.col("hash") == F.col("h")) & (F.col("size") == F.col("s"))
     found = each.drop("doc_id").join(F.broadcast(known) if known.count() <= BROADCAST_CHUNKS else known, same).drop("h", "s")
     found = stored(found, f"{top}/found")
     is_first = (F.col("rid") == F.col("first_rid")) & (F.col("pos") == F.col("first_pos"))
-    firsts = found.where(is_first).select(F.col("hash").alias("h"), F.col("size").alias("s"), F.col("body").alias("first_body"))
-    gone = found.where(~is_first).join(firsts, same).where(F.col("body") == F.col("first_body"))
+    # a common chunk is compared in slices, each with a copy of the first occurrence
+    firsts = found.where(is_first).select(F.col("hash").alias("h"), F.col("size").alias("s"), F.col("body").alias("first_body"), F.explode(F.sequence(F.lit(0), F.col("slices").cast("int") - 1)).alias("t"))
+    rest = found.where(~is_first).withColumn("slice", F.pmod(F.xxhash64("rid", "pos"), "slices"))
+    gone = rest.join(firsts, same & (F.col("slice") == F.col("t"))).where(F.col("body") == F.col("first_body"))
     return gone.groupBy("rid").agg(F.collect_set("pos").alias("gone"))
 
 
@@ -85,7 +96,7 @@ def cleaned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", int
     rows = docs.select(F.monotonically_increasing_id().alias("rid"), docs[f"`{id_col}`"].alias("doc_id"), docs[f"`{text_col}`"].alias("text"))
     rows = stored(rows, f"{top}/rows")
     gone = stored(repeats(rows, top), f"{top}/gone").withColumnRenamed("rid", "gone_rid")
-    out = rows.join(F.broadcast(gone) if gone.count() <= BROADCAST_CHUNKS else gone, F.col("rid") == F.col("gone_rid"), "left")
+    out = rows.join(_sided(gone, "gone"), F.col("rid") == F.col("gone_rid"), "left")
     gone_at = F.coalesce("gone", F.array().cast("array<int>"))
 
     def kept(c: Column) -> Column:
@@ -185,8 +196,8 @@ def cleaned_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rows = stored(rows, f"{top}/rows")
     by_chunk = stored(repeats(rows, top), f"{top}/gone").withColumnRenamed("rid", "chunk_rid")
     by_run = stored(runs(rows, top, least), f"{top}/gone_runs").withColumnRenamed("rid", "run_rid")
-    out = rows.join(F.broadcast(by_chunk) if by_chunk.count() <= BROADCAST_CHUNKS else by_chunk, F.col("rid") == F.col("chunk_rid"), "left")
-    out = out.join(F.broadcast(by_run) if by_run.count() <= BROADCAST_CHUNKS else by_run, F.col("rid") == F.col("run_rid"), "left")
+    out = rows.join(_sided(by_chunk, "gone"), F.col("rid") == F.col("chunk_rid"), "left")
+    out = out.join(_sided(by_run, "runs"), F.col("rid") == F.col("run_rid"), "left")
 
     def lines_of(spans: Column) -> Column:
         return F.flatten(F.transform(spans, lambda x: F.sequence(x["at"], x["at"] + x["n"] - 1)))

@@ -58,11 +58,12 @@ def water_fill(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, budget: flo
 
 
 def _draw(doc_id: Column, seed: int) -> Column:
-    return F.xxhash64(doc_id.cast("string"), F.lit(seed))
+    """A number below 2**60 by the id and the seed; null ids share one."""
+    return F.conv(F.left(F.md5(F.concat(F.coalesce(doc_id.cast("string"), F.lit("")), F.lit(f":{seed}"))), F.lit(15)), 16, 10).cast("long")
 
 
 def _range_of(draw: Column) -> Column:
-    return F.shiftrightunsigned(draw, 64 - (RANGES - 1).bit_length()).cast("int")
+    return F.shiftright(draw, 60 - (RANGES - 1).bit_length()).cast("int")
 
 
 def planned(rows: DataFrame, weights: Sequence[float] = WEIGHTS, budget: float = BUDGET, epochs: float = EPOCHS, seed: int = SEED) -> DataFrame:

@@ -73,6 +73,25 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "epochs")
 
 
+ORACLE_SQL["op5_mixing"] = f"""
+WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{_W}'))::BIGINT AS size FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
+p AS (SELECT *, (row_number() OVER (ORDER BY source IS NULL, source) - 1)::INT AS place FROM s),
+w AS (SELECT *, [{', '.join(f'{float(x)}::DOUBLE' for x in mixing.WEIGHTS)}][place % {len(mixing.WEIGHTS)} + 1] AS weight, source_size::DOUBLE * {mixing.EPOCHS} AS cap, sum(source_size) OVER ()::DOUBLE * {mixing.BUDGET}::DOUBLE AS total FROM p),
+l AS (SELECT *, (total - coalesce(sum(cap) OVER (ORDER BY cap / weight, place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+  / sum(weight) OVER (ORDER BY cap / weight, place ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM w),
+o AS (SELECT level FROM l WHERE level * weight < cap ORDER BY cap / weight, place LIMIT 1),
+f AS (SELECT *, least(cap, coalesce((SELECT level FROM o) * weight, cap)) AS target FROM l),
+g AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGINT ELSE 0 END AS whole FROM f),
+r AS (SELECT *, target - whole * source_size AS rest FROM g),
+i AS (SELECT source, doc_id, ('0x' || left(md5(doc_id::VARCHAR || ':{mixing.SEED}'), 15))::BIGINT AS draw, sum(size) AS size FROM d GROUP BY ALL),
+c AS (SELECT *, sum(size) OVER (PARTITION BY source ORDER BY draw, doc_id) - size / 2.0 AS middle FROM i),
+e AS (SELECT c.source, doc_id, rest > 0 AND max(middle) OVER (PARTITION BY c.source ORDER BY draw, doc_id) <= rest AS extra FROM c JOIN r ON c.source IS NOT DISTINCT FROM r.source)
+SELECT d.doc_id, d.size, r.source_size, r.target, (r.whole + e.extra::INT) * d.size AS taken, (r.whole + e.extra::INT)::INT AS epochs
+FROM d JOIN r ON d.source IS NOT DISTINCT FROM r.source JOIN e ON e.source IS NOT DISTINCT FROM d.source AND e.doc_id = d.doc_id
+"""
+
+
 @query
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judged(table(spark, sf_dir, "pages"))
@@ -178,3 +197,17 @@ FROM conversations
 @query
 def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.joined(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
+_FIVE = " || ' ' || ".join(f"w[i + {k}]" if k else "w[i]" for k in range(ngram_join.WORDS))
+ORACLE_SQL["op7_ngram_join"] = f"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_W}') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, {_FIVE} AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - {ngram_join.WORDS - 2})) AS i FROM d WHERE len(w) >= {ngram_join.WORDS})
+  UNION ALL SELECT doc_id, array_to_string(w, ' ') AS g FROM d WHERE len(w) BETWEEN 1 AND {ngram_join.WORDS - 1}),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE {ngram_join.OUT_OF} * c >= {ngram_join.SIMILAR} * (x.n + y.n - c)),
+r AS (SELECT doc_id AS doc, doc_id AS root FROM documents UNION SELECT l.b, r.root FROM r JOIN l ON l.a = r.doc)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, m.root AS component_id
+FROM documents d LEFT JOIN n USING (doc_id) JOIN (SELECT doc, min(root) AS root FROM r GROUP BY doc) m ON m.doc = d.doc_id
+"""

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import texts_to_python
+from .common import shared_dir, stored, texts_to_python
 
 #: Labelled documents that training takes at most, of each label: the first by a hash of the id.
 TOXIC_DOCS, CLEAN_DOCS = 2500, 6000
@@ -73,49 +73,32 @@ class Model:
         return float(-np.expm1(-np.logaddexp(0.0, np.array(odds)).sum())) if odds else 0.0
 
 
-def train(texts: list[str], toxic: list[int]) -> Model:
-    """Fit on whole texts. With one class only, the model scores every text near 0."""
-    y = np.array(toxic, float)
-    if not 0 < y.sum() < len(y):
-        return Model({}, -20.0)
+def _bags(text: str) -> Iterator[np.ndarray]:
+    """The features of each sentence with a word."""
     of_word: dict[str, list[int]] = {}
+    for m in _SENTENCE.finditer(text):
+        if words := set(_WORD.findall(m[0])):
+            found = []
+            for w in words:
+                w = w.lower()
+                if w not in of_word:
+                    of_word[w] = word_features(w)
+                found += of_word[w]
+            yield np.unique(np.array(found, np.int64))
 
-    def coded(w: str) -> list[int]:
-        w = w.lower()
-        if (got := of_word.get(w)) is None:
-            if len(of_word) >= CACHE_WORDS // 3:
-                of_word.clear()
-            got = of_word[w] = word_features(w)
-        return got
 
-    docs, seen = [], (np.zeros(MASK + 1, np.int32), np.zeros(MASK + 1, np.int32))
-    for t, label in zip(texts, toxic):
-        bag = [np.unique(np.fromiter((i for w in words for i in coded(w)), np.int32)) for m in _SENTENCE.finditer(t) if (words := set(_WORD.findall(m[0])))]
-        docs.append(bag)
-        if bag:
-            seen[label][np.unique(np.concatenate(bag))] += 1
-    if not any(docs):  # not a word in any text
+def train(bags: list[list[np.ndarray]], toxic: list[int], chosen: list[int]) -> Model:
+    """Fit on documents as bags of sentences, each with the places in `chosen` of its features.
+
+    With one class only, or without a word, the model scores every text near 0.
+    """
+    y = np.array(toxic, float)
+    if not 0 < y.sum() < len(y) or not any(bags):
         return Model({}, -20.0)
     n1, n0 = y.sum(), len(y) - y.sum()
-    often = np.flatnonzero(seen[0] + seen[1] >= 4)
-    b, a = (x[often].astype(float) for x in seen)
-    p, q = (a + 0.5) / (n1 + 1), (b + 0.5) / (n0 + 1)
-    both = (a + b) / (n1 + n0)
-    far = (p - q) / np.sqrt(both * (1 - both) * (1 / n1 + 1 / n0) + 1e-12)
-    chosen = np.argsort(-np.abs(far), kind="stable")[:MOST_FEATURES]
-    chosen = chosen[np.abs(far[chosen]) > 2]
-    place = np.full(MASK + 1, -1, np.int32)
-    chosen = often[chosen]
-    place[chosen] = np.arange(len(chosen))
-    rows, cols, doc_of = [], [], []
-    for d, bag in enumerate(docs):
-        for s in bag:
-            c = place[s]
-            c = c[c >= 0]
-            rows.append(np.full(len(c), len(doc_of)))
-            cols.append(c)
-            doc_of.append(d)
-    row, col, doc = np.concatenate(rows), np.concatenate(cols), np.array(doc_of)
+    doc = np.array([d for d, bag in enumerate(bags) for _ in bag])
+    each = [s for bag in bags for s in bag]
+    row, col = np.repeat(np.arange(len(each)), [len(s) for s in each]), np.concatenate(each).astype(int)
     w, bias = np.zeros(len(chosen)), -5.0
     mw, vw, mb, vb = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
     weight = np.where(y > 0, 0.5 / n1, 0.5 / n0) * len(y)
@@ -131,7 +114,7 @@ def train(texts: list[str], toxic: list[int]) -> Model:
         c1, c2 = 1 - 0.9**k, 1 - 0.999**k
         w -= RATE * (mw / c1) / (np.sqrt(vw / c2) + 1e-6)
         bias -= RATE * (mb / c1) / (np.sqrt(vb / c2) + 1e-6)
-    return Model({i: float(x) for i, x in zip(chosen.tolist(), w) if abs(x) > 1e-3}, float(bias))
+    return Model({i: float(x) for i, x in zip(chosen, w) if abs(x) > 1e-3}, float(bias))
 
 
 def in_training(doc_id: Column) -> Column:
@@ -143,16 +126,48 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     """Train on a bounded sample of labelled documents outside the held-out fifth.
 
     Rows without an id, a label or a document are left out; nothing but texts and labels
-    is used. The sample's ids (bounded) are broadcast, its texts come to the driver.
+    is used; of rows with one id, one text counts. The sample's ids (bounded) are
+    broadcast. Its texts stay on the executors: they count the features and choose them,
+    and hand the driver the chosen ones of each sentence, as numbers.
     """
-    known = labels.where(F.col("toxic").isin(0, 1) & in_training(F.col("doc_id"))).select("doc_id", F.col("toxic").cast("int").alias("toxic"))
+    spark = docs.sparkSession
+    known = labels.where(F.col("toxic").isin(0, 1) & in_training(F.col("doc_id"))).select("doc_id", F.col("toxic").cast("int").alias("toxic")).distinct()
     order = F.xxhash64(F.col("doc_id").cast("string"))
     parts = [known.where(F.col("toxic") == k).orderBy(order, "doc_id").limit(n) for k, n in ((1, toxic_docs), (0, clean_docs))]
     sample = parts[0].unionAll(parts[1]).withColumnRenamed("doc_id", "labelled")
     texts = docs.select(docs[f"`{id_col}`"].alias("id"), F.coalesce(docs[f"`{text_col}`"], F.lit("")).alias("text"))
-    rows = texts.join(F.broadcast(sample), F.col("id") == F.col("labelled")).select("id", "text", "toxic").toArrow()
-    found = sorted(zip(*(rows.column(k).to_pylist() for k in ("id", "text", "toxic"))))
-    return train([t for _, t, _ in found], [y for _, _, y in found])
+    rows = texts.join(F.broadcast(sample), F.col("id") == F.col("labelled")).groupBy("id", "toxic").agg(F.min("text").alias("text"))
+    rows = stored(rows.select("id", "toxic", "text"), shared_dir(spark))
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for y, t in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
+                if bag := list(_bags(t)):
+                    f = np.unique(np.concatenate(bag))
+                    yield pa.RecordBatch.from_arrays([pa.array(f), pa.array(np.full(len(f), y, np.int32))], ["feature", "toxic"])
+
+    texts_to_python(spark)
+    size = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
+    n1, n0 = size.get(1, 0), size.get(0, 0)
+    if not n1 or not n0:
+        return Model({}, -20.0)
+    df = rows.mapInArrow(counted, "feature bigint, toxic int").groupBy("feature").agg(F.sum("toxic").alias("a"), F.sum(1 - F.col("toxic")).alias("b")).where("a + b >= 4")
+    p, q, both = (F.col("a") + 0.5) / (n1 + 1), (F.col("b") + 0.5) / (n0 + 1), (F.col("a") + F.col("b")) / (n1 + n0)
+    far = (p - q) / F.sqrt(both * (1 - both) * (1 / n1 + 1 / n0) + 1e-12)
+    best = df.select("feature", F.abs(far).alias("far")).where("far > 2").orderBy(F.desc("far"), "feature").limit(MOST_FEATURES)
+    chosen = sorted(r["feature"] for r in best.collect())
+    at = np.array(chosen, np.int64)
+
+    def picked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            bags = [[np.searchsorted(at, s[np.isin(s, at)]).astype(np.int32) for s in _bags(t)] for t in b.column(2).to_pylist()]
+            kind = pa.list_(pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([[s.tolist() for s in x] for x in bags], kind)], ["id", "toxic", "bags"])
+
+    kind = dict(rows.dtypes)["id"]
+    found = rows.mapInArrow(picked, f"id {kind}, toxic int, bags array<array<int>>").orderBy("id", "toxic").toArrow()
+    bags = [[np.array(s, np.int32) for s in x] for x in found.column("bags").to_pylist()]
+    return train(bags, found.column("toxic").to_pylist(), chosen)
 
 
 def scored(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", at_least: float = 0.5) -> DataFrame:
