@@ -158,11 +158,15 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     chosen = sorted(r["feature"] for r in best.collect())
     at = np.array(chosen, np.int64)
 
+    def places(features: np.ndarray) -> list[int]:
+        k = np.minimum(np.searchsorted(at, features), len(at) - 1)
+        return k[at[k] == features].tolist() if len(at) else []
+
     def picked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            bags = [[np.searchsorted(at, s[np.isin(s, at)]).astype(np.int32) for s in _bags(t)] for t in b.column(2).to_pylist()]
+            bags = [list(map(places, _bags(t))) for t in b.column(2).to_pylist()]
             kind = pa.list_(pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([[s.tolist() for s in x] for x in bags], kind)], ["id", "toxic", "bags"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(bags, kind)], ["id", "toxic", "bags"])
 
     kind = dict(rows.dtypes)["id"]
     found = rows.mapInArrow(picked, f"id {kind}, toxic int, bags array<array<int>>").orderBy("id", "toxic").toArrow()
