@@ -626,3 +626,44 @@ def test_chat_orders_chains_of_calls(spark):
         assert {(x.kind, x.call_id): (x.at_turn, x.level) for x in got if x.conv_id == conv} == want
         deep = max(deep, *(n for _, n in want.values()))
     assert deep == 7
+
+
+# Registered queries
+
+
+def test_registered_queries_over_odd_tables(spark, tmp_path):
+    """Each opN_ query over a whole small table: its columns, a row for each row, digests of what the operator returns."""
+    from quillon.llm import queries
+
+    texts = [*ODD, *(f"plain words number {k} " * 20 + f"mail a{k}@b.cc" for k in range(6)), "twice a b c d e f", "TWICE a b c d e f", "x " * 100_000]
+    frame = spark.createDataFrame([(k, t, "en", ["a", "b", None][k % 3], len(t or ""), "clash") for k, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long, quality string")
+    d = str(tmp_path)
+    frame.repartition(3).write.parquet(f"{d}/documents.parquet")
+    spark.createDataFrame([(k, None, k % 2) for k in range(len(texts))], "doc_id long, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
+    spark.createDataFrame([(1, "http://a.com/", None), (2, None, "x"), (1, "http://a.com/", None)], "page_id long, url string, html string").write.parquet(f"{d}/pages.parquet")
+    spark.createDataFrame([(1, 0, "user", "hi"), (1, 0, "user", "hi"), (None, None, None, None)], "conv_id long, turn long, role string, text string").write.parquet(f"{d}/conversations.parquet")
+    n, got = len(texts), {}
+    for name, f in queries.QUERIES.items():
+        rows = f(spark, d).collect()
+        assert len(rows) == (3 if name in ("op6_url_filter", "op10_chat") else n), name
+        got[name] = {r[0]: r for r in rows}
+    sha = lambda b: hashlib.sha256(b).hexdigest()
+    base = {k: naive_spans(t or "") for k, t in enumerate(texts) if len(t or "") < 10_000}
+    for k, t in enumerate(texts):
+        t = t or ""
+        assert got["op1_bpe"][k].decoded_sha256 == sha(t.encode())
+        if k in base:
+            p = got["op2_pii"][k]
+            assert p.base_sha256 == sha(",".join(f"{s[0]}:{s[1]}:{s[2]}" for s in base[k]).encode())
+            assert p.n_email == sum(s[0] == "email" for s in base[k]) and p.n_spans == len([x for x in p.spans.split(",") if x]) >= len(base[k])
+        q = got["op3_quality"][k]
+        assert (q.n_words, q.word_chars, q.n_symbols, q.n_dup_lines, q.n_repeat_words, q.base_failed) == naive_quality(t)
+        m = got["op5_mixing"][k]
+        assert m.size == len(re.findall(r"[^\x20\x09-\x0D]+", t)) and m.taken == m.size * m.epochs <= 2 * m.size
+        x = got["op8_toxicity"][k]
+        assert x.held_out == (zlib.crc32(str(k).encode()) % 5 == 0) and x.predicted == int(x.score >= 0.5) and 0 <= x.score <= 1
+        e = got["op9_exact_dedup"][k]
+        low = "".join(c.lower() if c.isascii() else c for c in t)
+        assert e.text_sha256 == sha(low.encode()) and e.kept == (e.doc_id == e.keep_id)
+    want = naive_components([t for t in texts], list(range(n)))
+    assert [(got["op7_ngram_join"][k].n_shingles, got["op7_ngram_join"][k].component_id) for k in range(n)] == [(s, c) for s, c, _ in want]
