@@ -8,7 +8,8 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: A word is a run of characters other than the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -92,6 +93,21 @@ def texts_to_python(spark: SparkSession) -> None:
         spark.conf.set(name, f"{TEXT_BATCH}b")
 
 
+#: A group is hot if it holds more than this part of all rows: there are fewer such groups than this.
+HOT_GROUPS = 4096
+
+
+def with_group(rows: DataFrame, groups: DataFrame, on: Column, size: str, total: int) -> DataFrame:
+    """rows joined with groups, a row for each key with the number of its rows in `size`; inner.
+
+    total: the number of rows, or more. Hot groups are broadcast, the others shuffled:
+    no task gets more than total / HOT_GROUPS rows of one key, however large its group.
+    """
+    least = total // HOT_GROUPS
+    hot, rest = F.broadcast(groups.where(F.col(size) > least)), groups.where(F.col(size) <= least)
+    return rows.join(hot, on).unionByName(rows.join(hot, on, "left_anti").join(rest, on))
+
+
 def unused(name: str, taken: list[str]) -> str:
     """A column name that no column of the input has, whatever its case."""
     low = {c.lower() for c in taken}

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import shared_dir, stored, texts_to_python, unused
+from .common import shared_dir, stored, texts_to_python, unused, with_group
 
 WORDS, SIMILAR, OUT_OF = 5, 75, 100
 #: Shingles of a shard on average, and of a packed block at most; members of a slice.
@@ -466,19 +466,23 @@ def joined(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     """
     spark, top = docs.sparkSession, shared_dir(docs.sparkSession)
     rows = stored(described(docs, id_col, text_col), f"{top}/rows")
-    total = rows.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    total, n_rows = rows.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     shards = max(LEAST_SHARDS, -(-total // SHARD_SHINGLES))
     sets = candidates(shared_shingles(packed(docs, text_col, shards)))
     sets = stored(sets.dropDuplicates(["digest"]), f"{top}/sets")
     roots = _settled(spark, sets, top, max(LEAST_SHARDS, partitions, shards // 8))
-    classes = rows.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("least"))
-    classes = stored(classes, f"{top}/least").join(roots.withColumnRenamed("node", "digest"), "digest", "left").select("digest", "least", F.coalesce("root", "digest").alias("root"))
-    classes = stored(classes, f"{top}/classes")
-    of_root = stored(classes.groupBy("root").agg(F.min("least").alias("component_id")), f"{top}/of_root").withColumnRenamed("root", "r")
-    named = stored(classes.join(of_root, F.col("root") == F.col("r")).select(F.col("digest").alias("d"), "root", "component_id"), f"{top}/named")
-    out = rows.join(named, F.col("digest") == F.col("d"), "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "digest", "root")
+    classes = stored(rows.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("times")), f"{top}/least")
+    classes = classes.join(roots.withColumnRenamed("node", "digest"), "digest", "left").withColumn("root", F.coalesce("root", "digest"))
+    classes = stored(classes.select("digest", "least", "times", "root"), f"{top}/classes")
+    of_root = classes.groupBy(F.col("root").alias("r")).agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("members"))
+    of_root = stored(of_root, f"{top}/of_root")
+    named = with_group(classes, of_root, F.col("root") == F.col("r"), "members", n_rows)
+    named = stored(named.select(F.col("digest").alias("d"), "times", "root", "component_id"), f"{top}/named")
+    out = with_group(rows.where("digest is not null"), named, F.col("digest") == F.col("d"), "times", n_rows)
+    out = out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", "digest", "root")
+    none = F.lit(None).cast("binary")
+    return out.unionByName(rows.where("digest is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), "digest", none.alias("root")))
 
 
 def _settled(spark: SparkSession, sets: DataFrame, top: str, shards: int) -> DataFrame:
@@ -537,8 +541,9 @@ def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     top = shared_dir(docs.sparkSession)
     found = joined(docs, id_col, text_col).where("digest is not null")
     keys = stored(found.groupBy("root", "digest", "doc_id").agg(F.count(F.lit(1)).alias("times")), f"{top}/keys")
-    first = keys.groupBy(F.col("root").alias("r")).agg(F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id").alias("id"), F.col("digest").alias("d"))).alias("k"))
-    ranked = keys.join(first, F.col("root") == F.col("r")).withColumn("stays", (F.col("digest") == F.col("k.d")) & F.col("doc_id").eqNullSafe(F.col("k.id")))
+    first = keys.groupBy(F.col("root").alias("r")).agg(F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id").alias("id"), F.col("digest").alias("d"))).alias("k"), F.count(F.lit(1)).alias("members"))
+    first = stored(first, f"{top}/first")
+    ranked = with_group(keys, first, F.col("root") == F.col("r"), "members", keys.count()).withColumn("stays", (F.col("digest") == F.col("k.d")) & F.col("doc_id").eqNullSafe(F.col("k.id")))
     mark, k_id, k_d = (unused(x, docs.columns) for x in ("_set_digest", "_key_id", "_key_digest"))
     ranked = stored(ranked.where(~F.col("stays") | (F.col("times") > 1)).select(F.col("doc_id").alias(k_id), F.col("digest").alias(k_d), "stays"), f"{top}/ranked")
     gone, tied = ranked.where(~F.col("stays")).drop("stays"), ranked.where("stays").drop("stays")

@@ -12,6 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillon.llm import bpe, chat, exact_dedup, line_dedup, mixing, ngram_join, pii, quality, toxicity, url_filter
+from quillon.llm.common import with_group
 from quillon.llm.queries import tokenizer
 
 SCHEMA = "doc_id long, text string, source string, ids string, _mix_plan int, quality string, c string"
@@ -667,3 +668,13 @@ def test_registered_queries_over_odd_tables(spark, tmp_path):
         assert e.text_sha256 == sha(low.encode()) and e.kept == (e.doc_id == e.keep_id)
     want = naive_components([t for t in texts], list(range(n)))
     assert [(got["op7_ngram_join"][k].n_shingles, got["op7_ngram_join"][k].component_id) for k in range(n)] == [(s, c) for s, c, _ in want]
+
+
+def test_with_group_equals_a_join(spark):
+    """Hot groups (broadcast) and others (shuffled) together give the plain join, whatever the sizes."""
+    rows = spark.range(50_000).select("id", F.when(F.col("id") < 20_000, 0).when(F.col("id") < 30_000, F.col("id") % 1000).otherwise(F.col("id")).alias("k"))
+    groups = rows.groupBy(F.col("k").alias("g")).agg(F.count(F.lit(1)).alias("size"), F.max("id").alias("top"))
+    on = F.col("k") == F.col("g")
+    for part, total in ((rows, 50_000), (rows.limit(0), 0)):
+        got, want = with_group(part, groups, on, "size", total), part.join(groups, on)
+        assert got.count() == want.count() and got.exceptAll(want).isEmpty()
