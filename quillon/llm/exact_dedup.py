@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import shared_dir, stored, unused
+from .common import shared_dir, stored, unused, with_group
 
 #: The most digests with hits that are broadcast to the scan of the texts; beyond, a shuffled join.
 BROADCAST_HITS = 200_000
@@ -134,7 +134,7 @@ def grouped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", dig
     state = retained(spark, f"{top}/feed", feed.schema, top)
     clash = stored(clashes(docs, text_col, state, digest), f"{top}/clashes")
     of_key = (F.col("digest") == F.col("d")) & (F.col("n_bytes") == F.col("n"))
-    rows = feed.join(state.select(F.col("digest").alias("d"), F.col("n_bytes").alias("n"), "top", "size"), of_key)
+    rows = with_group(feed, state.select(F.col("digest").alias("d"), F.col("n_bytes").alias("n"), "top", "size"), of_key, "size", feed.count())
     if clash.head(1):
         rows = rows.drop("d", "n").join(clash.select(F.col("digest").alias("d"), F.col("n_bytes").alias("n")), of_key, "left_anti")
         rows = rows.unionByName(_parted(docs, id_col, text_col, clash, top, digest).drop("text"))
