@@ -25,6 +25,8 @@ from .common import shared_dir, stored, unused, with_group
 BROADCAST_HITS = 200_000
 #: Files of the feed that a micro-batch takes.
 FILES_PER_BATCH = 4096
+#: Rows of the feed for each state store, at least one store for each core: stores are never merged at run time.
+ROWS_PER_STORE = 250_000
 
 ROCKSDB = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
@@ -34,6 +36,10 @@ ROCKSDB = {
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
 }
 
+#: For a shared folder mounted as `file:`. There the default manager, which looks for links, starts a process (readlink)
+#: beside the executor for each file it renames; this one renames by a system call, which replaces at once all the same.
+MOUNTED = {"spark.sql.streaming.checkpointFileManagerClass": "org.apache.spark.sql.execution.streaming.checkpointing.FileSystemBasedCheckpointFileManager"}
+
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -61,9 +67,11 @@ def retained(spark: SparkSession, feed: str, schema: T.StructType, to: str) -> D
     top: struct of the largest doc_id (null the least) and its locator. Started again
     with the same folders, the stream goes on where it stopped.
     """
-    before = {k: spark.conf.get(k, None) for k in ROCKSDB}
-    for k, v in ROCKSDB.items():
-        if before[k] is None or k.endswith("providerClass"):  # else as the session has it
+    stores = max(spark.sparkContext.defaultParallelism, -(-spark.read.schema(schema).parquet(feed).count() // ROWS_PER_STORE))
+    wanted = {**ROCKSDB, **(MOUNTED if _scheme(spark, to) == "file" else {}), "spark.sql.shuffle.partitions": str(stores)}
+    before = {k: spark.conf.get(k, None) for k in wanted}
+    for k, v in wanted.items():
+        if before[k] is None or k.endswith(("providerClass", "partitions")):  # else as the session has it
             spark.conf.set(k, v)
     try:
         rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", FILES_PER_BATCH).parquet(feed)
@@ -91,6 +99,10 @@ def retained(spark: SparkSession, feed: str, schema: T.StructType, to: str) -> D
     return stored(changed.groupBy("digest", "n_bytes").agg(F.max("top").alias("top"), F.max("size").alias("size")), f"{to}/state")
 
 
+def _scheme(spark: SparkSession, path: str) -> str:
+    return spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration()).getUri().getScheme()
+
+
 def _exists(spark: SparkSession, path: str) -> bool:
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
