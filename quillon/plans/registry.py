@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillon.functions import ids, paths, text
+from quillon.functions import sql as functions
 from quillon.functions import vectors as V
 from quillon.operators import ann, calibrate, chunking, collection, embcache, estimate, hybrid, quantize, search, sync
 from quillon.sources import files as sources
@@ -617,3 +618,41 @@ def progress_pct(spark: SparkSession, d: str) -> DataFrame:
 def stage_label(spark: SparkSession, d: str) -> DataFrame:
     phase = F.get(F.array(*map(F.lit, ("Scanning files", "processing", "chunk 3", "Finalizing", "prewarm", "create collection", "embedding"))), (F.col("event_id") % 7).cast("int"))
     return read(spark, d, "events").select("event_id", phase.alias("phase")).withColumn("stage", text.stage_of(F.col("phase")))
+
+
+@query(r"""SELECT conv_id, turn, '"' || replace(replace(text, '\', '\\'), '"', '\"') || '"' AS quoted FROM conversations""")
+def filter_quote(spark: SparkSession, d: str) -> DataFrame:
+    return read(spark, d, "conversations").select("conv_id", "turn", text.quoted(F.col("text")).alias("quoted"))
+
+
+@query("""SELECT event_id, CASE WHEN event_id % 4 = 0 THEN '{"kind":"' || event_type || '","user":"' || user_id || '"}'
+ ELSE '{"kind":"' || event_type || '","user":"u","turn":"' || event_id % 4 || '"}' END AS metadata FROM events""")
+def metadata_merge(spark: SparkSession, d: str) -> DataFrame:
+    """Fields of the second object win; every fourth is no object."""
+    base = F.to_json(F.struct(F.col("event_type").alias("kind"), F.col("user_id").cast("string").alias("user")))
+    more = F.when(F.col("event_id") % 4 != 0, F.to_json(F.struct(F.lit("u").alias("user"), (F.col("event_id") % 4).cast("string").alias("turn")))).otherwise(F.lit("[1"))
+    return read(spark, d, "events").select("event_id", text.merged_metadata(base, more).alias("metadata"))
+
+
+# Vectors by row
+
+
+@query("""WITH t AS (SELECT vec_id, unnest(range(16)) AS i, embedding AS e FROM embeddings), p AS (
+ SELECT vec_id, j, avg(e[i * 4 + j + 1]::DOUBLE) AS x FROM t, (SELECT unnest(range(4)) AS j) WHERE (i + vec_id) % 3 <> 0 GROUP BY ALL)
+ SELECT vec_id, j::INT AS j, round(x, 6) AS x FROM p""")
+def mean_pool(spark: SparkSession, d: str) -> DataFrame:
+    """Each embedding as 16 tokens of 4 numbers, a third of them masked."""
+    places = F.sequence(F.lit(0), F.lit(15))
+    tokens = F.transform(places, lambda i: F.slice("embedding", i * 4 + 1, F.lit(4)))
+    mask = F.transform(places, lambda i: ((i + F.col("vec_id")) % 3).cast("int"))
+    pooled = read(spark, d, "embeddings").select("vec_id", F.posexplode(V.mean_pooled(tokens, mask)).alias("j", "x"))
+    return pooled.select("vec_id", "j", F.round("x", 6).alias("x"))
+
+
+@query("""WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS a, list_reverse(embedding)::DOUBLE[] AS b FROM embeddings)
+ SELECT vec_id, round(list_dot_product(a, b), 6) AS dot, round(greatest(0, list_cosine_similarity(a, b)), 6) AS cosine FROM v""")
+def sql_functions(spark: SparkSession, d: str) -> DataFrame:
+    """The functions as a SQL session calls them, on each vector and its mirror image."""
+    functions.register(spark)
+    v = read(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("a"))
+    return v.selectExpr("vec_id", "round(dot_score(a, reverse(a)), 6) AS dot", "round(cosine_score(a, reverse(a)), 6) AS cosine")
