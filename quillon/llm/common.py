@@ -108,6 +108,30 @@ def with_group(rows: DataFrame, groups: DataFrame, on: Column, size: str, total:
     return rows.join(hot, on).unionByName(rows.join(hot, on, "left_anti").join(rest, on))
 
 
+#: Bits of a key filter: 4 MB to broadcast at most, however many keys.
+FILTER_BITS = 1 << 25
+
+
+def _filter_bit(key: Column) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(FILTER_BITS)) + 1
+
+
+def key_filter(keys: DataFrame) -> DataFrame:
+    """(bucket, bits): a bitmap of the hashes of a column of keys."""
+    bit = _filter_bit(F.col(keys.columns[0]))
+    bits = keys.select(F.bitmap_bucket_number(bit).alias("bucket"), F.bitmap_bit_position(bit).alias("at")).distinct()
+    return bits.repartition("bucket").groupBy("bucket").agg(F.bitmap_construct_agg("at").alias("bits"))
+
+
+def maybe_among(rows: DataFrame, key: str, keys: DataFrame) -> DataFrame:
+    """All rows whose key is in a key filter, and a few whose hash only is; rows are not shuffled."""
+    bit = _filter_bit(F.col(key))
+    at = F.bitmap_bit_position(bit)
+    byte = F.conv(F.hex(F.substring("bits", F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("long")
+    found = rows.join(F.broadcast(keys), F.bitmap_bucket_number(bit) == F.col("bucket"))
+    return found.where(F.getbit(byte, (at % 8).cast("int")) == 1).select(*rows.columns)
+
+
 def unused(name: str, taken: list[str]) -> str:
     """A column name that no column of the input has, whatever its case."""
     low = {c.lower() for c in taken}

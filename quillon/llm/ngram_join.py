@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import shared_dir, stored, texts_to_python, unused, with_group
+from .common import key_filter, maybe_among, shared_dir, stored, texts_to_python, unused, with_group
 
 WORDS, SIMILAR, OUT_OF = 5, 75, 100
 #: Shingles of a shard on average, and of a packed block at most; members of a slice.
@@ -193,8 +193,17 @@ def shared_shingles(blocks: DataFrame) -> DataFrame:
 ITEM = np.dtype([("df", ">u2"), ("s", ">u8")])
 
 
+#: Bits of a set's sketch: each shared shingle flips one. Sets differ in at least as many shingles as their sketches do in bits.
+SKETCH_BITS = 256
+
+
+def _sketch(s: np.ndarray) -> bytes:
+    flips = np.bincount(((s >> np.uint64(8)) % np.uint64(SKETCH_BITS)).astype(np.int64), minlength=SKETCH_BITS) & 1
+    return np.packbits(flips.astype(np.uint8)).tobytes()
+
+
 def candidates(shared: DataFrame) -> DataFrame:
-    """Sets that may have a partner: (digest, n, shared, items), items in the global order."""
+    """Sets that may have a partner: (digest, n, shared, sketch, items), items in the global order."""
 
     def run(t: pa.Table) -> pa.Table:
         heads, sizes, s, owner, df = b"", b"", [], [], []
@@ -214,37 +223,34 @@ def candidates(shared: DataFrame) -> DataFrame:
             keep = fit[owner]
             s, df, owner = s[keep], df[keep], owner[keep]
             order = np.lexsort((s, df, owner))
+            s = s[order]
             items = np.empty(len(s), ITEM)
-            items["df"], items["s"] = df[order], s[order]
-            rows = [(heads[16 * k : 16 * k + 16], int(sizes[k]), int(count[k]), items[a:z].tobytes()) for k, a, z in _cuts(owner[order], len(sizes))]
-        return _table(rows, "digest n shared items", [pa.binary(), pa.int64(), pa.int64(), pa.binary()])
+            items["df"], items["s"] = df[order], s
+            rows = [(heads[16 * k : 16 * k + 16], int(sizes[k]), int(count[k]), _sketch(s[a:z]), items[a:z].tobytes()) for k, a, z in _cuts(owner[order], len(sizes))]
+        return _table(rows, "digest n shared sketch items", [pa.binary(), pa.int64(), pa.int64(), pa.binary(), pa.binary()])
 
-    return shared.groupBy("block").applyInArrow(run, "digest binary, n bigint, shared bigint, items binary")
+    return shared.groupBy("block").applyInArrow(run, "digest binary, n bigint, shared bigint, sketch binary, items binary")
+
+
+def prefixes(sets: DataFrame) -> DataFrame:
+    """(digest, n, shared, sketch, prefix) of the sets: what the lists need, about a quarter of the items."""
+    length = F.expr(f"shared - (n * {SIMILAR} + {OUT_OF - 1}) div {OUT_OF} + 1")  # what is not shared comes first
+    return sets.select("digest", "n", "shared", "sketch", F.substring("items", F.lit(1), (length * ITEM.itemsize).cast("int")).alias("prefix"))
 
 
-#: Bits of a set's sketch: each shared shingle flips one. Sets differ in at least as many shingles as their sketches do in bits.
-SKETCH_BITS = 256
 POSTING_NAMES = "shard digests sizes shared roots sketches shingles owners places"
 
 
 def postings(sets: DataFrame, shards: int) -> DataFrame:
-    """Prefix shingles of the candidates (digest, n, shared, items, root) in blocks for shards."""
+    """Prefix shingles of the candidates (digest, n, shared, sketch, prefix, root) in blocks for shards."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            heads, sizes, shared, roots, sketches, prefixes = [], [], [], [], [], []
-            for d, n, k, items, root in zip(*(b.column(c).to_pylist() for c in ("digest", "n", "shared", "items", "root"))):
-                s = np.frombuffer(items, ITEM)["s"].astype(np.uint64)
-                prefixes.append(s[: k - least_overlap(n) + 1])  # what is not shared comes first
-                flips = np.bincount(((s >> np.uint64(8)) % np.uint64(SKETCH_BITS)).astype(np.int64), minlength=SKETCH_BITS) & 1
-                sketches.append(np.packbits(flips.astype(np.uint8)).tobytes())
-                heads.append(d)
-                roots.append(root)
-                sizes.append(n)
-                shared.append(k)
-            if not prefixes:
+            if not b.num_rows:
                 continue
-            s, length = np.concatenate(prefixes), np.array([len(p) for p in prefixes])
+            heads, sizes, shared, sketches, firsts, roots = (b.column(c).to_pylist() for c in ("digest", "n", "shared", "sketch", "prefix", "root"))
+            firsts = [np.frombuffer(x, ITEM)["s"].astype(np.uint64) for x in firsts]
+            s, length = np.concatenate(firsts), np.array([len(x) for x in firsts])
             owner = np.repeat(np.arange(len(heads)), length)
             place = np.arange(len(s)) - np.repeat(np.cumsum(length) - length, length)
             of = _shard_of(s, shards)
@@ -259,7 +265,7 @@ def postings(sets: DataFrame, shards: int) -> DataFrame:
                 rows.append((k, head[own].tobytes(), size[own].tobytes(), known[own].tobytes(), root[own].tobytes(), sketch[own].tobytes(), s[a:z].tobytes(), at.astype(np.uint32).tobytes(), place[a:z].astype(np.uint32).tobytes()))
             yield from _table(rows, POSTING_NAMES, [pa.int32(), *[pa.binary()] * 8]).to_batches()
 
-    return sets.select("digest", "n", "shared", "items", "root").mapInArrow(run, "shard int, " + ", ".join(f"{x} binary" for x in POSTING_NAMES.split()[1:]))
+    return sets.select("digest", "n", "shared", "sketch", "prefix", "root").mapInArrow(run, "shard int, " + ", ".join(f"{x} binary" for x in POSTING_NAMES.split()[1:]))
 
 
 class Lists:
@@ -406,10 +412,11 @@ class Tree:
 
 
 def linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The (pivot, member) pairs whose sets are similar, as (a, b)."""
+    """The (pivot, member) pairs whose sets are similar, as (a, b). Of the sets, only those in pairs are shuffled."""
+    ends = key_filter(pairs.select("pivot").unionAll(pairs.select("member")))
     slices = pairs.groupBy("pivot").agg(F.ceil(F.count(F.lit(1)) / SLICE).alias("slices")).withColumnRenamed("pivot", "p")
     slices = stored(slices, shared_dir(sets.sparkSession))
-    of_member = sets.select(F.col("digest").alias("d"), F.col("n").alias("m"), "items")
+    of_member = maybe_among(sets, "digest", ends).select(F.col("digest").alias("d"), F.col("n").alias("m"), "items")
     members = pairs.join(slices, F.col("pivot") == F.col("p")).withColumn("slice", F.pmod(F.xxhash64("member"), "slices")).select("pivot", "member", "slice")
     members = members.join(of_member, F.col("member") == F.col("d")).select("pivot", "slice", "member", "m", "items")
     pivots = slices.withColumn("slice", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("slices") - 1)))
@@ -487,7 +494,7 @@ def joined(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 
 def _settled(spark: SparkSession, sets: DataFrame, top: str, shards: int) -> DataFrame:
     """(node, root) of all sets that have a link."""
-    chosen, roots, first, last = sets.withColumn("root", F.col("digest")), None, 0, 1
+    chosen, roots, first, last = prefixes(sets).withColumn("root", F.col("digest")), None, 0, 1
     for k in itertools.count(1):
         found = stored(list_pairs(postings(chosen, shards), first, last), f"{top}/found{k}")
         pairs, again = found.where("pivot is not null"), found.where("pivot is null")
@@ -507,9 +514,10 @@ def _settled(spark: SparkSession, sets: DataFrame, top: str, shards: int) -> Dat
                 roots = stored(merged, f"{top}/roots{k}")
         if first and not again.head(1):
             break
-        chosen = sets
+        chosen = prefixes(sets)
         if first:
-            chosen = chosen.join(again.select(F.col("member").alias("m")), F.col("digest") == F.col("m"), "left_semi")
+            again = again.select(F.col("member").alias("m"))
+            chosen = maybe_among(chosen, "digest", key_filter(again)).join(again, F.col("digest") == F.col("m"), "left_semi")
         if roots is not None:
             chosen = chosen.join(roots, F.col("digest") == F.col("node"), "left").drop("node")
             chosen = chosen.withColumn("root", F.coalesce("root", "digest"))
