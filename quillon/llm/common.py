@@ -77,8 +77,8 @@ def stored(df: DataFrame, path: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-#: Most bytes of a batch of whole texts that is sent to Python.
-TEXT_BATCH = 8 << 20
+#: Most bytes of a batch of whole texts that is sent to Python. The executor's buffers for it are up to twice as large.
+TEXT_BATCH = 2 << 20
 
 
 def texts_to_python(spark: SparkSession) -> None:

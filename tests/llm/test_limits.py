@@ -1,11 +1,11 @@
-"""What operators move between tasks."""
+"""What operators move between tasks and keep in memory."""
 
 import random
 
 import pytest
 
 from quillon.llm import ngram_join
-from quillon.llm.common import stored
+from quillon.llm.common import stored, texts_to_python
 
 
 def shuffled(spark):
@@ -42,3 +42,23 @@ def test_key_filter_keeps_all_keys(spark):
     assert set(range(0, 20_000, 40)) <= got and len(got) < 520
     none = key_filter(rows.where("id < 0").select("k"))
     assert maybe_among(rows, "k", none).count() == 0
+
+
+def test_batches_of_texts_are_small(spark):
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.unset(name)
+    try:
+        texts_to_python(spark)
+
+        def run(batches):
+            import pyarrow as pa
+
+            for b in batches:
+                yield pa.RecordBatch.from_pydict({"n": [b.nbytes]})
+
+        texts = spark.range(0, 4000, 1, 1).selectExpr("repeat(cast(id % 10 as string), 4000) text")
+        sizes = [x.n for x in texts.mapInArrow(run, "n long").collect()]
+        assert sum(sizes) > 16_000_000 and max(sizes) < 3_000_000
+    finally:
+        spark.conf.set(name, before)
