@@ -116,14 +116,12 @@ class Cells:
             part = part.select("id", F.concat("vector", F.array(F.col("cell").cast("double"))).alias("vector"))
 
             def scorer(x):
-                counts = near[:, x[:, -1].astype(int)]
-                s, hit = np.full(counts.shape, -np.inf), np.flatnonzero(counts.any(0))
-                s[:, hit] = search.cosines(q, x[hit, :-1])
-                return s, counts
+                cell, x = x[:, -1].astype(int), np.ascontiguousarray(x[:, :-1])
+                return lambda a, z: search.scored_where(near[a:z, cell], q[a:z], x)
 
             return search.block_top_k(part, names, kind, scorer, q.shape[1] + 1, k)
 
-        return search.in_blocks(kept, queries, "id", "query", "vector", one)
+        return search.in_blocks(kept, queries, "id", "query", "vector", k, one)
 
 
 def _planes(dimension: int, n: int, seed: int = 11) -> list[list[float]]:
@@ -153,7 +151,7 @@ def lsh_top_k(rows: DataFrame, queries: DataFrame, k: int, dimension: int, table
 
     For a stated recall, buckets beyond the hyperplanes nearest to the query are probed
     too, as many as the recall curve asks for; where all are not enough, search is exact.
-    Buckets are computed block by block; what is no candidate is not scored.
+    Buckets are computed tile by tile; a row that is no query's candidate is not scored.
     """
     rows = rows.select(F.col(id_col).alias("id"), F.col(vector_col).alias("vector"))
     flips = 0 if recall is None else flips_for(rows, k, dimension, tables, bits, recall)
@@ -176,13 +174,16 @@ def lsh_top_k(rows: DataFrame, queries: DataFrame, k: int, dimension: int, table
             probed[each, f // bits, own[each, f // bits] ^ (1 << (f % bits))] = True
 
         def scorer(x):
-            b, counts = buckets(x @ planes), np.zeros((len(q), len(x)), bool)
-            for t in range(tables):
-                counts |= probed[:, t, :][:, b[:, t]]
-            s, hit = np.full(counts.shape, -np.inf), np.flatnonzero(counts.any(0))
-            s[:, hit] = search.cosines(q, x[hit])
-            return s, counts
+            b = buckets(x @ planes)
+
+            def part(a, z):
+                counts = np.zeros((z - a, len(x)), bool)
+                for t in range(tables):
+                    counts |= probed[a:z, t][:, b[:, t]]
+                return search.scored_where(counts, q[a:z], x)
+
+            return part
 
         return search.block_top_k(rows, names, kind, scorer, dimension, k)
 
-    return search.in_blocks(rows, queries, "id", "query", "vector", one)
+    return search.in_blocks(rows, queries, "id", "query", "vector", k, one)

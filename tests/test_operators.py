@@ -122,3 +122,57 @@ def test_registered_recall(spark, name, sf):
     got = search.recall(registry.QUERIES[name](spark, d), truth).agg(F.avg("recall"), F.count("*")).first()
     assert got[0] >= 0.9 and got[1] == truth.select("query").distinct().count()
     print(name, sf, got[0])
+
+
+def test_scores_come_in_tiles(spark):
+    """Neither more rows nor more queries make a worker hold more than a tile of scores; ties beyond a tile go to the lesser id."""
+    import numpy as np
+    import pyarrow as pa
+
+    n, m, k, tile = 2500, 1100, 3, 1024
+    x = np.array([[(7 * j) % 13, 1.0] for j in range(n)])
+    q = np.array([[1.0, (5 * j) % 11] for j in range(m)])
+    rows = spark.createDataFrame([(f"r{(j * 997) % n:04d}", x[j].tolist()) for j in range(n)], "id string, vector array<double>").coalesce(1)
+
+    def scorer(x):
+        assert len(x) <= tile
+
+        def part(a, z):
+            assert z - a <= tile
+            return q[a:z] @ x.T
+
+        return part
+
+    got = search.block_top_k(rows, pa.array(range(m)), "bigint", scorer, 2, k)
+    s, ids = q @ x.T, np.array([f"r{(j * 997) % n:04d}" for j in range(n)])
+    want = [(j, ids[i]) for j in range(m) for i in np.lexsort((ids, -s[j]))[:k]]
+    assert [(r.query, r.id) for r in got.orderBy("query", "rank").collect()] == want
+
+
+@pytest.mark.parametrize("name", ["sq8_rerank_topk", "ivf_topk", "lsh_topk", "bq1_prefilter_rerank", "knn_threshold"])
+def test_searches_score_tiles(spark, tmp_path, monkeypatch, name):
+    """Of each registered search, the step that scores is given a tile of rows, and asked for a tile of queries, at a time."""
+    import numpy as np
+
+    from quillon.plans import registry
+
+    r = np.random.default_rng(5)
+    spark.createDataFrame([(j, r.normal(size=64).tolist(), j % 10) for j in range(1500)], "vec_id long, embedding array<float>, label int").coalesce(1).write.parquet(f"{tmp_path}/embeddings.parquet")
+    held = search.block_top_k
+
+    def watched(rows, names, kind, scorer, *more, **how):
+        def checked(x):
+            assert len(x) <= 1024
+            part = scorer(x)
+
+            def few(a, z):
+                s = part(a, z)
+                assert s.shape == (z - a, len(x)), s.shape
+                return s
+
+            return few
+
+        return held(rows, names, kind, checked, *more, **how)
+
+    monkeypatch.setattr(search, "block_top_k", watched)
+    assert registry.QUERIES[name](spark, str(tmp_path)).where("rank = 1").count() == 30
