@@ -125,7 +125,7 @@ def _after(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.array([y is None or (x is not None and x >= y) for x, y in zip(a, b)], bool)
 
 
-class _Best:
+class _TileBest:
     """The k best (score, id) of each of n queries, as arrays: at most n * k, and as many that wait to be ranked, beside one tile's."""
 
     def __init__(self, n: int, k: int, threshold: float):
@@ -168,6 +168,29 @@ class _Best:
         self.query, self.score, self.id = (x[place < self.k] for x in (q, s, i))
 
 
+class Best:
+    """The k best rows of each named query in what is added, tile by tile."""
+
+    def __init__(self, names: pa.Array, k: int, threshold: float = -np.inf):
+        self.names, self.kind = names, None
+        self.tiles = [(a, z, _TileBest(z - a, k, threshold)) for a, z in query_tiles(len(names))]
+
+    def add(self, ids: pa.Array, part: Callable[[int, int], np.ndarray]) -> None:
+        """Ids of rows, and their scores for queries a to z, which may be overwritten."""
+        self.kind = ids.type
+        ids = ids.to_numpy(zero_copy_only=False) if pa.types.is_integer(self.kind) and not ids.null_count else np.array([*ids.to_pylist(), None], object)[:-1]
+        for a, z, best in self.tiles:
+            s = part(a, z)
+            best.add(np.round(s, PLACES, out=s), ids)
+
+    def found(self) -> Iterator[pa.RecordBatch]:
+        """(query, id, score), unordered."""
+        for a, _, best in self.tiles:
+            best.rank()
+            if len(best.query):
+                yield pa.RecordBatch.from_arrays([self.names.take(pa.array(best.query + a)), pa.array(best.id, self.kind), pa.array(best.score)], ["query", "id", "score"])
+
+
 def block_top_k(rows: DataFrame, names: pa.Array, kind: str, scorer: Scorer, dimension: int, k: int, threshold: float = -np.inf, id_col: str = "id", vector_col: str = "vector") -> DataFrame:
     """(query, id, score, rank): the k best rows for each named query, by a scorer of tiles.
 
@@ -178,19 +201,10 @@ def block_top_k(rows: DataFrame, names: pa.Array, kind: str, scorer: Scorer, dim
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, scorer = shared.value[0], cloudpickle.loads(shared.value[1])
-        tiles = [(a, z, _Best(z - a, k, threshold)) for a, z in query_tiles(len(names))]
-        kind = None
-        for c, x in row_tiles(batches):
-            kind = c.type
-            ids = c.to_numpy(zero_copy_only=False) if pa.types.is_integer(kind) and not c.null_count else np.array([*c.to_pylist(), None], object)[:-1]
-            part = scorer(x)
-            for a, z, best in tiles:
-                s = part(a, z)
-                best.add(np.round(s, PLACES, out=s), ids)
-        for a, _, best in tiles:
-            best.rank()
-            if len(best.query):
-                yield pa.RecordBatch.from_arrays([names.take(pa.array(best.query + a)), pa.array(best.id, kind), pa.array(best.score)], ["query", "id", "score"])
+        best = Best(names, k, threshold)
+        for ids, x in row_tiles(batches):
+            best.add(ids, scorer(x))
+        yield from best.found()
 
     fit = rows.select(F.col(id_col).alias("id"), F.col(vector_col).alias("vector")).where((F.size("vector") == dimension) & ~F.exists("vector", lambda x: x.isNull()))
     by_score = Window.partitionBy("query").orderBy(F.desc("score"), "id")

@@ -176,3 +176,34 @@ def test_searches_score_tiles(spark, tmp_path, monkeypatch, name):
 
     monkeypatch.setattr(search, "block_top_k", watched)
     assert registry.QUERIES[name](spark, str(tmp_path)).where("rank = 1").count() == 30
+
+
+def test_bm25_shuffles_no_words(spark, monkeypatch):
+    """Scores as by definition, odd texts included; only the best rows of a partition meet in a shuffle, for one block of queries or several."""
+    import math
+    import re
+
+    texts = ["", None, "!!", "K\u212aelvin \u0130st a b", *(" ".join(f"w{(j * i) % 17}" for i in range(1, j % 23 + 2)) for j in range(60)), *["w1 w2 w2"] * 5]
+    asked = [(0, "w1 w2 w1"), (1, "w3 nosuch w16"), (2, "kkelvin i st"), (2, "st W5"), (3, ""), (4, "nosuch")]
+    docs = spark.createDataFrame(list(enumerate(texts)), "id long, content string")
+    queries = spark.createDataFrame(asked, "query int, text string")
+
+    def words(t):
+        return re.findall("[a-z0-9]+", t.lower())
+
+    held = {j: words(t) for j, t in enumerate(texts) if t is not None}
+    mean = sum(map(len, held.values())) / len(held)
+    scores = {}
+    for q, t in asked:
+        for w in set(words(t)):
+            df = sum(w in x for x in held.values())
+            for j, x in held.items():
+                if n := x.count(w):
+                    scores[q, j] = scores.get((q, j), 0) + math.log(1 + (len(texts) - df + 0.5) / (df + 0.5)) * n * 2.2 / (n + 1.2 * (0.25 + 0.75 * len(x) / mean))
+    want = [(q, j, round(scores[q, j], 6)) for q in range(5) for j in sorted((j for p, j in scores if p == q), key=lambda j: (-round(scores[q, j], 6), j))[:4]]
+    for terms in (200_000, 3):
+        monkeypatch.setattr(hybrid, "QUERY_TERMS", terms, raising=False)
+        out = hybrid.bm25_top_k(docs, queries, 4)
+        got = [(r.query, r.id, round(r.score, 6)) for r in out.orderBy("query", "rank").collect()]
+        assert [x[:2] for x in got] == [x[:2] for x in want] and all(abs(a[2] - b[2]) < 2e-6 for a, b in zip(got, want))
+        assert out._jdf.queryExecution().toString().split("== Physical Plan ==")[1].count("Exchange hashpartitioning") == 1
