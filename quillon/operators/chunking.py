@@ -33,18 +33,30 @@ def _bind(value: Column, body) -> Column:
 
 def lines_of(text: Column) -> Column:
     """Lines with their terminators; an empty text is one empty line."""
-    parts = F.split(text, "\n", -1)
-    ended = F.transform(parts, lambda x, i: F.when(i < F.size(parts) - 1, F.concat(x, F.lit("\n"))).otherwise(x))
-    return _bind(ended, lambda p: F.when((F.size(p) > 1) & (F.element_at(p, -1) == ""), F.slice(p, F.lit(1), F.size(p) - 1)).otherwise(p))
+
+    def ended(parts: Column) -> Column:
+        return F.transform(parts, lambda x, i: F.when(i < F.size(parts) - 1, F.concat(x, F.lit("\n"))).otherwise(x))
+
+    # bound first: what a lambda's body names is computed again for each element
+    return _bind(_bind(F.split(text, "\n", -1), ended), lambda p: F.when((F.size(p) > 1) & (F.element_at(p, -1) == ""), F.slice(p, F.lit(1), F.size(p) - 1)).otherwise(p))
+
+
+def line_count(text: Column) -> Column:
+    """The number of lines_of, without making them."""
+    return _bind(text, lambda t: F.octet_length(t) - F.octet_length(F.replace(t, F.lit("\n"), F.lit(""))) + F.when(F.endswith(t, F.lit("\n")), 0).otherwise(1))
 
 
 def windows(n_lines: Column, lines: int, overlap: int = 0) -> Column:
     """array<struct<s, e>>: consecutive windows, each begun `overlap` lines before the last one's end."""
     checked(lines, overlap)
-    return F.transform(
-        F.sequence(F.lit(0), F.ceil(n_lines / lines).cast("int") - 1),
-        lambda i: F.struct(F.greatest(F.lit(1), i * lines + 1 - F.when(i > 0, overlap).otherwise(0)).cast("int").alias("s"), F.least(n_lines, (i + 1) * lines).cast("int").alias("e")),
-    )
+
+    def cut(n: Column) -> Column:
+        return F.transform(
+            F.sequence(F.lit(0), F.ceil(n / lines).cast("int") - 1),
+            lambda i: F.struct(F.greatest(F.lit(1), i * lines + 1 - F.when(i > 0, overlap).otherwise(0)).cast("int").alias("s"), F.least(n, (i + 1) * lines).cast("int").alias("e")),
+        )
+
+    return _bind(n_lines, cut)
 
 
 def byte_limited(ranges: Column, sizes: Column, most: int) -> Column:

@@ -327,7 +327,7 @@ def _window_sql(overlap: int) -> str:
 
 
 def _ranges(spark: SparkSession, d: str, overlap: int) -> DataFrame:
-    rows = files(spark, d).select("doc_id", F.posexplode(chunking.windows(F.size(chunking.lines_of(F.col("content"))), SIZE, overlap)).alias("pos", "r"))
+    rows = files(spark, d).select("doc_id", F.posexplode(chunking.windows(chunking.line_count(F.col("content")), SIZE, overlap)).alias("pos", "r"))
     return rows.select("doc_id", F.col("pos").cast("bigint").alias("pos"), F.col("r.s").cast("bigint").alias("s"), F.col("r.e").cast("bigint").alias("e"))
 
 

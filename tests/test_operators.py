@@ -207,3 +207,22 @@ def test_bm25_shuffles_no_words(spark, monkeypatch):
         got = [(r.query, r.id, round(r.score, 6)) for r in out.orderBy("query", "rank").collect()]
         assert [x[:2] for x in got] == [x[:2] for x in want] and all(abs(a[2] - b[2]) < 2e-6 for a, b in zip(got, want))
         assert out._jdf.queryExecution().toString().split("== Physical Plan ==")[1].count("Exchange hashpartitioning") == 1
+
+
+ODD_TEXTS = ["", None, "\n", "\n\n", "a", "a\n", "a\nb", "\na\n\n", "é\r\nü\n", "x\n" * 12]
+
+
+def test_windows_split_a_text_once(spark):
+    """A text is cut into lines, and its lines are counted, once, not once more for each line or window."""
+
+    def plan(c):
+        return spark.createDataFrame([("a",)], "t string").select(c.alias("c"))._jdf.queryExecution().analyzed().toString()
+
+    assert plan(chunking.lines_of(F.col("t"))).count("split(") == 1
+    assert plan(chunking.windows(F.size(F.split("t", "\n")), 5, 2)).count("split(") == 1
+    rows = spark.createDataFrame([(j, t) for j, t in enumerate(ODD_TEXTS)], "j int, t string")
+    n = F.size(chunking.lines_of(F.col("t"))).alias("n")
+    got = rows.select("j", n, chunking.line_count(F.col("t")).alias("m")).orderBy("j").collect()
+    assert [r.m for r in got] == [r.n for r in got] == [1, None, 1, 2, 1, 1, 2, 3, 2, 12]
+    long = spark.createDataFrame([("".join(f"{j}\n" for j in range(30_000)),)], "t string")
+    assert long.select(F.size(chunking.windows(F.size(chunking.lines_of(F.col("t"))), 5, 2))).first()[0] == 6000
