@@ -226,3 +226,11 @@ def test_windows_split_a_text_once(spark):
     assert [r.m for r in got] == [r.n for r in got] == [1, None, 1, 2, 1, 1, 2, 3, 2, 12]
     long = spark.createDataFrame([("".join(f"{j}\n" for j in range(30_000)),)], "t string")
     assert long.select(F.size(chunking.windows(F.size(chunking.lines_of(F.col("t"))), 5, 2))).first()[0] == 6000
+
+
+def test_deduped_ranges_need_no_window(spark):
+    """The least place of each range stays; doubles are met before the shuffle, so no range is sorted by its place."""
+    rows = spark.createDataFrame([(1, 5, 1, 2), (1, 2, 1, 2), (1, 2, 3, 4), (2, 9, 1, 2), (1, 7, 1, 2)], "doc long, pos long, s long, e long")
+    out = chunking.deduped(rows)
+    assert sorted(map(tuple, out.collect())) == [(1, 2, 1, 2), (1, 2, 3, 4), (2, 9, 1, 2)]
+    assert "Window" not in out._jdf.queryExecution().toString()
