@@ -168,7 +168,7 @@ class Engine:
     def calibrate(self, name: str, plan: calibrate.Plan = calibrate.Plan()) -> dict:
         rows = self.store.read(name)
         q = calibrate.probes(rows, plan.queries, plan.seed).select(F.col("id").alias("query"), "vector")
-        out = calibrate.calibrated(quantize.bq1_distances(rows, q), self.dimension, plan)
+        out = calibrate.calibrated_on(*quantize.bq1_spread(rows, q, plan.k), self.dimension, plan)
         if top := self.store.place(name):  # kept with the generation that it holds for
             kept = [(out["threshold"], out["recall"], out["skipRate"], self.dimension)]
             self.spark.createDataFrame(kept, "threshold double, recall double, skipRate double, dimension int").coalesce(1).write.mode("overwrite").parquet(f"{top}/bq1")

@@ -24,40 +24,49 @@ def probes(rows: DataFrame, n: int, seed: int, id_col: str = "id") -> DataFrame:
     return rows.orderBy(F.xxhash64(F.col(id_col), F.lit(seed)), id_col).limit(n)
 
 
-def curve(distances: DataFrame, thresholds: list[float], k: int, dimension: int) -> DataFrame:
-    """(threshold, recall, skip_rate) from (query, id, hamming, score) of all pairs.
+def spread(distances: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
+    """(query, hamming) of the k best rows of each query and (hamming, n) of all pairs, from (query, id, hamming, score) of all pairs.
 
-    A row is skipped at a threshold if its Hamming distance exceeds threshold * dimension.
+    quantize.bq1_spread takes both from vectors, without the pairs.
     """
     best = Window.partitionBy("query").orderBy(F.desc("score"), "id")
-    truth = distances.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    truth = distances.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query", "hamming")
+    return truth, distances.groupBy("hamming").agg(F.count(F.lit(1)).alias("n"))  # one row for each distance
+
+
+def curve(truth: DataFrame, bins: DataFrame, thresholds: list[float], dimension: int) -> DataFrame:
+    """(threshold, recall, skip_rate) from a spread.
+
+    A row is skipped at a threshold if its Hamming distance exceeds threshold * dimension.
+    """
     t = F.explode(F.array(*[F.lit(float(x)) for x in thresholds])).alias("threshold")
     # a true row is found at a threshold unless skipped: closer rows can't push it out of the top k
     found = truth.select("query", "hamming", t).withColumn("hit", (F.col("hamming") <= F.col("threshold") * dimension).cast("int"))
     per_query = found.groupBy("threshold", "query").agg((F.sum("hit") / F.greatest(F.count(F.lit(1)), F.lit(1))).alias("r"))
     recall = per_query.groupBy("threshold").agg(F.round(F.avg("r"), 6).alias("recall"))
-    bins = distances.groupBy("hamming").agg(F.count(F.lit(1)).alias("n"))  # one row for each distance
     skipped = bins.select("hamming", "n", t).groupBy("threshold").agg(F.round(F.sum(F.when(F.col("hamming") > F.col("threshold") * dimension, F.col("n")).otherwise(0)) / F.sum("n"), 6).alias("skip_rate"))
     return recall.join(skipped, "threshold")
 
 
 def calibrated(distances: DataFrame, dimension: int, plan: Plan = Plan()) -> dict:
+    """The least threshold from (query, id, hamming, score) of all pairs."""
+    return calibrated_on(*spread(distances, plan.k), dimension, plan)
+
+
+def calibrated_on(truth: DataFrame, bins: DataFrame, dimension: int, plan: Plan = Plan()) -> dict:
     """The least threshold, to the plan's precision, that reaches its recall; 1.0 if none does.
 
-    The truth is k rows a query and the skip rate a histogram of at most dimension + 1
-    bins; both are taken once, and the binary search runs over them.
+    Both parts of the spread are taken once, as a row for each distance and number of true
+    rows of a query, and the binary search runs over them.
     """
-    best = Window.partitionBy("query").orderBy(F.desc("score"), "id")
-    truth = distances.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= plan.k)
-    truth = truth.groupBy("query", "hamming").agg(F.count(F.lit(1)).alias("n")).collect()  # plan.queries x plan.k rows at most
-    bins = distances.groupBy("hamming").agg(F.count(F.lit(1)).alias("n")).collect()
-    of_query: dict = {}
-    for r in truth:
-        of_query.setdefault(r["query"], []).append((r["hamming"], r["n"]))
+    each = truth.groupBy("query", "hamming").agg(F.count(F.lit(1)).alias("n"))
+    sizes = truth.groupBy("query").agg(F.count(F.lit(1)).alias("of"))
+    held = each.join(sizes, "query").groupBy("hamming", "of").agg(F.sum("n").alias("n")).collect()  # (dimension + 1) x plan.k rows at most
+    bins = bins.collect()
+    queries = round(sum(r["n"] / r["of"] for r in held))
 
     def recall(t: float) -> float:
-        each = [sum(n for h, n in x if h <= t * dimension) / sum(n for _, n in x) for x in of_query.values()]
-        return round(sum(each) / len(each), 6) if each else 1.0
+        return round(sum(r["n"] / r["of"] for r in held if r["hamming"] <= t * dimension) / queries, 6) if queries else 1.0
 
     lo, hi, steps = 0.0, 1.0, 0
     while hi - lo > plan.precision and steps < MOST_STEPS:

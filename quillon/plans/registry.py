@@ -199,7 +199,7 @@ THRESHOLDS = [k / 20 for k in range(21)]
  r AS (SELECT threshold, query, sum((hamming <= threshold * {DIM})::INT) / count(*) AS r FROM t, k GROUP BY ALL)
  SELECT threshold, round(avg(r), 6) AS recall, (SELECT round(sum((hamming > r.threshold * {DIM})::INT) / count(*), 6) FROM h) AS skip_rate FROM r GROUP BY threshold""")
 def calibrate_curve(spark: SparkSession, d: str) -> DataFrame:
-    return calibrate.curve(quantize.bq1_distances(vectors(spark, d), probes(spark, d)), THRESHOLDS, 10, DIM)
+    return calibrate.curve(*quantize.bq1_spread(vectors(spark, d), probes(spark, d), 10), THRESHOLDS, DIM)
 
 
 @query(f"""WITH {VECTORS_SQL}, {_HAMMING}, t AS (SELECT h.query, h.id, hamming FROM h JOIN ({_TOP}) USING (query, id)),
@@ -207,7 +207,7 @@ def calibrate_curve(spark: SparkSession, d: str) -> DataFrame:
  SELECT min(threshold)::DOUBLE AS threshold FROM (SELECT threshold FROM r GROUP BY threshold HAVING round(avg(r), 6) >= 0.99)""")
 def calibrated_threshold(spark: SparkSession, d: str) -> DataFrame:
     """What eight halvings find: the least 256th of the dimension with the recall."""
-    found = calibrate.calibrated(quantize.bq1_distances(vectors(spark, d), probes(spark, d)), DIM)
+    found = calibrate.calibrated_on(*quantize.bq1_spread(vectors(spark, d), probes(spark, d), calibrate.Plan.k), DIM)
     return spark.createDataFrame([(found["threshold"],)], "threshold double")
 
 

@@ -234,3 +234,20 @@ def test_deduped_ranges_need_no_window(spark):
     out = chunking.deduped(rows)
     assert sorted(map(tuple, out.collect())) == [(1, 2, 1, 2), (1, 2, 3, 4), (2, 9, 1, 2)]
     assert "Window" not in out._jdf.queryExecution().toString()
+
+
+def test_calibration_writes_no_pairs(spark):
+    """The spread that is taken from vectors, without pairs, is that of all pairs."""
+    import numpy as np
+
+    from quillon.operators import quantize
+
+    r = np.random.default_rng(3)
+    rows = spark.createDataFrame([(j, r.normal(size=70).tolist()) for j in range(300)] + [(300, [0.0] * 70), (301, [1.0])], "id long, vector array<double>")
+    q = rows.where("id % 50 = 0 AND id < 300").select(F.col("id").alias("query"), "vector")
+    truth, bins = quantize.bq1_spread(rows, q, 5)
+    pairs_truth, pairs_bins = calibrate.spread(quantize.bq1_distances(rows, q), 5)
+    assert sorted(map(tuple, truth.collect())) == sorted(map(tuple, pairs_truth.collect()))
+    assert sorted(map(tuple, bins.collect())) == sorted(map(tuple, pairs_bins.collect()))
+    plan = calibrate.Plan(recall=0.9, k=5)
+    assert calibrate.calibrated_on(truth, bins, 70, plan) == calibrate.calibrated(quantize.bq1_distances(rows, q), 70, plan)
